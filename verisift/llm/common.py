@@ -17,6 +17,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 
 
+#: Where the public tokenizers' files are if their module can't be imported.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def tokenizer_path(name: str) -> str:
+    """The place of a public tokenizer's file; it must be the same on every executor."""
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError:
+        return os.path.join(TOKENIZERS, name)
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

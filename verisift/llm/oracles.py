@@ -1,5 +1,7 @@
 """DuckDB SQL for the operators that SQL can express."""
 
+from verisift.llm.url_filters import HOST_RULES, PATTERNS, regex_of
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: The line limits are those of quality_rules: 20 documents, 0.2 % of the host, 30 % of the words left.
@@ -41,4 +43,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM base
 """
 
-ORACLES = {"op1_quality_rules": OP1}
+_FITS = "\n".join(
+    f"    WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{{{v}}}'"
+    for v, h, p in sorted(HOST_RULES, key=lambda r: -len(r[1] + r[2]))
+)
+_RULE = "\n".join(x.replace("{allow}", h + p).replace("{block}", h + p) for x, (_, h, p) in zip(_FITS.split("\n"), sorted(HOST_RULES, key=lambda r: -len(r[1] + r[2])), strict=True))
+_VERDICT = _FITS.replace("{allow}", "allow").replace("{block}", "block")
+_MATCHES = ",\n".join(f"    CASE WHEN regexp_matches(u, '{regex_of(p)}') THEN '{i}' END" for i, _, p in PATTERNS)
+_ALLOWED = " OR ".join(f"regexp_matches(u, '{regex_of(p)}')" for _, how, p in PATTERNS if how == "allow")
+
+OP8 = f"""
+WITH u AS (
+  SELECT page_id, lower(coalesce(url, '')) AS u,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+m AS (
+  SELECT *, list_sort(list_filter([
+{_MATCHES}], lambda x: x IS NOT NULL)) AS hit, {_ALLOWED} AS allowed
+  FROM u)
+SELECT page_id, host, path, CASE
+{_RULE}
+    END AS rule,
+  coalesce(CASE
+{_VERDICT}
+    END, CASE WHEN len(hit) > 0 AND NOT allowed THEN 'block' ELSE 'allow' END) AS verdict,
+  array_to_string(hit, ',') AS patterns
+FROM m
+"""
+
+ORACLES = {"op1_quality_rules": OP1, "op8_url_filters": OP8}

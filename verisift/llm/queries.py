@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verisift.llm import pii, quality_rules
-from verisift.llm.common import table
+from verisift.llm import html_extraction, language_id, packing, pii, quality_rules, url_filters
+from verisift.llm.common import table, tokenizer_path
 from verisift.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,14 +17,34 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.digest(table(spark, sf_dir, "documents"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.digest(table(spark, sf_dir, "pages"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_language_id": op2_language_id,
+        "op3_packing": op3_packing,
+        "op5_html_extraction": op5_html_extraction,
         "op6_pii": op6_pii,
+        "op8_url_filters": op8_url_filters,
     }
 
 
