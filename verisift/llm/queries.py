@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verisift.llm import html_extraction, language_id, packing, pii, quality_rules, url_filters
+from verisift.llm import html_extraction, language_id, near_dedup, packing, pii, quality_rules, url_filters
 from verisift.llm.common import table, tokenizer_path
 from verisift.llm.oracles import ORACLES
 
@@ -33,6 +33,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
@@ -44,6 +48,7 @@ def queries() -> dict[str, Query]:
         "op3_packing": op3_packing,
         "op5_html_extraction": op5_html_extraction,
         "op6_pii": op6_pii,
+        "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_url_filters": op8_url_filters,
     }
 
