@@ -36,7 +36,7 @@ SAMPLE = 300
 LEAST_CLUSTER = 0.1
 #: Texts, and characters, that are made into vectors at once.
 BATCH_TEXTS, BATCH_CHARS = 256, 1_000_000
-#: Lengths for which a limit is fitted; a longer text has the last one's limit.
+#: Lengths for which a limit is fitted; a longer text has the last one's limit, a shorter one none.
 LENGTHS = (10, 20, 40, 80, 160, 320, 640)
 #: The limit is this part of the cosine that all but LOW of the fitted pieces reach.
 MARGIN, LOW = 0.6, 0.002
@@ -202,38 +202,52 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
     )
 
 
+def judged(texts: list[str | None], model: Model | None) -> tuple[list[str], list[float], list[bool]]:
+    """Language, score and whether it is accepted, for each text."""
+    langs, scores, accepted = [], [], []
+    for part in _grouped(texts):
+        some = [model is not None and has_letter(t) for t in texts[part]]
+        if not any(some):
+            langs, scores, accepted = langs + ["und"] * len(some), scores + [0.0] * len(some), accepted + [False] * len(some)
+            continue
+        near = vectors(texts[part], model.idf) @ model.centres.T
+        best = near.argmax(axis=1)
+        top = np.clip(near[np.arange(len(best)), best].astype(np.float64), 0, 1)
+        size = np.searchsorted(LENGTHS, [len(t or "") for t in texts[part]], side="right") - 1
+        limit = np.where(size < 0, 0.0, model.limits[np.clip(size, 0, len(LENGTHS) - 1)])
+        langs += [model.langs[b] if s else "und" for b, s in zip(best, some, strict=True)]
+        scores += [float(x) if s else 0.0 for x, s in zip(top, some, strict=True)]
+        accepted += [bool(s and x >= y) for x, y, s in zip(top, limit, some, strict=True)]
+    return langs, scores, accepted
+
+
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """The kept columns with lang_pred, score and accepted; only the text decides."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = [f"`{c}` {t}" for c, t in docs.select(*keep).dtypes]
 
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            langs, scores, accepted = [], [], []
-            for part in _grouped(texts):
-                some = [has_letter(t) for t in texts[part]]
-                if model is None:
-                    langs += ["und"] * len(some)
-                    scores += [0.0] * len(some)
-                    accepted += [False] * len(some)
-                    continue
-                near = vectors(texts[part], model.idf) @ model.centres.T
-                best = near.argmax(axis=1)
-                top = np.clip(near[np.arange(len(best)), best].astype(np.float64), 0, 1)
-                limit = model.limits[
-                    np.clip(np.searchsorted(LENGTHS, [len(t or "") for t in texts[part]], side="right") - 1, 0, len(LENGTHS) - 1)
-                ]
-                langs += [model.langs[b] if s else "und" for b, s in zip(best, some, strict=True)]
-                scores += [float(x) if s else 0.0 for x, s in zip(top, some, strict=True)]
-                accepted += [bool(s and x >= y) for x, y, s in zip(top, limit, some, strict=True)]
+            langs, scores, accepted = judged(batch.column(len(keep)).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in range(len(keep))], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())],
+                [*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())],
                 [*keep, "lang_pred", "score", "accepted"],
             )
 
-    return docs.select(*keep, text_col).mapInArrow(judged, ", ".join([*schema, "lang_pred string", "score double", "accepted boolean"]))
+    return docs.select(*keep, text_col).mapInArrow(predicted, ", ".join([*schema, "lang_pred string", "score double", "accepted boolean"]))
+
+
+def accepted_only(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents that aren't rejected, with their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.filter(~held_out())))
+    at = docs.columns.index(text_col)
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, accepted = judged(batch.column(at).to_pylist(), shared.value)
+            yield batch.filter(pa.array(accepted, pa.bool_()))
+
+    return docs.mapInArrow(filtered, docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):

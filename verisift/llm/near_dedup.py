@@ -35,6 +35,8 @@ BANDS, ROWS = 42, 3
 BINS = BANDS * ROWS
 #: Hash orders by which buckets choose their centres.
 ORDERS = 6
+#: Ids up to which a list of documents is broadcast (16 MB).
+BROADCAST_IDS = 1_000_000
 ATTEMPTS = 64
 
 
@@ -144,7 +146,7 @@ def confirmed(docs: DataFrame, edges: DataFrame, k: int, percent: int, id_col: s
     """The edges whose full shingle sets are similar enough. Both ends must be ids of one text each."""
     ends = cut_lineage(edges.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
     sets = (
-        docs.join(small(ends), F.col(id_col) == F.col("_id"), "left_semi")
+        docs.join(small(ends, BROADCAST_IDS), F.col(id_col) == F.col("_id"), "left_semi")
         .select(F.col(id_col).cast("long"), text_col)
         .mapInArrow(lambda batches: _sets(batches, k), "id long, grams array<long>")
     )
@@ -185,3 +187,20 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents of the least id in their groups, with their columns as they are.
+
+    Of several rows of one id one stays; rows with a null id all stay.
+    """
+    found = near_duplicates(docs, k, percent, id_col, text_col)
+    judged = found.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id"))
+    odd = cut_lineage(
+        judged.agg(F.bool_and("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")).filter(~F.col("_kept") | (F.col("_rows") > 1))
+    )
+    again = odd.filter("_kept").select("_id")
+    id_is = F.col(id_col) == F.col("_id")
+    plain = docs.join(small(odd.select("_id"), BROADCAST_IDS), id_is, "left_anti")
+    once = docs.join(small(again, BROADCAST_IDS), id_is, "left_semi").dropDuplicates([id_col])
+    return plain.unionByName(once)

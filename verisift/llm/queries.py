@@ -5,8 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from verisift.llm import html_extraction, language_id, near_dedup, packing, pii, quality_rules, url_filters
+from pyspark.sql import functions as F
+
+from verisift.llm import (
+    ann,
+    html_extraction,
+    language_id,
+    near_dedup,
+    packing,
+    pii,
+    quality_rules,
+    sampled_pieces,
+    substring_dedup,
+    url_filters,
+)
 from verisift.llm.common import table, tokenizer_path
 from verisift.llm.oracles import ORACLES
 
@@ -25,6 +37,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled_pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.digest(table(spark, sf_dir, "pages"))
 
@@ -41,15 +57,26 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_language_id": op2_language_id,
         "op3_packing": op3_packing,
+        "op4_sampled_pieces": op4_sampled_pieces,
         "op5_html_extraction": op5_html_extraction,
         "op6_pii": op6_pii,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_url_filters": op8_url_filters,
+        "op9_substring_dedup": op9_substring_dedup,
+        "op10_nearest_neighbours": op10_nearest_neighbours,
     }
 
 
