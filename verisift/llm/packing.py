@@ -19,7 +19,10 @@ Defined results
 
 from __future__ import annotations
 
+import os
+import sys
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
@@ -33,8 +36,10 @@ TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 16_384
 BLOCK_TOKENS = 1_000_000
 END_ID = 1
-#: Words whose ids a worker remembers, and characters that are tokenised at once.
+#: Words whose ids a worker remembers, texts that are tokenised together, and characters
+#: above which a text is cut.
 CACHE_WORDS = 1_500_000
+BATCH_TEXTS = 128
 CHUNK_CHARS = 1_000_000
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, "
@@ -55,38 +60,52 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.words, self.unusual = regex.compile(WORDS), regex.compile(UNUSUAL)
+        self.words, self.unusual, self.space = regex.compile(WORDS), regex.compile(UNUSUAL), regex.compile(r"\s")
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
-
-    def _chunk(self, text: str) -> bytes:
-        if self.unusual.search(text):
-            return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        words = self.words.findall(text.lower())
-        if missing := list(set(words).difference(self.known)):
+        packed = array("I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def _chunks(self, texts: list[str]) -> list[bytes]:
+        """Ids of short texts; words that are new to the worker are tokenised in one call."""
+        split = [None if self.unusual.search(t) else self.words.findall(t.lower()) for t in texts]
+        found = [None if s is None else list(map(self.known.get, s)) for s in split]
+        if any(f is not None and None in f for f in found):
+            missing = set().union(*[s for s in split if s is not None]).difference(self.known)
             if len(self.known) + len(missing) > CACHE_WORDS:
                 self.known.clear()
-                missing = list(set(words))
-            for word, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                self.known[word] = self._bytes(found.ids)
-        return b"".join(map(self.known.__getitem__, words))
-
-    def encode(self, text: str) -> bytes:
-        if len(text) <= CHUNK_CHARS:
-            return self._chunk(text)
-        out, a = [], 0
-        while a < len(text):
-            cut = regex.compile(r"\s").search(text, a + CHUNK_CHARS)
-            b = cut.start() if cut else len(text)
-            out.append(self._chunk(text[a:b]))
-            a = b
-        return b"".join(out)
+                missing = set().union(*[s for s in split if s is not None])
+            names = list(missing)
+            self.known.update(
+                (w, self._bytes(e.ids)) for w, e in zip(names, self.tokenizer.encode_batch_fast(names, add_special_tokens=False), strict=True)
+            )
+            found = [None if s is None else list(map(self.known.__getitem__, s)) for s in split]
+        return [
+            self._bytes(self.tokenizer.encode(t, add_special_tokens=False).ids) if f is None else b"".join(f)
+            for t, f in zip(texts, found, strict=True)
+        ]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; a long one is cut at white space, which no word reaches over."""
+        cut: list[tuple[int, str]] = []
+        for i, text in enumerate(texts):
+            a = 0
+            while len(text) - a > CHUNK_CHARS and (space := self.space.search(text, a + CHUNK_CHARS)):
+                cut.append((i, text[a : space.start()]))
+                a = space.start()
+            cut.append((i, text[a:]))
+        out: list[list[bytes]] = [[] for _ in texts]
+        for (i, _), ids in zip(cut, self._chunks([c for _, c in cut]), strict=True):
+            out[i].append(ids)
+        return [b"".join(x) for x in out]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -205,11 +224,13 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
         row, waiting = 0, 0
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids[row], names[row] = words.encode(text or "") + end, name
-                packer.add(row, len(ids[row]) // 4)
-                waiting += len(ids[row]) // 4
-                row += 1
+            for part in (batch.slice(a, BATCH_TEXTS) for a in range(0, batch.num_rows, BATCH_TEXTS)):
+                found = words.encode([t or "" for t in part.column(1).to_pylist()])
+                for name, text_ids in zip(part.column(0).to_pylist(), found, strict=True):
+                    ids[row], names[row] = text_ids + end, name
+                    packer.add(row, len(ids[row]) // 4)
+                    waiting += len(ids[row]) // 4
+                    row += 1
                 if waiting >= BLOCK_TOKENS:
                     yield flush(False)
                     waiting = 0
