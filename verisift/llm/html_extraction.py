@@ -9,7 +9,7 @@ class, id or role, and returns the text of the blocks that are left.
 Defined results
 - null or empty html: empty text. A null url: a host of its own, the empty one.
 - no `article` or `main` element: the whole body is read.
-- paragraphs and headings inside `article` or `main` are never taken for a template, so
+- inside `article` or `main` only `div` and `section` can be template, so
   that an article that a site repeats keeps its text.
 - broken markup: unclosed elements end with their parent; stray end tags are skipped.
 - repeated rows (same id and html) count as one page; every row is returned.
@@ -50,7 +50,7 @@ CLOSES_P = frozenset(
 )
 #: Tags of one kind end an open one of the same kind.
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-CONTAINERS = frozenset("ul ol dl table div section".split())
+CONTAINERS = frozenset({"div", "section"})
 DROPPED = frozenset(
     "head script style noscript template nav aside footer form button select option textarea input label iframe object embed "
     "canvas svg math audio video dialog menu title xmp noembed noframes".split()
