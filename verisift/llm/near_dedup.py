@@ -5,8 +5,9 @@ bin's value is its least hash, and an empty bin takes the value of a bin that a
 (bin, attempt) picks, as optimal densification does. Bands of bins are bucket keys.
 Documents with the same set of shingles form a class, and only one document of a class
 takes part in the search. A bucket's candidate edges form stars: each member is paired
-with two centres, the first and the last by one of several hash orders, so that a bucket
-of n members gives fewer than 2n pairs. Pairs are confirmed on the full sets.
+with three centres, so that a bucket of n members gives fewer than 3n pairs. Pairs are
+confirmed on the full sets. Buckets whose members then aren't all one component take
+further turns with other centres, as long as a turn finds a link.
 
 Defined results
 - null text, or text without a word: no shingles, linked with nothing, its own component.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verisift.llm.common import cut_lineage, salted_join, small
+from verisift.llm.common import cut_lineage, in_arrow, salted_join, small
 from verisift.llm.components import connected_components
 from verisift.llm.shingles import mixed, shingles, word_hashes
 
@@ -33,8 +34,8 @@ from verisift.llm.shingles import mixed, shingles, word_hashes
 #: probability of 1 - (1 - 0.8**3)**42, all but 1e-13.
 BANDS, ROWS = 42, 3
 BINS = BANDS * ROWS
-#: Hash orders by which buckets choose their centres.
-ORDERS = 6
+#: Hash orders by which buckets choose two of their centres in each turn, and the most turns.
+ORDERS, TURNS = 6, 12
 #: Ids up to which a list of documents is broadcast (16 MB).
 BROADCAST_IDS = 1_000_000
 ATTEMPTS = 64
@@ -88,8 +89,8 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for a in range(0, whole.num_rows, 256):
-            batch = whole.slice(a, 256)
+        for a in range(0, whole.num_rows, 128):
+            batch = whole.slice(a, 128)
             sets = shingle_sets(batch.column(1).to_pylist(), k)
             some = [i for i, s in enumerate(sets) if len(s)]
             keys: list = [None] * len(sets)
@@ -112,51 +113,98 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for a in range(0, whole.num_rows, 256):
-            batch = whole.slice(a, 256)
+        for a in range(0, whole.num_rows, 128):
+            batch = whole.slice(a, 128)
             sets = [s.view(np.int64) for s in shingle_sets(batch.column(1).to_pylist(), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "grams"])
 
 
 def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, h1 and h2 (a digest of the set) and the band keys."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(
-        lambda batches: _signed(batches, k), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).transform(
+        in_arrow, lambda batches: _signed(batches, k), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"
     )
 
 
-def star_edges(members: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a, b), a < b, of members(id, key)."""
-    order = F.xxhash64(F.col("id"), F.pmod(F.col("key"), F.lit(ORDERS)))
+def star_edges(members: DataFrame, turn: int) -> DataFrame:
+    """Distinct candidate pairs (a, b), a < b, of members(id, key, degree, component).
+
+    Centres of a bucket are the member of the highest degree, which most copies of one
+    original resemble, and the first and last by a hash order that the turn and the key
+    choose. Members of the centre's component need no edge to it.
+    """
+    order = F.xxhash64(F.col("id"), F.pmod(F.col("key"), F.lit(ORDERS)), F.lit(turn))
     centres = (
         members.groupBy("key")
-        .agg(F.min_by("id", order).alias("first"), F.max_by("id", order).alias("last"))
-        .filter(F.col("first") != F.col("last"))
+        .agg(
+            F.max_by("id", F.col("degree")).alias("c0"),
+            F.min_by("id", order).alias("c1"),
+            F.max_by("id", order).alias("c2"),
+            F.min("component").alias("_least"),
+            F.max("component").alias("_most"),
+            *[F.max_by("component", F.col("degree")).alias("k0"), F.min_by("component", order).alias("k1"), F.max_by("component", order).alias("k2")],
+        )
+        .filter(F.col("_least") != F.col("_most"))
+        .drop("_least", "_most")
     )
+    star = F.array(*[F.struct(F.col(f"c{i}").alias("id"), F.col(f"k{i}").alias("component")) for i in range(3)])
     return (
         salted_join(members, centres, ["key"], "id", salts=8)
-        .select("id", F.explode(F.array("first", "last")).alias("centre"))
-        .filter(F.col("id") != F.col("centre"))
-        .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
+        .select("id", "component", F.explode(star).alias("centre"))
+        .filter(F.col("component") != F.col("centre.component"))
+        .select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b"))
         .distinct()
     )
 
 
-def confirmed(docs: DataFrame, edges: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The edges whose full shingle sets are similar enough. Both ends must be ids of one text each."""
-    ends = cut_lineage(edges.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
+def set_table(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, grams): the full shingle sets of the documents in ids(_id)."""
     sets = (
-        docs.join(small(ends, BROADCAST_IDS), F.col(id_col) == F.col("_id"), "left_semi")
+        docs.join(small(ids, BROADCAST_IDS), F.col(id_col) == F.col("_id"), "left_semi")
         .select(F.col(id_col).cast("long"), text_col)
-        .mapInArrow(lambda batches: _sets(batches, k), "id long, grams array<long>")
+        .transform(in_arrow, lambda batches: _sets(batches, k), "id long, grams array<long>")
     )
-    sets = cut_lineage(sets.groupBy("id").agg(F.max("grams").alias("grams")))
+    return sets.groupBy("id").agg(F.max("grams").alias("grams"))
+
+
+def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The edges whose full shingle sets are similar enough."""
     left = salted_join(edges, sets.select(F.col("id").alias("a"), F.col("grams").alias("_a")), ["a"], "b", salts=4)
     both = salted_join(left, sets.select(F.col("id").alias("b"), F.col("grams").alias("_b")), ["b"], "a", salts=4)
     shared = F.size(F.array_intersect("_a", "_b"))
     return both.filter(100 * shared >= percent * (F.size("_a") + F.size("_b") - shared)).select("a", "b")
 
 
+def linked(docs: DataFrame, members: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, component) of members(id, key) that are linked to others.
+
+    Each turn compares members of a bucket with its centres. Buckets that then still hold
+    several components go on with other centres, until a turn links nothing new.
+    """
+    hot = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = cut_lineage(salted_join(members, hot, ["key"], "id", salts=8))
+    degrees = met.groupBy("id").agg(F.sum("n").alias("degree"))
+    sets = cut_lineage(set_table(docs, degrees.select(F.col("id").alias("_id")), k, id_col, text_col))
+    open_ = cut_lineage(met.select("id", "key").join(degrees, "id").withColumn("component", F.col("id")))
+    done = links = found = None
+    for turn in range(TURNS):
+        edges = star_edges(open_, turn)
+        if done is not None:
+            edges = edges.join(done, ["a", "b"], "left_anti")
+        edges = cut_lineage(edges)
+        new = cut_lineage(confirmed(edges, sets, percent))
+        done = edges if done is None else done.unionByName(edges)
+        if links is not None and not new.limit(1).count():
+            break
+        links = new if links is None else links.unionByName(new)
+        found = connected_components(links)
+        labelled = open_.drop("component").join(found.withColumnRenamed("node", "id"), "id", "left")
+        labelled = labelled.withColumn("component", F.coalesce("component", "id"))
+        mixed_keys = labelled.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b").select("key")
+        open_ = cut_lineage(salted_join(labelled, mixed_keys, ["key"], "id", "left_semi", 8))
+    return found
+
+
 def near_duplicates(
     docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -174,9 +222,7 @@ def near_duplicates(
     members = alone.filter(F.coalesce(F.col("doc_id") == F.col("rep"), F.lit(True))).select(
         F.col("doc_id").alias("id"), F.explode("keys").alias("key")
     )
-    edges = cut_lineage(star_edges(members))
-    links = confirmed(docs, edges, k, percent, id_col, text_col)
-    joined = connected_components(links)
+    joined = linked(docs, members, k, percent, id_col, text_col)
     # only classes that are linked or copied need a lookup; all others are their own component
     moved = copied.join(joined, copied["rep"] == joined["node"], "left").select(
         "h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("_by_class")
