@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from verisift.llm.common import cut_lineage
+from verisift.llm.common import cut_lineage, in_arrow
 
 #: Vectors that graph and network are fitted on at most, and neighbours of each in the graph.
 SAMPLE, NEIGHBOURS = 4096, 10
@@ -206,12 +206,12 @@ def search(rows: DataFrame, queries, k: int = 10, id_col: str = "vec_id", vec_co
         empty = rows.sparkSession.createDataFrame([], result)
         return empty.select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
     router, probes = fitted
-    index = cut_lineage(vectors.mapInArrow(lambda b: _placed(b, router), "id long, part int, v binary"))
+    index = cut_lineage(vectors.transform(in_arrow, lambda b: _placed(b, router), "id long, part int, v binary"))
     counts = np.zeros(router.w[3].shape[0], dtype=np.int64)
     for r in index.groupBy("part").agg(F.countDistinct("id").alias("n")).collect():
         counts[r["part"]] = r["n"]
     asked = index.filter(queries).groupBy("id").agg(F.min("v").alias("v"))
-    probing = asked.mapInArrow(lambda b: _routed(b, router, probes, counts, k + 1), "id long, part int, v binary")
+    probing = asked.transform(in_arrow, lambda b: _routed(b, router, probes, counts, k + 1), "id long, part int, v binary")
     probing = cut_lineage(probing)
     wanted = np.zeros_like(counts)
     for r in probing.groupBy("part").count().collect():

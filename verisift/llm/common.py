@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch of texts.
+ARROW_ROWS = 1000
 #: Rows up to which a side may be broadcast; above it the same join is shuffled.
 BROADCAST_ROWS = 100_000
 
@@ -34,6 +36,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow with batches of at most ARROW_ROWS rows, so that long texts fit a worker's memory.
+
+    The session's limit is lowered for this, never raised.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, though body uses it many times or inside a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

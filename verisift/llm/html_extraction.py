@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verisift.llm.common import cut_lineage, salted_join, small
+from verisift.llm.common import cut_lineage, in_arrow, salted_join, small
 
 #: A subtree is template if at least so many pages of its host, and this share of them, hold it.
 MIN_PAGES = 5
@@ -209,7 +209,7 @@ def host_of(url: Column) -> Column:
 def template_subtrees(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(page, key): the subtrees that each page loses, page being a hash of the row."""
     read = pages.select(page_key().alias("page"), host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = read.mapInArrow(_hashed, "page long, host string, keys array<long>")
+    rows = read.transform(in_arrow, _hashed, "page long, host string, keys array<long>")
     held = rows.select("page", "host", F.explode("keys").alias("key"))
     sizes = read.groupBy("host").agg(F.count(F.lit(1)).alias("_all"))
     often = held.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
@@ -227,7 +227,7 @@ def extract(pages: DataFrame) -> DataFrame:
     read = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), page_key().alias("page"))
     joined = read.join(gone, "page", "left").select("page_id", "url", "html", "keys")
     types = dict(pages.dtypes)
-    return joined.mapInArrow(_extracted, f"page_id {types['page_id']}, url string, text string")
+    return joined.transform(in_arrow, _extracted, f"page_id {types['page_id']}, url string, text string")
 
 
 def digest(pages: DataFrame) -> DataFrame:

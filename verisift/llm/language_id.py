@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from verisift.llm.common import in_arrow
+
 #: Dimensions of the hashed vectors.
 DIM = 4096
 #: Centroids per language.
@@ -35,7 +37,7 @@ SAMPLE = 300
 #: A cluster of a smaller share of its language's sample is dropped: mislabelled texts gather in such.
 LEAST_CLUSTER = 0.1
 #: Texts, and characters, that are made into vectors at once.
-BATCH_TEXTS, BATCH_CHARS = 256, 1_000_000
+BATCH_TEXTS, BATCH_CHARS = 64, 250_000
 #: Lengths for which a limit is fitted; a longer text has the last one's limit, a shorter one none.
 LENGTHS = (10, 20, 40, 80, 160, 320, 640)
 #: The limit is this part of the cosine that all but LOW of the fitted pieces reach.
@@ -139,7 +141,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
     known = train.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = (
         known.select(text_col)
-        .mapInArrow(_frequencies, "gram long, n long")
+        .transform(in_arrow, _frequencies, "gram long, n long")
         .groupBy("gram")
         .agg(F.sum("n").alias("n"))
         .collect()
@@ -188,7 +190,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
         return pd.DataFrame(out, columns=["lang", "size", "low", "v"])
 
     parts = (
-        sample.mapInArrow(made, "lang string, size long, v binary")
+        sample.transform(in_arrow, made, "lang string, size long, v binary")
         .groupBy("lang")
         .applyInPandas(fitted, "lang string, size long, low double, v binary")
         .collect()
@@ -234,7 +236,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
                 [*keep, "lang_pred", "score", "accepted"],
             )
 
-    return docs.select(*keep, text_col).mapInArrow(predicted, ", ".join([*schema, "lang_pred string", "score double", "accepted boolean"]))
+    return docs.select(*keep, text_col).transform(in_arrow, predicted, ", ".join([*schema, "lang_pred string", "score double", "accepted boolean"]))
 
 
 def accepted_only(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -247,7 +249,7 @@ def accepted_only(docs: DataFrame, text_col: str = "text") -> DataFrame:
             _, _, accepted = judged(batch.column(at).to_pylist(), shared.value)
             yield batch.filter(pa.array(accepted, pa.bool_()))
 
-    return docs.mapInArrow(filtered, docs.schema)
+    return docs.transform(in_arrow, filtered, docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -31,6 +31,8 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from verisift.llm.common import in_arrow
+
 TIERS = (256, 512, 1024, 2048)
 #: Tokens of a step group, and of a block whose documents are packed together.
 STEP_TOKENS = 16_384
@@ -236,4 +238,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                     waiting = 0
         yield flush(True)
 
-    return docs.select(id_col, text_col).mapInArrow(packed, SCHEMA)
+    return docs.select(id_col, text_col).transform(in_arrow, packed, SCHEMA)

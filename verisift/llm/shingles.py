@@ -7,7 +7,7 @@ import re
 import numpy as np
 
 #: Bytes that are hashed at once; a longer text is read in pieces that end at white space.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _SPACES = frozenset(b" \t\n\x0b\x0c\r")
