@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,16 +36,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def in_arrow(df: DataFrame, function, schema) -> DataFrame:
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]):
+    """What a Python worker keeps from task to task of one operator, made if it isn't there."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def forget_others(name: str) -> None:
+    """Drop what the worker keeps for other operators, which would add up along a pipeline."""
+    for other in [n for n in _kept if n != name]:
+        del _kept[other]
+
+
+def in_arrow(df: DataFrame, function: Callable[[Iterator], Iterator], schema, keeps: str = "") -> DataFrame:
     """mapInArrow with batches of at most ARROW_ROWS rows, so that long texts fit a worker's memory.
 
-    The session's limit is lowered for this, never raised.
+    The session's limit is lowered for this, never raised. `keeps` names what the function
+    takes from `kept`; the worker drops all else.
     """
+
+    def run(batches: Iterator) -> Iterator:
+        forget_others(keeps)
+        yield from function(batches)
+
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(name, "10000")) <= ARROW_ROWS:
         conf.set(name, str(ARROW_ROWS))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(run, schema)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -31,7 +31,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from verisift.llm.common import in_arrow
+from verisift.llm.common import in_arrow, kept
 
 TIERS = (256, 512, 1024, 2048)
 #: Tokens of a step group, and of a block whose documents are packed together.
@@ -110,15 +110,6 @@ class WordTokenizer:
         return [b"".join(x) for x in out]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
-def tokenizer_of(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
-
-
 class Packer:
     """Packs pieces (row, start, length) of rows' tokens into windows."""
 
@@ -193,7 +184,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """One row per piece of a document; tier is the window's length, step_id its step group."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = tokenizer_of(tokenizer_path), Packer()
+        words, packer = kept(tokenizer_path, lambda: WordTokenizer(tokenizer_path)), Packer()
         ids: dict[int, bytes] = {}
         names: dict[int, int | None] = {}
         high = TaskContext.get().partitionId() << 32
@@ -238,4 +229,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                     waiting = 0
         yield flush(True)
 
-    return docs.select(id_col, text_col).transform(in_arrow, packed, SCHEMA)
+    return docs.select(id_col, text_col).transform(in_arrow, packed, SCHEMA, tokenizer_path)

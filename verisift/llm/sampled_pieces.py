@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verisift.llm.common import in_arrow
+from verisift.llm.common import in_arrow, kept
 from verisift.llm.shingles import mixed
 
 SPACE = "▁"
@@ -200,13 +200,8 @@ class Lattices:
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8")[1:]
 
 
-_lattices: dict[str, Lattices] = {}
-
-
 def lattices_of(path: str) -> Lattices:
-    if path not in _lattices:
-        _lattices[path] = Lattices(path)
-    return _lattices[path]
+    return kept(path, lambda: Lattices(path))
 
 
 def _groups(texts: list[str | None]) -> Iterator[slice]:
@@ -242,7 +237,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 )
 
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col)
-    return read.transform(in_arrow, encoded, "doc_id long, ids array<int>, n_ids long, lossless boolean")
+    return read.transform(in_arrow, encoded, "doc_id long, ids array<int>, n_ids long, lossless boolean", model_path)
 
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
@@ -256,4 +251,4 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
             texts = [None if i is None else lattices.decode(i) for i in batch.column(len(others)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(texts, pa.string())], [*others, "text"])
 
-    return rows.select(*others, ids_col).transform(in_arrow, decoded, schema)
+    return rows.select(*others, ids_col).transform(in_arrow, decoded, schema, model_path)
