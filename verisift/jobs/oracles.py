@@ -147,4 +147,30 @@ ORACLES = {
         FROM supplier LEFT JOIN (SELECT l_suppkey, sum(CAST(l_extendedprice AS DECIMAL(18, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))) AS revenue
                                  FROM lineitem GROUP BY 1) ON s_suppkey = l_suppkey
         JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""",
+    "kind_status_counts": """WITH x AS (SELECT lang, CASE WHEN quality IS NULL THEN 'open' WHEN quality = 1 THEN 'good' ELSE 'bad' END AS status
+        FROM documents LEFT JOIN labels USING (doc_id))
+        SELECT coalesce(lang, 'all') AS lang, coalesce(status, 'all') AS status, count(*) AS n FROM x GROUP BY CUBE (lang, status)""",
+    "open_items": "SELECT event_type, dayofweek(ts) + 1 AS stage, count(*) AS n, min(event_id) AS first_seen FROM events GROUP BY ALL",
+    "budget_spend": """SELECT * FROM (SELECT o_orderkey, o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) OVER
+        (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS spent FROM orders) WHERE spent <= 1000000""",
+    "retry_policy": """SELECT event_id, user_id, attempt, CASE WHEN attempt <= 3 THEN [2, 8, 32][attempt] ELSE 0 END AS wait_minutes,
+        CASE WHEN attempt <= 3 THEN 'retry' ELSE 'failed' END AS outcome
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt FROM events WHERE event_type = 'error')""",
+    "retry_reasons": """SELECT ['timeout', 'timeout', 'invalid_json_output', 'missing_structured_output', 'unparseable_tool_call', 'overloaded', 'rate_limit',
+        'rate_limit', 'connection_reset', 'nonzero_exit', 'unknown'][CAST(json_extract_string(props, '$.k') AS BIGINT) % 11 + 1] AS reason, count(*) AS n
+        FROM events GROUP BY 1""",
+    "extraction_methods": """SELECT conv_id, blank, pages, CASE WHEN blank = 0 THEN 'text_layer' WHEN blank = pages THEN 'ocr' ELSE 'mixed' END AS method
+        FROM (SELECT conv_id, count(*) FILTER (NOT regexp_matches(text, '[0-9]')) AS blank, count(*) AS pages FROM conversations GROUP BY conv_id)""",
+    "evidence_equality": """WITH r AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'R'),
+        a AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'A'),
+        b AS (SELECT coalesce(r.l_suppkey, a.l_suppkey) AS l_suppkey, a.l_partkey IS NULL AS x, r.l_partkey IS NULL AS y
+              FROM r FULL JOIN a ON r.l_suppkey = a.l_suppkey AND r.l_partkey = a.l_partkey)
+        SELECT l_suppkey, count(*) FILTER (x) AS only_a, count(*) FILTER (y) AS only_b, count(*) FILTER (x OR y) = 0 AS equal FROM b GROUP BY l_suppkey""",
+    "criterion_hits": """SELECT p_brand, count(l_orderkey) AS evaluated, count(*) FILTER (l_returnflag = 'R' AND l_quantity > 49) AS fired,
+        round(count(*) FILTER (l_returnflag = 'R' AND l_quantity > 49) / greatest(1, count(l_orderkey)), 4) AS rate,
+        CAST(count(*) FILTER (l_returnflag = 'R' AND l_quantity > 49) = 0 AS INT) AS dead
+        FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY p_brand""",
+    "question_routing": """SELECT CASE WHEN c_acctbal < 0 THEN 'blocked' WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'urgent'
+        WHEN o_totalprice > 300000 THEN 'analyst' ELSE 'document' END AS kind, count(*) AS n, count(DISTINCT o_custkey) AS customers
+        FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' GROUP BY 1""",
 }

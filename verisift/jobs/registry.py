@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from verisift.functions import dates, text
 from verisift.jobs.oracles import ORACLES  # noqa: F401
-from verisift.operators import events, gates, reconcile, verify
+from verisift.operators import events, gates, reconcile, runs, verify
 from verisift.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -396,3 +396,81 @@ def manager_book(spark, d):
         F.sum(F.col("s_acctbal").cast("decimal(18,2)")).cast("double").alias("balance"),
         F.round(F.sum("revenue"), 2).cast("double").alias("revenue"),
     )
+
+
+@query
+def kind_status_counts(spark, d):
+    """Documents by language and label, with sub-totals; empty bands don't show."""
+    labelled = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    status = F.when(F.col("quality").isNull(), "open").when(F.col("quality") == 1, "good").otherwise("bad")
+    counted = labelled.select("lang", status.alias("status")).cube("lang", "status").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.coalesce("lang", F.lit("all")).alias("lang"), F.coalesce("status", F.lit("all")).alias("status"), "n")
+
+
+@query
+def open_items(spark, d):
+    e = table(spark, d, "events").withColumn("stage", F.dayofweek("ts"))
+    return runs.open_items(e, "event_type", "stage", "event_id")
+
+
+@query
+def budget_spend(spark, d):
+    cost = F.col("o_totalprice").cast("decimal(18,2)")
+    kept = runs.within_budget(table(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], cost, 1_000_000)
+    return kept.select("o_orderkey", "o_custkey", F.col("spent").cast("double").alias("spent"))
+
+
+@query
+def retry_policy(spark, d):
+    errors = table(spark, d, "events").filter("event_type = 'error'").select("event_id", "user_id", "ts")
+    done = runs.retried(errors, ["user_id"], ["ts", "event_id"])
+    return done.select("event_id", "user_id", "attempt", F.coalesce("wait_minutes", F.lit(0)).alias("wait_minutes"), "outcome")
+
+
+@query
+def retry_reasons(spark, d):
+    """Failure messages made of events' props, by bucket."""
+    marker = F.get(F.array(*[F.lit(m) for m, _ in runs.REASONS], F.lit("else")), (_k() % (len(runs.REASONS) + 1)).cast("int"))
+    e = table(spark, d, "events").select(runs.reason_bucket(F.concat(F.lit("Call "), F.upper(marker), F.lit(" after "), F.col("event_type"))).alias("reason"))
+    return e.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def extraction_methods(spark, d):
+    """Turns without a figure count as blank pages of their conversation."""
+    c = table(spark, d, "conversations").groupBy("conv_id")
+    counted = c.agg(F.count_if(~F.col("text").rlike("[0-9]")).alias("blank"), F.count(F.lit(1)).alias("pages"))
+    return counted.select("conv_id", "blank", "pages", runs.extraction_method(F.col("blank"), F.col("pages")).alias("method"))
+
+
+@query
+def evidence_equality(spark, d):
+    """Suppliers' parts in returned against accepted lines, as sets."""
+    lines = table(spark, d, "lineitem")
+    return runs.same_sets(lines.filter("l_returnflag = 'R'"), lines.filter("l_returnflag = 'A'"), "l_suppkey", "l_partkey")
+
+
+@query
+def criterion_hits(spark, d):
+    """Fire rate of each brand's lines, and brands that never fired."""
+    fired = F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 49), 1)
+    joined = table(spark, d, "part").join(table(spark, d, "lineitem"), F.col("p_partkey") == F.col("l_partkey"), "left")
+    return joined.groupBy("p_brand").agg(
+        F.count("l_orderkey").alias("evaluated"),
+        F.count(fired).alias("fired"),
+        F.round(F.count(fired) / F.greatest(F.lit(1), F.count("l_orderkey")), 4).alias("rate"),
+        (F.count(fired) == 0).cast("int").alias("dead"),
+    )
+
+
+@query
+def question_routing(spark, d):
+    """Open orders by the first rule that fits: blocked, urgent, analyst, document."""
+    kind = (
+        F.when(F.col("c_acctbal") < 0, "blocked")
+        .when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "urgent")
+        .when(F.col("o_totalprice") > 300_000, "analyst")
+        .otherwise("document")
+    )
+    joined = table(spark, d, "orders").filter("o_orderstatus = 'O'").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return joined.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_custkey").alias("customers"))
