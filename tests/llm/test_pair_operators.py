@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from verisift.llm import ann, near_dedup, substring_dedup
+from verisift.llm import ann, near_dedup, pii, quality_rules, substring_dedup
 from verisift.llm.components import connected_components
 from verisift.llm.shingles import pieces, shingles, word_hashes
 
@@ -45,6 +45,16 @@ def components(rows, k, percent=80):
     return {i: find(i) for i, _ in rows}
 
 
+def test_clashing_columns_pass_through(spark):
+    passage = " ".join(f"p{i}" for i in range(70))
+    rows = [(1, f"a b {passage}", "x", 1, "k"), (2, f"c {passage} d", "y", 2, "k"), (2, f"c {passage} d", "y", 2, "k"), (3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, spans int, _spans string").withColumns({"_t": F.lit(1), "base": F.lit(2), "component_id": F.lit(3)})
+    for out in (substring_dedup.without_passages(docs), near_dedup.one_of_each(docs), pii.redacted(docs), quality_rules.remove_frequent_lines(docs, "_id")):
+        assert out.columns == docs.columns
+        assert {(r["_id"], r["spans"], r["component_id"]) for r in out.filter("doc_id <> 2").collect()} == {("x", 1, 3), (None, None, 3)}
+    assert {r["text"] for r in substring_dedup.without_passages(docs).filter("doc_id = 2").collect()} == {"c  d"}
+
+
 def near_copies(seed=3):
     draw = random.Random(seed)
     rows = [(0, None), (1, ""), (2, "one two"), (3, "One  TWO"), (4, "one"), (5, " \n")]

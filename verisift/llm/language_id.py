@@ -138,7 +138,7 @@ class Model:
 
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model | None:
     """Learn from rows with a language; the sample of each language is dealt by a hash of the id."""
-    known = train.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    known = train.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, lang_col, text_col)
     rows = (
         known.select(text_col)
         .transform(in_arrow, _frequencies, "gram long, n long")

@@ -158,9 +158,10 @@ def star_edges(members: DataFrame, turn: int) -> DataFrame:
 
 
 def set_table(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, grams): the full shingle sets of the documents in ids(_id)."""
+    """(id, grams): the full shingle sets of the documents in ids(__id)."""
+    ids = small(ids, BROADCAST_IDS)
     sets = (
-        docs.join(small(ids, BROADCAST_IDS), F.col(id_col) == F.col("_id"), "left_semi")
+        docs.join(ids, F.col(id_col) == F.col("__id"), "left_semi")
         .select(F.col(id_col).cast("long"), text_col)
         .transform(in_arrow, lambda batches: _sets(batches, k), "id long, grams array<long>")
     )
@@ -184,7 +185,7 @@ def linked(docs: DataFrame, members: DataFrame, k: int, percent: int, id_col: st
     hot = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = cut_lineage(salted_join(members, hot, ["key"], "id", salts=8))
     degrees = met.groupBy("id").agg(F.sum("n").alias("degree"))
-    sets = cut_lineage(set_table(docs, degrees.select(F.col("id").alias("_id")), k, id_col, text_col))
+    sets = cut_lineage(set_table(docs, degrees.select(F.col("id").alias("__id")), k, id_col, text_col))
     open_ = cut_lineage(met.select("id", "key").join(degrees, "id").withColumn("component", F.col("id")))
     done = links = found = None
     for turn in range(TURNS):
@@ -241,12 +242,12 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     Of several rows of one id one stays; rows with a null id all stay.
     """
     found = near_duplicates(docs, k, percent, id_col, text_col)
-    judged = found.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id"))
+    judged = found.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id"))
     odd = cut_lineage(
         judged.agg(F.bool_and("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")).filter(~F.col("_kept") | (F.col("_rows") > 1))
     )
-    again = odd.filter("_kept").select("_id")
-    id_is = F.col(id_col) == F.col("_id")
-    plain = docs.join(small(odd.select("_id"), BROADCAST_IDS), id_is, "left_anti")
-    once = docs.join(small(again, BROADCAST_IDS), id_is, "left_semi").dropDuplicates([id_col])
+    some = small(odd.select("__id"), BROADCAST_IDS)
+    again = small(odd.filter("_kept").select("__id"), BROADCAST_IDS)
+    plain = docs.join(some, F.col(id_col) == F.col("__id"), "left_anti")
+    once = docs.join(again, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
     return plain.unionByName(once)

@@ -165,16 +165,14 @@ def remove_frequent_lines(
 ) -> DataFrame:
     """The documents with their frequent lines cut out of the text; all columns stay."""
     gone = removed_lines(docs, frequent_lines(docs, host_col, id_col, text_col, **limits), host_col, id_col, text_col)
-    gone = gone.select(F.col("doc_id").alias("_id"), "text_key", F.col("removed")["line"].alias("_gone"))
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("removed")["line"].alias("__gone"))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__key"))
+    lost = F.col("__gone")
     kept = F.array_join(
-        F.filter(
-            F.split(text_col, "\n", -1), lambda x: ~F.coalesce(F.array_contains("_gone", F.xxhash64(normalised(x))), F.lit(False))
-        ),
-        "\n",
+        F.filter(F.split(text_col, "\n", -1), lambda x: ~F.coalesce(F.array_contains(lost, F.xxhash64(normalised(x))), F.lit(False))), "\n"
     )
-    joined = docs.join(gone, (F.col(id_col) == F.col("_id")) & (F.xxhash64(text_col) == F.col("text_key")), "left")
-    cut = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)
-    return joined.select(*[cut.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    cut = F.when(lost.isNull(), F.col(text_col)).otherwise(kept)
+    return docs.join(gone, same, "left").select(*[cut.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
 def quality(
