@@ -10,7 +10,7 @@ f AS (
          quality IS NOT NULL AND (quality = 1) <> (toxic = 1) AS contested,
          CASE WHEN quality IS NOT NULL AND (quality = 1) = (toxic = 1) THEN 'high' ELSE 'low' END AS confidence
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
-w AS (SELECT *, CASE severity WHEN 'LOW' THEN 1.0 WHEN 'MEDIUM' THEN 2.0 WHEN 'HIGH' THEN 3.0 ELSE 5.0 END AS effective_weight FROM f)"""
+w AS (SELECT *, CAST(CASE severity WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 ELSE 5 END AS DOUBLE) AS effective_weight FROM f)"""
 _RECOMMEND = """
 SELECT *, CASE WHEN vetoes_decisive > 0 THEN 'pass'
                WHEN vetoes_downgraded > 0 OR (red_weight >= 9 AND red_weight > 2 * green_weight) THEN 'hold'
