@@ -166,6 +166,29 @@ def test_every_exact_passage_of_the_documents_is_covered(spark):
     assert total > 500 and missed <= 0.005 * total
 
 
+def test_exact_passages_behind_crowded_hashes(spark):
+    """The first documents of a passage's keys hold its phrases of the least hashes, but not the passage."""
+    draw = random.Random(4)
+    text = lambda n: [f"y{draw.randrange(50_000)}" for _ in range(n)]
+    keys = lambda w: {(f, v) for f, v, *_ in substring_dedup.compact_windows(shingles(word_hashes([" ".join(w)])[0], 5, short=False))}
+    passage = text(50)
+
+    def crowd():
+        out = []
+        for key in keys(passage):
+            for i in range(46):
+                near = [text(50) + passage[i : i + 5] + text(50) for _ in range(12)]
+                if hit := [w for w in near if key in keys(w)]:
+                    out += hit[0]
+        return out
+
+    rows = [(1, crowd()), (2, crowd()), (3, text(60) + passage + text(60)), (4, text(70) + passage + text(60)), (5, passage + text(60))]
+    assert all(keys(passage) <= keys(w) for _, w in rows)
+    out = substring_dedup.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in rows])).collect()
+    got = {(r["doc_id"], r["source_id"], r["start_word"], r["end_word"], r["similarity"]) for r in out}
+    assert got == {(4, 3, 70, 120, 1.0), (5, 3, 0, 50, 1.0)}
+
+
 def brute(rows, k=10):
     good = [(i, np.array(v, dtype=float)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v) and len(v) == 4]
     out = {}
