@@ -166,6 +166,22 @@ def test_every_exact_passage_of_the_documents_is_covered(spark):
     assert total > 500 and missed <= 0.005 * total
 
 
+def test_passages_join_over_long_insertions():
+    draw = np.random.default_rng(6)
+    for head, tail in ((49, 49), (30, 60), (100, 20), (90, 90)):
+        for n in range(7, 21):
+            h, t, x = (draw.integers(0, 2**31, k).astype(np.uint64) for k in (head, tail, n))
+            around = [draw.integers(0, 2**31, 30).astype(np.uint64) for _ in range(4)]
+            a, b = shingles(np.concatenate([around[0], h, x, t, around[1]]), 5, short=False), shingles(np.concatenate([around[2], h, t, around[3]]), 5, short=False)
+            score = (head + tail - 8) / (head + tail + n)  # of all shingles that are in one of both, those that are in both
+            got = substring_dedup.passages(a, b)
+            if score >= 0.8:
+                assert [(s, e + 5) for s, e, *_ in got] == [(30, 30 + head + n + tail)], (head, tail, n)
+                assert got[0][4] >= 0.8
+            elif max(head, tail) >= 50:
+                assert {i for s, e, *_ in got for i in range(s, e + 5)} >= {30 + i + (head + n) * (tail > head) for i in range(max(head, tail))}
+
+
 def test_exact_passages_behind_crowded_hashes(spark):
     """The first documents of a passage's keys hold its phrases of the least hashes, but not the passage."""
     draw = random.Random(4)
