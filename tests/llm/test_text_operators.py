@@ -156,6 +156,18 @@ def test_templates_are_deleted_by_frequency(spark):
     assert got[4] == "Own 4" and got[99] == "Shared box\nOwn 99"
 
 
+def test_names_drop_no_main_text():
+    text = lambda page: html_extraction.blocks(html_extraction.parse(page), set())
+    main = '<article class="post comment-open"><p>One two</p><p class="alert">Three</p><section id="related-work"><p>Four</p></section></article>'
+    for page in (
+        f'<body class="single no-sidebar">{main}</body>', f'<body class="sidebar">{main}</body>', f'<div class="layout with-sidebar">{main}</div>',
+        f'<main class="search">{main}</main>', f'<div class="sidebar">{main}</div><div class="sidebar">Side</div>',
+    ):
+        assert text(page) == ["One two", "Three", "Four"], page
+    assert text('<body><div class="menu"><p>Most of the words of this page</p></div><p>few</p></body>') == ["Most of the words of this page", "few"]
+    assert text('<article><p>Text of it</p><div class="x ad">Buy</div><section id="comments">c</section></article>') == ["Text of it"]
+
+
 def test_url_filters(spark):
     urls = [
         (1, "http://www.Example.com/en/a", "allow", "www.example.com/en/"), (2, "https://x.example.com/en/", "block", "example.com/en/"), (3, "http://a.net/fr/x", "block", "net/fr/"),

@@ -3,12 +3,14 @@
 Each page is parsed into a small element tree. Subtrees of block containers are hashed
 with their markup and text; Spark counts, for each host, the pages that hold a subtree,
 and subtrees on many of a host's pages are its template. The second pass deletes
-template subtrees, elements that are boilerplate by their tag or by a word of their
+template subtrees, elements that are boilerplate by their tag or by a whole name in their
 class, id or role, and returns the text of the blocks that are left.
 
 Defined results
 - null or empty html: empty text. A null url: a host of its own, the empty one.
 - no `article` or `main` element: the whole body is read.
+- by a name no element is dropped that is or holds an `article` or `main`, or most of
+  the page's text, and inside of those no paragraph, heading, list item or other element of running text (but hidden ones).
 - inside `article` or `main` only `div` and `section` can be template, so
   that an article that a site repeats keeps its text.
 - broken markup: unclosed elements end with their parent; stray end tags are skipped.
@@ -63,13 +65,15 @@ DROPPED_WORDS = frozenset(
     "complementary contentinfo hidden".split()
 )
 KEPT = frozenset({"article", "main"})
+#: Elements of running text, which inside an article no name drops.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dl dt dd table tr td th figure figcaption hgroup body html".split())
 
 
 class Element:
-    __slots__ = ("tag", "words", "children")
+    __slots__ = ("tag", "words", "children", "vital")
 
     def __init__(self, tag: str, words: frozenset[str]):
-        self.tag, self.words, self.children = tag, words, []
+        self.tag, self.words, self.children, self.vital = tag, words, [], False
 
 
 def parse(text: str) -> Element:
@@ -102,7 +106,7 @@ def parse(text: str) -> Element:
             if name.lower() in ("hidden", "aria-hidden"):
                 words |= {"hidden"} if name.lower() == "hidden" or "true" in value else set()
             else:
-                words.update(re.split(r"[^a-z0-9]+", value.lower()))
+                words.update(value.strip("\"'").lower().split())
         element = Element(tag, frozenset(words))
         stack[-1].children.append(element)
         if tag in RAW:
@@ -114,11 +118,29 @@ def parse(text: str) -> Element:
             stack.append(element)
     if at < len(text):
         stack[-1].children.append(text[at:])
+    mark_vital(root)
     return root
 
 
+def mark_vital(root: Element) -> None:
+    """Mark what is or holds an article or main, or most of the page's text that isn't dropped by its tag."""
+    order, stack = [], [root]
+    while stack:
+        e = stack.pop()
+        order.append(e)
+        stack += [c for c in e.children if isinstance(c, Element) and c.tag not in DROPPED]
+    sizes: dict[int, int] = {}
+    for e in reversed(order):
+        sizes[id(e)] = sum(sizes.get(id(c), 0) if isinstance(c, Element) else len("".join(c.split())) for c in e.children)
+        e.vital = e.tag in KEPT or any(c.vital for c in e.children if isinstance(c, Element))
+    for e in order:
+        e.vital = e.vital or 2 * sizes[id(e)] > sizes[id(root)]
+
+
 def boilerplate(e: Element, inside: bool) -> bool:
-    return e.tag in DROPPED or (e.tag == "header" and not inside) or not DROPPED_WORDS.isdisjoint(e.words)
+    if e.tag in DROPPED or (e.tag == "header" and not inside):
+        return True
+    return not (e.vital or (inside and e.tag in RUNNING and "hidden" not in e.words) or DROPPED_WORDS.isdisjoint(e.words))
 
 
 def walk(root: Element) -> Iterator[tuple[Element, bool]]:
