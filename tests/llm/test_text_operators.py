@@ -168,6 +168,18 @@ def test_names_drop_no_main_text():
     assert text('<article><p>Text of it</p><div class="x ad">Buy</div><section id="comments">c</section></article>') == ["Text of it"]
 
 
+def test_copies_keep_their_text(spark):
+    page = "<html><body><article><h1>{}</h1><div class='body'><p>The text of this article</p></div></article></body></html>"
+    bare = "<html><body><div><p>The text of a page without article</p></div></body></html>"
+    pages = [(i, f"http://h.com/{i}", page.format("Same")) for i in range(6)]
+    pages += [(10 + i, f"http://near.com/{i}", page.format(f"No {i}")) for i in range(6)]
+    pages += [(20 + i, f"http://bare.com/{i}", bare) for i in range(6)] + [(30, "http://rows.com/", bare)] * 6
+    got = {r["page_id"]: r["text"] for r in html_extraction.digest(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(6)} == {"Same\nThe text of this article"}
+    assert [got[10 + i] for i in range(6)] == [f"No {i}\nThe text of this article" for i in range(6)]
+    assert {got[20 + i] for i in range(6)} | {got[30]} == {"The text of a page without article"}
+
+
 def test_url_filters(spark):
     urls = [
         (1, "http://www.Example.com/en/a", "allow", "www.example.com/en/"), (2, "https://x.example.com/en/", "block", "example.com/en/"), (3, "http://a.net/fr/x", "block", "net/fr/"),

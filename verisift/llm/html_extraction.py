@@ -12,9 +12,9 @@ Defined results
 - by a name no element is dropped that is or holds an `article` or `main`, or most of
   the page's text, and inside of those no paragraph, heading, list item or other element of running text (but hidden ones).
 - inside `article` or `main` only `div` and `section` can be template, so
-  that an article that a site repeats keeps its text.
+  that an article that a site repeats keeps its text, and none that holds most of its text.
 - broken markup: unclosed elements end with their parent; stray end tags are skipped.
-- repeated rows (same id and html) count as one page; every row is returned.
+- pages of a host with the same main text count as one page; every row is returned.
 - an empty table gives no rows; columns beside id, url and html are only passed on.
 """
 
@@ -172,10 +172,26 @@ def subtree_hashes(root: Element) -> dict[int, int]:
     return out
 
 
+def holds_most(root: Element) -> set[int]:
+    """By id(), the elements that hold most of the text, without boilerplate, of an outermost article or main."""
+    order, stack = [], [(root, None)]
+    while stack:
+        e, top = stack.pop()
+        inside = top is not None
+        top = e if top is None and e.tag in KEPT else top
+        order.append((e, top))
+        stack += [(c, top) for c in e.children if isinstance(c, Element) and not boilerplate(c, inside or e.tag in KEPT)]
+    sizes: dict[int, int] = {}
+    for e, _ in reversed(order):
+        sizes[id(e)] = sum(sizes.get(id(c), 0) if isinstance(c, Element) else len("".join(c.split())) for c in e.children)
+    return {id(e) for e, top in order if top is not None and 2 * sizes[id(e)] > sizes[id(top)]}
+
+
 def blocks(root: Element, template: set[int]) -> list[str]:
     """Texts of the blocks in page order, from article or main elements if there are any."""
     found = [e for e, inside in walk(root) if e.tag in KEPT and not inside]
     keys = subtree_hashes(root) if template else {}
+    most = holds_most(root) if template else set()
     out: list[str] = []
     run: list[str] = []
 
@@ -196,7 +212,7 @@ def blocks(root: Element, template: set[int]) -> list[str]:
                 run.append("" if item.tag == "wbr" else " ")
                 if item.tag == "hr":
                     end()
-            elif (item is not top and boilerplate(item, inside)) or keys.get(id(item)) in template:
+            elif (item is not top and boilerplate(item, inside)) or (keys.get(id(item)) in template and id(item) not in most):
                 if item.tag not in INLINE:
                     end()
             else:
@@ -211,8 +227,11 @@ def blocks(root: Element, template: set[int]) -> list[str]:
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = [sorted(set(subtree_hashes(parse(t)).values())) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["page", "host", "keys"])
+        trees = [parse(t) for t in batch.column(2).to_pylist()]
+        keys = [sorted(set(subtree_hashes(t).values())) for t in trees]
+        mains = [xxhash.xxh64_intdigest("\n".join(blocks(t, set()))) - (1 << 63) for t in trees]
+        columns = [batch.column(0), batch.column(1), pa.array(mains, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["page", "host", "main", "keys"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,10 +250,12 @@ def host_of(url: Column) -> Column:
 def template_subtrees(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(page, key): the subtrees that each page loses, page being a hash of the row."""
     read = pages.select(page_key().alias("page"), host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = read.transform(in_arrow, _hashed, "page long, host string, keys array<long>")
-    held = rows.select("page", "host", F.explode("keys").alias("key"))
-    sizes = read.groupBy("host").agg(F.count(F.lit(1)).alias("_all"))
-    often = held.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
+    rows = read.transform(in_arrow, _hashed, "page long, host string, main long, keys array<long>")
+    rows = cut_lineage(rows)
+    held = rows.select("page", "host", "main", F.explode("keys").alias("key"))
+    sizes = rows.select("host", "main").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("_all"))
+    distinct = held.select("host", "key", "main").distinct()
+    often = distinct.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
     template = cut_lineage(often.join(sizes, "host").filter(F.col("n") >= F.col("_all") * min_share).select("host", "key"))
     return salted_join(held, template, ["host", "key"], "page").groupBy("page").agg(F.collect_set("key").alias("keys"))
 
