@@ -9,8 +9,8 @@ from verisift.functions.text import canonical, tokens
 
 # The widest gap between two tokens, and the fewest tokens, of a layout match.
 MAX_GAP, MIN_TOKENS = 1200, 6
-#: Words of the run by which a quote is looked up in all pages.
-ANCHOR = 4
+#: Characters of the probe by which a quote is looked up in all pages.
+PROBE = 6
 #: Quotes up to which the lookup is broadcast; above it, it is a shuffled join.
 BROADCAST_QUOTES = 100_000
 
@@ -41,20 +41,24 @@ def verify_cited(evidence: DataFrame, pages: DataFrame, doc: str, page: str, quo
     return joined.withColumn("verification", F.when(F.col("_page").isNull(), "out_of_range").otherwise(found)).drop("_page")
 
 
-def search_quotes(quotes: DataFrame, pages: DataFrame, skip: int = 1) -> DataFrame:
+def search_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     """(quote_id, page_id, verification) of quotes(quote_id, quote) found on pages(page_id, text).
 
-    A quote is looked up by the run of ANCHOR words after its first `skip`, so that no
-    quote meets a page without it; candidates are then verified whole. Quotes of fewer
-    words than that are not looked up.
+    Either tier finds each token of a quote within one word of the page, so a quote is
+    looked up by PROBE letters of its longest token among those of all words of the page;
+    candidates are then verified whole. A quote without so long a token meets all pages.
     """
-    words = lambda c: F.split(c, " ")
-    wanted = quotes.select("quote_id", canonical(F.col("quote")).alias("_q")).withColumn("_w", words(F.col("_q")))
-    wanted = wanted.filter(F.size("_w") >= skip + ANCHOR + 1).withColumn("anchor", F.xxhash64(F.array_join(F.slice("_w", skip + 1, ANCHOR), " ")))
-    if wanted.limit(BROADCAST_QUOTES + 1).count() <= BROADCAST_QUOTES:
-        wanted = F.broadcast(wanted)
-    read = pages.select("page_id", canonical(F.col("text")).alias("_p")).withColumn("_w", words(F.col("_p")))
-    runs = F.transform(F.sequence(F.lit(1), F.size("_w") - ANCHOR + 1), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, ANCHOR), " ")))
-    at = read.filter(F.size("_w") >= ANCHOR).select("page_id", "_p", F.explode(F.array_distinct(runs)).alias("anchor"))
-    found = at.join(wanted.drop("_w"), "anchor").withColumn("verification", tier(F.col("_q"), F.col("_p")))
+    wanted = quotes.select("quote_id", canonical(F.col("quote")).alias("_q")).filter("_q <> ''")
+    parts = F.when(F.size(tokens(F.col("_q"))) >= MIN_TOKENS, tokens(F.col("_q"))).otherwise(F.split("_q", " "))
+    longest = F.array_max(F.transform(parts, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    wanted = wanted.withColumn("probe", F.substring(longest, 1, PROBE))
+    probed, others = wanted.filter(F.length("probe") == PROBE), wanted.filter(F.length("probe") < PROBE)
+    if probed.limit(BROADCAST_QUOTES + 1).count() <= BROADCAST_QUOTES:
+        probed = F.broadcast(probed)
+    read = pages.select("page_id", canonical(F.col("text")).alias("_p"))
+    words = F.filter(F.array_distinct(F.split("_p", " ")), lambda w: F.length(w) >= PROBE)
+    probes = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - PROBE + 1), lambda i: F.substring(w, i, F.lit(PROBE)))))
+    at = read.select("page_id", "_p", F.explode(F.array_distinct(probes)).alias("probe"))
+    met = at.join(probed, "probe").unionByName(read.crossJoin(others).select("probe", "page_id", "_p", "quote_id", "_q"))
+    found = met.withColumn("verification", tier(F.col("_q"), F.col("_p")))
     return found.filter(F.col("verification") != "unverified").select("quote_id", "page_id", "verification").distinct()
