@@ -4,15 +4,17 @@ Each document's distinct shingles are hashed once; the hash range is cut into bi
 bin's value is its least hash, and an empty bin takes the value of a bin that a hash of
 (bin, attempt) picks, as optimal densification does. Bands of bins are bucket keys.
 Documents with the same set of shingles form a class, and only one document of a class
-takes part in the search. A bucket's candidate edges form stars: each member is paired
-with three centres, so that a bucket of n members gives fewer than 3n pairs. Pairs are
-confirmed on the full sets. Buckets whose members then aren't all one component take
-further turns with other centres, as long as a turn finds a link.
+takes part in the search. A bucket's candidate edges form stars: a member is paired with
+the bucket's centre, so that n members give fewer than n pairs. Pairs are confirmed on the
+full sets. Buckets whose members then aren't all one component take further turns with
+other centres, until each two of their members were compared or are linked by others.
 
 Defined results
 - null text, or text without a word: no shingles, linked with nothing, its own component.
 - fewer words than a shingle: the whole sequence is the one shingle.
 - repeated rows (same id and text) are one class, and each is returned.
+- rows of one id with different texts are in one component, which holds what each text is linked with.
+- texts of the same set of shingles are one class, named by a 64-bit hash of its digest.
 - an empty table gives no rows; columns beside id and text are only passed on.
 - no shingle set is sampled or capped; buckets of any size keep all members.
 """
@@ -23,22 +25,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from verisift.llm.common import cut_lineage, in_arrow, salted_join, small
 from verisift.llm.components import connected_components
 from verisift.llm.shingles import mixed, shingles, word_hashes
 
-#: Bands and bins of a band. A pair of Jaccard similarity 0.8 shares a band with a
-#: probability of 1 - (1 - 0.8**3)**42, all but 1e-13.
-BANDS, ROWS = 42, 3
+#: Bands, bins of a band, and buckets that a candidate pair must share. A pair of Jaccard
+#: similarity 0.8 shares a band with a probability of 0.8**5, and fewer than SHARED of all
+#: bands with one of 5e-9.
+BANDS, ROWS, SHARED = 64, 5, 3
 BINS = BANDS * ROWS
-#: Hash orders by which buckets choose two of their centres in each turn, and the most turns.
-ORDERS, TURNS = 6, 12
+#: Turns in which a member meets one centre, and centres of a bucket in the turn after them.
+QUICK_TURNS, CENTRES = 1, 4
 #: Ids up to which a list of documents is broadcast (16 MB).
 BROADCAST_IDS = 1_000_000
 ATTEMPTS = 64
+#: What bounds a set's similarity to others: its size; how many elements it shares with any other;
+#: a third set, and how many it shares with that.
+BOUNDS = ("n", "most", "third", "inside")
 
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
@@ -87,6 +94,16 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return key.view(np.int64)
 
 
+def digest(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums of a set's hashes."""
+    return (int(mixed(s).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mixed(s + np.uint64(77))))) if len(s) else (0, 0)
+
+
+def node_of(h1: Column, h2: Column, n: Column) -> Column:
+    """The number of a class of equal sets; null for the empty set."""
+    return F.when(n > 0, F.xxhash64(h1, h2, n))
+
+
 def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for a in range(0, whole.num_rows, 128):
@@ -97,9 +114,7 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             if some:
                 for i, row in zip(some, band_keys([sets[i] for i in some]), strict=True):
                     keys[i] = row
-            digests = [
-                (int(mixed(s).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mixed(s + np.uint64(77))))) if len(s) else (0, 0) for s in sets
-            ]
+            digests = [digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -115,95 +130,155 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
     for whole in batches:
         for a in range(0, whole.num_rows, 128):
             batch = whole.slice(a, 128)
-            sets = [s.view(np.int64) for s in shingle_sets(batch.column(1).to_pylist(), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "grams"])
+            sets = [s for s in shingle_sets(batch.column(0).to_pylist(), k) if len(s)]
+            digests = [pa.array(np.array([digest(s)[j] for s in sets], dtype=np.uint64).view(np.int64)) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*digests, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["h1", "h2", "grams"])
 
 
 def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, h1 and h2 (a digest of the set) and the band keys."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).transform(
+    """doc_id, n_shingles, node (the class of equal sets) and the band keys."""
+    signed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).transform(
         in_arrow, lambda batches: _signed(batches, k), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"
     )
+    return signed.select("doc_id", "n_shingles", node_of(F.col("h1"), F.col("h2"), F.col("n_shingles")).alias("node"), "keys")
 
 
-def star_edges(members: DataFrame, turn: int) -> DataFrame:
-    """Distinct candidate pairs (a, b), a < b, of members(id, key, degree, component).
+def centres(open_: DataFrame, turn: int) -> DataFrame:
+    """The centres of this turn's stars in open_(key, node, component, degree and BOUNDS), with c_ before their columns.
 
-    Centres of a bucket are the member of the highest degree, which most copies of one
-    original resemble, and the first and last by a hash order that the turn and the key
-    choose. Members of the centre's component need no edge to it.
+    In the quick turns a bucket has one, of the largest component the member of the
+    highest degree, which most copies of one original resemble. Later turns take members
+    outside the largest component, of a few of the smallest components one each, four times
+    as many in each turn; such a document is a centre of all its buckets.
     """
-    order = F.xxhash64(F.col("id"), F.pmod(F.col("key"), F.lit(ORDERS)), F.lit(turn))
-    centres = (
-        members.groupBy("key")
-        .agg(
-            F.max_by("id", F.col("degree")).alias("c0"),
-            F.min_by("id", order).alias("c1"),
-            F.max_by("id", order).alias("c2"),
-            F.min("component").alias("_least"),
-            F.max("component").alias("_most"),
-            *[F.max_by("component", F.col("degree")).alias("k0"), F.min_by("component", order).alias("k1"), F.max_by("component", order).alias("k2")],
-        )
-        .filter(F.col("_least") != F.col("_most"))
-        .drop("_least", "_most")
-    )
-    star = F.array(*[F.struct(F.col(f"c{i}").alias("id"), F.col(f"k{i}").alias("component")) for i in range(3)])
-    return (
-        salted_join(members, centres, ["key"], "id", salts=8)
-        .select("id", "component", F.explode(star).alias("centre"))
-        .filter(F.col("component") != F.col("centre.component"))
-        .select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b"))
-        .distinct()
+    best = F.max_by(F.struct("degree", "node", *BOUNDS), F.struct("degree", "node"))
+    parts = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), best.alias("best"))
+    largest = parts.groupBy("key").agg(
+        F.max_by(F.struct("best", "component"), F.struct("size", "best.degree", "component")).alias("_large")
     )
+    named = [F.col("node").alias("c"), *[F.col(c).alias(f"c_{c}") for c in (*BOUNDS, "component")]]
+    if turn < QUICK_TURNS:
+        return largest.select("key", "_large.best.*", "_large.component").select("key", *named)
+    others = parts.join(largest, "key").filter(F.col("component") != F.col("_large.component"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("size", F.desc("best.degree"), "component"))
+    chosen = others.withColumn("_rank", rank).filter(F.col("_rank") <= CENTRES << 2 * (turn - QUICK_TURNS))
+    chosen = small(cut_lineage(chosen.select("best.node").distinct()))
+    return open_.join(chosen, "node", "left_semi").select("key", *named)
 
 
-def set_table(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, grams): the full shingle sets of the documents in ids(__id)."""
-    ids = small(ids, BROADCAST_IDS)
-    sets = (
-        docs.join(ids, F.col(id_col) == F.col("__id"), "left_semi")
-        .select(F.col(id_col).cast("long"), text_col)
-        .transform(in_arrow, lambda batches: _sets(batches, k), "id long, grams array<long>")
-    )
-    return sets.groupBy("id").agg(F.max("grams").alias("grams"))
+def star_edges(open_: DataFrame, chosen: DataFrame, quick: bool, percent: int) -> DataFrame:
+    """Distinct candidate pairs (m, c, m_component, c_component) of members and centres of other components.
 
+    Sets that can't have enough in common for the similarity asked for are no pair. In a quick
+    turn a member meets only the centre with which it shares most buckets.
+    """
+    # no more can be in common than either shares with any set, nor, inside and outside of one third set, than either has there
+    outside = lambda most, inside: F.greatest(F.col(most) - F.col(inside), F.lit(0))
+    apart = F.least("inside", "c_inside") + F.least(outside("most", "inside"), outside("c_most", "c_inside"))
+    common = F.least("most", "c_most", F.when(F.col("third") == F.col("c_third"), apart))
+    met = open_.join(chosen, "key").filter(
+        (F.col("component") != F.col("c_component")) & ((100 + percent) * common >= percent * (F.col("n") + F.col("c_n")))
+    )
+    pairs = met.groupBy(F.col("node").alias("m"), "c", F.col("component").alias("m_component"), "c_component").agg(F.count(F.lit(1)).alias("shared"))
+    if quick:
+        most = F.max_by(F.struct("c", "c_component"), F.struct("shared", "c"))
+        pairs = pairs.groupBy("m", "m_component").agg(most.alias("_most")).select("m", "_most.c", "m_component", "_most.c_component")
+    # a pair that was met from both ends is kept from one
+    one = F.max_by(F.struct("m", "c", "m_component", "c_component"), F.col("c"))
+    return pairs.groupBy(F.least("m", "c").alias("_a"), F.greatest("m", "c").alias("_b")).agg(one.alias("_e")).select("_e.*")
+
+
+def set_table(docs: DataFrame, nodes: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, grams): the full shingle sets of nodes(node, rep), read from the documents rep."""
+    wanted = small(nodes.select(F.col("rep").alias("__rep")).distinct(), BROADCAST_IDS)
+    read = docs.join(wanted, F.col(id_col).cast("long") == F.col("__rep"), "left_semi").select(text_col)
+    sets = read.transform(in_arrow, lambda batches: _sets(batches, k), "h1 long, h2 long, grams array<long>")
+    sets = sets.select(node_of(F.col("h1"), F.col("h2"), F.size("grams").cast("long")).alias("node"), "grams")
+    return sets.groupBy("node").agg(F.max("grams").alias("grams"))
+
+
+def measured(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The edges with the size of the intersection of their full shingle sets, and whether they are similar enough."""
+    ends = {}
+    for end in ("m", "c"):
+        few = small(cut_lineage(edges.select(F.col(end).alias("node")).distinct()), BROADCAST_IDS)
+        ends[end] = sets.join(few, "node", "left_semi").select(F.col("node").alias(end), F.col("grams").alias(f"_{end}"))
+    both = edges.join(ends["m"], "m").join(ends["c"], "c")
+    shared = F.size(F.array_intersect("_m", "_c"))
+    alike = 100 * F.col("shared") >= percent * (F.size("_m") + F.size("_c") - F.col("shared"))
+    return both.withColumn("shared", shared).select("m", "c", "m_component", "c_component", "shared", alike.alias("alike"))
+
+
+def linked(docs: DataFrame, members: DataFrame, reps: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, component) of members(node, n, key) that share a bucket with another one.
+
+    Each turn compares members of a bucket with its centres, across components. Quick turns
+    join what is alike to one document. After them a centre, compared with all of its
+    bucket, leaves it, and turns go on until no bucket holds two components: then each two
+    members of a bucket were compared or are linked by others. As a candidate pair shares
+    SHARED buckets, each member leaves all but one of so many, its largest ones: in the
+    smallest bucket that two share, both are left.
+    """
+    hot = members.groupBy("key").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
+    held = members.join(hot, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("_size", "key"))).alias("_keys"))
+    degree = F.aggregate("_keys", F.lit(0).cast("long"), lambda a, x: a + x["_size"])
+    fewer = F.slice("_keys", 1, F.size("_keys") - (SHARED - 1))
+    held = cut_lineage(held.filter(F.size("_keys") >= SHARED).select("node", "n", degree.alias("degree"), fewer.alias("_keys")))
+    open_ = held.select("node", "n", F.col("n").alias("most"), F.col("node").alias("third"), F.col("n").alias("inside"), "degree", F.col("node").alias("component"), F.explode("_keys.key").alias("key"))
+    open_ = cut_lineage(_mixed(open_))
+    labels = cut_lineage(open_.select("node", "component").distinct())
+    sets = cut_lineage(set_table(docs, reps.join(labels, "node", "left_semi"), k, id_col, text_col))
+    turn = 0
+    while open_.limit(1).count():
+        quick = turn < QUICK_TURNS
+        chosen = centres(open_, turn)
+        chosen = chosen if quick else cut_lineage(chosen)
+        edges = cut_lineage(star_edges(open_, chosen, quick, percent))
+        pairs = cut_lineage(measured(edges, sets, percent))
+        links = pairs.filter("alike").select("m_component", "c_component").distinct()
+        if not quick:
+            open_ = open_.join(small(cut_lineage(chosen.select(F.col("c").alias("node")).distinct())), "node", "left_anti")
+        if links.limit(1).count():
+            merged = connected_components(links.select(F.col("m_component").alias("a"), F.col("c_component").alias("b")))
+            merged = merged.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+            labels = cut_lineage(_relabelled(labels, merged))
+            open_ = _relabelled(open_, merged)
+        open_ = cut_lineage(_mixed(open_))
+        turn += 1
+        if turn == QUICK_TURNS:
+            open_ = cut_lineage(_mixed(bounded(open_, pairs, sets, percent)))
+    return labels
+
+
+def bounded(open_: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """open_ with bounds, without sets that can't be similar to one of open_.
+
+    The third set is the centre that the set was compared with. Elements are told apart by
+    32 bits, so that `most` is never too small.
+    """
+    thirds = pairs.select(F.col("m").alias("node"), F.col("c").alias("_c"), F.col("shared").alias("_shared"))
+    open_ = cut_lineage(
+        open_.join(thirds, "node", "left")
+        .withColumns({"third": F.coalesce("_c", "node"), "inside": F.coalesce("_shared", "n")})
+        .select(*open_.columns)
+    )
+    pool = small(cut_lineage(open_.select(F.explode(F.array("node", "third")).alias("node")).distinct()), BROADCAST_IDS)
+    held = sets.join(pool, "node", "left_semi").select("node", F.explode(F.transform("grams", lambda g: F.shiftright(g, 32).cast("int"))).alias("_g"))
+    common = held.groupBy("_g").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a <> _b").select("_g")
+    most = held.join(common, "_g", "left_semi").groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("most"))
+    return open_.drop("most").join(most, "node").filter(100 * F.col("most") >= percent * F.col("n")).select(*open_.columns)
 
-def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The edges whose full shingle sets are similar enough."""
-    left = salted_join(edges, sets.select(F.col("id").alias("a"), F.col("grams").alias("_a")), ["a"], "b", salts=4)
-    both = salted_join(left, sets.select(F.col("id").alias("b"), F.col("grams").alias("_b")), ["b"], "a", salts=4)
-    shared = F.size(F.array_intersect("_a", "_b"))
-    return both.filter(100 * shared >= percent * (F.size("_a") + F.size("_b") - shared)).select("a", "b")
 
+def _mixed(open_: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components."""
+    several = open_.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b")
+    return open_.join(several.select("key"), "key", "left_semi")
 
-def linked(docs: DataFrame, members: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, component) of members(id, key) that are linked to others.
 
-    Each turn compares members of a bucket with its centres. Buckets that then still hold
-    several components go on with other centres, until a turn links nothing new.
-    """
-    hot = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = cut_lineage(salted_join(members, hot, ["key"], "id", salts=8))
-    degrees = met.groupBy("id").agg(F.sum("n").alias("degree"))
-    sets = cut_lineage(set_table(docs, degrees.select(F.col("id").alias("__id")), k, id_col, text_col))
-    open_ = cut_lineage(met.select("id", "key").join(degrees, "id").withColumn("component", F.col("id")))
-    done = links = found = None
-    for turn in range(TURNS):
-        edges = star_edges(open_, turn)
-        if done is not None:
-            edges = edges.join(done, ["a", "b"], "left_anti")
-        edges = cut_lineage(edges)
-        new = cut_lineage(confirmed(edges, sets, percent))
-        done = edges if done is None else done.unionByName(edges)
-        if links is not None and not new.limit(1).count():
-            break
-        links = new if links is None else links.unionByName(new)
-        found = connected_components(links)
-        labelled = open_.drop("component").join(found.withColumnRenamed("node", "id"), "id", "left")
-        labelled = labelled.withColumn("component", F.coalesce("component", "id"))
-        mixed_keys = labelled.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b").select("key")
-        open_ = cut_lineage(salted_join(labelled, mixed_keys, ["key"], "id", "left_semi", 8))
-    return found
+def _relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    return rows.join(small(merged), "component", "left").select(
+        *[F.coalesce("_to", "component").alias(c) if c == "component" else F.col(c) for c in rows.columns]
+    )
 
 
 def near_duplicates(
@@ -211,29 +286,44 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, a row for each document."""
     signed = cut_lineage(signatures(docs, k, id_col, text_col))
-    classes = cut_lineage(
-        signed.filter(F.col("n_shingles") > 0)
-        .groupBy("h1", "h2", "n_shingles")
-        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    )
-    copied = classes.filter(F.col("copies") > 1)
-    alone = salted_join(
-        signed.filter(F.col("n_shingles") > 0), copied.select("h1", "h2", "n_shingles", "rep"), ["h1", "h2", "n_shingles"], "doc_id", "left", 8
-    )
-    members = alone.filter(F.coalesce(F.col("doc_id") == F.col("rep"), F.lit(True))).select(
-        F.col("doc_id").alias("id"), F.explode("keys").alias("key")
-    )
-    joined = linked(docs, members, k, percent, id_col, text_col)
-    # only classes that are linked or copied need a lookup; all others are their own component
-    moved = copied.join(joined, copied["rep"] == joined["node"], "left").select(
-        "h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("_by_class")
+    some = signed.filter(F.col("n_shingles") > 0)
+    classes = cut_lineage(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    copied = small(classes.filter("copies > 1").select("node"))
+    # one row of each class; of copies one, taken within tasks first
+    one = some.join(copied, "node", "left_anti").select("node", "n_shingles", "keys").unionByName(
+        some.join(copied, "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
     )
-    out = salted_join(signed.drop("keys"), moved, ["h1", "h2", "n_shingles"], "doc_id", "left", 8)
-    out = out.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("_by_class", "component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
+    members = one.select("node", F.col("n_shingles").cast("int").alias("n"), F.explode("keys").alias("key"))
+    labels = linked(docs, members, classes.select("node", "rep"), k, percent, id_col, text_col)
+    # an id with several texts holds their classes together
+    texts = signed.filter(F.col("doc_id").isNotNull()).groupBy("doc_id")
+    several = cut_lineage(texts.agg(F.min("node").alias("a"), F.max("node").alias("b"), F.min("n_shingles").alias("_n")).filter("a <> b OR (a IS NOT NULL AND _n = 0)"))
+    if several.limit(1).count():
+        labels = _joined_by_id(signed, several, labels)
+    named = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    moved = cut_lineage(
+        salted_join(named, least, ["component"], "node", salts=8).filter((F.col("copies") > 1) | ~F.col("rep").eqNullSafe(F.col("component_id")))
+        .select("node", "component_id")
     )
+    out = salted_join(signed.select("doc_id", "n_shingles", "node"), moved, ["node"], "doc_id", "left", 8)
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
+    found = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    if several.limit(1).count():  # rows of such an id without words go with its others
+        ids = found.join(small(several.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("_least"))
+        found = found.join(ids, "doc_id", "left").select("doc_id", "n_shingles", F.least("component_id", "_least").alias("component_id"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _joined_by_id(signed: DataFrame, several: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labels with the classes of one id in one component."""
+    held = signed.filter("node IS NOT NULL").join(small(several.select("doc_id")), "doc_id", "left_semi").select("doc_id", "node").distinct()
+    held = held.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    firsts = held.groupBy("doc_id").agg(F.min("component").alias("a"))
+    links = cut_lineage(held.join(firsts, "doc_id").select("a", F.col("component").alias("b")).distinct())
+    merged = connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    every = labels.unionByName(held.select("node", "component")).distinct()
+    return cut_lineage(_relabelled(every, merged))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
