@@ -108,8 +108,11 @@ def test_compact_windows_are_exact():
     draw = np.random.default_rng(5)
     g = draw.integers(0, 2**63, 300).astype(np.uint64)
     found = defaultdict(set)
-    for f, v, l, r in substring_dedup.compact_windows(g, 20):
-        found[f].add((l, r))
+    for t, f, _, l, r in zip(*substring_dedup.compact_windows([g[:19], g, g[40:200]], 20), strict=True):
+        if t == 1:
+            found[f].add((l, r))
+        else:
+            assert t == 2
     for f in range(substring_dedup.HASHES):
         h = substring_dedup.mixed(g ^ substring_dedup.SEEDS[f])
         expected = set()
@@ -186,7 +189,7 @@ def test_exact_passages_behind_crowded_hashes(spark):
     """The first documents of a passage's keys hold its phrases of the least hashes, but not the passage."""
     draw = random.Random(4)
     text = lambda n: [f"y{draw.randrange(50_000)}" for _ in range(n)]
-    keys = lambda w: {(f, v) for f, v, *_ in substring_dedup.compact_windows(shingles(word_hashes([" ".join(w)])[0], 5, short=False))}
+    keys = lambda w: {(f, v) for _, f, v, *_ in zip(*substring_dedup.compact_windows([shingles(word_hashes([" ".join(w)])[0], 5, short=False)]), strict=True)}
     passage = text(50)
 
     def crowd():
