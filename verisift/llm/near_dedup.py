@@ -6,8 +6,9 @@ bin's value is its least hash, and an empty bin takes the value of a bin that a
 Documents with the same set of shingles form a class, and only one document of a class
 takes part in the search. A bucket's candidate edges form stars: a member is paired with
 the bucket's centre, so that n members give fewer than n pairs. Pairs are confirmed on the
-full sets. Buckets whose members then aren't all one component take further turns with
-other centres, until each two of their members were compared or are linked by others.
+full sets. Where a bucket's members then aren't all one component, those outside its
+largest component are centres too, and meet what they can be similar to: each two members
+of a bucket are compared, ruled out by a bound, or linked by others.
 
 Defined results
 - null text, or text without a word: no shingles, linked with nothing, its own component.
@@ -27,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from verisift.llm.common import cut_lineage, in_arrow, salted_join, small
 from verisift.llm.components import connected_components
@@ -38,8 +38,6 @@ from verisift.llm.shingles import mixed, shingles, word_hashes
 #: bands with one of 5e-9.
 BANDS, ROWS, SHARED = 64, 5, 3
 BINS = BANDS * ROWS
-#: Turns in which a member meets one centre, and centres of a bucket in the turn after them.
-QUICK_TURNS, CENTRES = 1, 4
 #: Ids up to which a list of documents is broadcast (16 MB).
 BROADCAST_IDS = 1_000_000
 ATTEMPTS = 64
@@ -143,49 +141,40 @@ def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str =
     return signed.select("doc_id", "n_shingles", node_of(F.col("h1"), F.col("h2"), F.col("n_shingles")).alias("node"), "keys")
 
 
-def centres(open_: DataFrame, turn: int) -> DataFrame:
-    """The centres of this turn's stars in open_(key, node, component, degree and BOUNDS), with c_ before their columns.
+def quick_edges(open_: DataFrame) -> DataFrame:
+    """(m, c): each member of open_(key, node, degree) and, of its buckets' centres, the one in most of them.
 
-    In the quick turns a bucket has one, of the largest component the member of the
-    highest degree, which most copies of one original resemble. Later turns take members
-    outside the largest component, of a few of the smallest components one each, four times
-    as many in each turn; such a document is a centre of all its buckets.
+    A bucket's centre is the member of the highest degree, which most copies of one
+    original resemble.
     """
-    best = F.max_by(F.struct("degree", "node", *BOUNDS), F.struct("degree", "node"))
-    parts = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), best.alias("best"))
-    largest = parts.groupBy("key").agg(
-        F.max_by(F.struct("best", "component"), F.struct("size", "best.degree", "component")).alias("_large")
-    )
-    named = [F.col("node").alias("c"), *[F.col(c).alias(f"c_{c}") for c in (*BOUNDS, "component")]]
-    if turn < QUICK_TURNS:
-        return largest.select("key", "_large.best.*", "_large.component").select("key", *named)
-    others = parts.join(largest, "key").filter(F.col("component") != F.col("_large.component"))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("size", F.desc("best.degree"), "component"))
-    chosen = others.withColumn("_rank", rank).filter(F.col("_rank") <= CENTRES << 2 * (turn - QUICK_TURNS))
-    chosen = small(cut_lineage(chosen.select("best.node").distinct()))
-    return open_.join(chosen, "node", "left_semi").select("key", *named)
+    centre = open_.groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("c"))
+    met = open_.join(centre, "key").filter(F.col("node") != F.col("c")).groupBy(F.col("node").alias("m"), "c").agg(F.count(F.lit(1)).alias("shared"))
+    return met.groupBy("m").agg(F.max_by("c", F.struct("shared", "c")).alias("c"))
 
 
-def star_edges(open_: DataFrame, chosen: DataFrame, quick: bool, percent: int) -> DataFrame:
-    """Distinct candidate pairs (m, c, m_component, c_component) of members and centres of other components.
+def star_edges(open_: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (m, c) of different components that share a bucket of open_(key, node, component and BOUNDS).
 
-    Sets that can't have enough in common for the similarity asked for are no pair. In a quick
-    turn a member meets only the centre with which it shares most buckets.
+    Of each bucket all members outside its largest component are centres, so that each two
+    members of different components meet. Sets that can't have enough in common for the
+    similarity asked for are no pair.
     """
+    sizes = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("_large"))
+    outside = open_.join(largest, "key").filter(F.col("component") != F.col("_large")).select("node").distinct()
+    outside = small(cut_lineage(outside.withColumn("_centre", F.lit(True))))
+    flagged = open_.join(outside, "node", "left").withColumn("_centre", F.coalesce("_centre", F.lit(False)))
+    chosen = flagged.filter("_centre").select("key", *[F.col(x).alias(f"c_{x}") for x in ("node", "component", *BOUNDS)])
     # no more can be in common than either shares with any set, nor, inside and outside of one third set, than either has there
-    outside = lambda most, inside: F.greatest(F.col(most) - F.col(inside), F.lit(0))
-    apart = F.least("inside", "c_inside") + F.least(outside("most", "inside"), outside("c_most", "c_inside"))
+    beyond = lambda most, inside: F.greatest(F.col(most) - F.col(inside), F.lit(0))
+    apart = F.least("inside", "c_inside") + F.least(beyond("most", "inside"), beyond("c_most", "c_inside"))
     common = F.least("most", "c_most", F.when(F.col("third") == F.col("c_third"), apart))
-    met = open_.join(chosen, "key").filter(
-        (F.col("component") != F.col("c_component")) & ((100 + percent) * common >= percent * (F.col("n") + F.col("c_n")))
+    met = flagged.join(chosen, "key").filter(
+        (F.col("component") != F.col("c_component"))
+        & (~F.col("_centre") | (F.col("node") < F.col("c_node")))
+        & ((100 + percent) * common >= percent * (F.col("n") + F.col("c_n")))
     )
-    pairs = met.groupBy(F.col("node").alias("m"), "c", F.col("component").alias("m_component"), "c_component").agg(F.count(F.lit(1)).alias("shared"))
-    if quick:
-        most = F.max_by(F.struct("c", "c_component"), F.struct("shared", "c"))
-        pairs = pairs.groupBy("m", "m_component").agg(most.alias("_most")).select("m", "_most.c", "m_component", "_most.c_component")
-    # a pair that was met from both ends is kept from one
-    one = F.max_by(F.struct("m", "c", "m_component", "c_component"), F.col("c"))
-    return pairs.groupBy(F.least("m", "c").alias("_a"), F.greatest("m", "c").alias("_b")).agg(one.alias("_e")).select("_e.*")
+    return met.select(F.col("node").alias("m"), F.col("c_node").alias("c")).distinct()
 
 
 def set_table(docs: DataFrame, nodes: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -198,75 +187,65 @@ def set_table(docs: DataFrame, nodes: DataFrame, k: int, id_col: str, text_col:
 
 
 def measured(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The edges with the size of the intersection of their full shingle sets, and whether they are similar enough."""
-    ends = {}
-    for end in ("m", "c"):
-        few = small(cut_lineage(edges.select(F.col(end).alias("node")).distinct()), BROADCAST_IDS)
-        ends[end] = sets.join(few, "node", "left_semi").select(F.col("node").alias(end), F.col("grams").alias(f"_{end}"))
-    both = edges.join(ends["m"], "m").join(ends["c"], "c")
-    shared = F.size(F.array_intersect("_m", "_c"))
+    """The edges (m, c) with the size of the intersection of their full sets, and whether they are similar enough.
+
+    Few edges are sent to the sets; only the set of m is shuffled for an edge.
+    """
+    mine = sets.join(small(edges), F.col("node") == F.col("m")).select("m", "c", F.col("grams").alias("_m"))
+    few = small(cut_lineage(edges.select("c").distinct()), BROADCAST_IDS)
+    other = sets.join(few, F.col("node") == F.col("c"), "left_semi").select(F.col("node").alias("c"), F.col("grams").alias("_c"))
+    both = mine.join(other, "c").withColumn("shared", F.size(F.array_intersect("_m", "_c")))
     alike = 100 * F.col("shared") >= percent * (F.size("_m") + F.size("_c") - F.col("shared"))
-    return both.withColumn("shared", shared).select("m", "c", "m_component", "c_component", "shared", alike.alias("alike"))
+    return both.select("m", "c", "shared", alike.alias("alike"))
 
 
 def linked(docs: DataFrame, members: DataFrame, reps: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, component) of members(node, n, key) that share a bucket with another one.
-
-    Each turn compares members of a bucket with its centres, across components. Quick turns
-    join what is alike to one document. After them a centre, compared with all of its
-    bucket, leaves it, and turns go on until no bucket holds two components: then each two
-    members of a bucket were compared or are linked by others. As a candidate pair shares
-    SHARED buckets, each member leaves all but one of so many, its largest ones: in the
-    smallest bucket that two share, both are left.
+    """(node, component) of members(node, n, key) that share buckets with others.
+
+    A quick turn compares each member with one centre, which joins what is alike to one
+    document. A second one compares all members of a bucket that are not in one component
+    then. As a candidate pair shares SHARED buckets, each member leaves all but one of so
+    many, its largest ones: in the smallest bucket that two share, both are left.
     """
     hot = members.groupBy("key").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
     held = members.join(hot, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("_size", "key"))).alias("_keys"))
     degree = F.aggregate("_keys", F.lit(0).cast("long"), lambda a, x: a + x["_size"])
     fewer = F.slice("_keys", 1, F.size("_keys") - (SHARED - 1))
     held = cut_lineage(held.filter(F.size("_keys") >= SHARED).select("node", "n", degree.alias("degree"), fewer.alias("_keys")))
-    open_ = held.select("node", "n", F.col("n").alias("most"), F.col("node").alias("third"), F.col("n").alias("inside"), "degree", F.col("node").alias("component"), F.explode("_keys.key").alias("key"))
-    open_ = cut_lineage(_mixed(open_))
-    labels = cut_lineage(open_.select("node", "component").distinct())
-    sets = cut_lineage(set_table(docs, reps.join(labels, "node", "left_semi"), k, id_col, text_col))
-    turn = 0
-    while open_.limit(1).count():
-        quick = turn < QUICK_TURNS
-        chosen = centres(open_, turn)
-        chosen = chosen if quick else cut_lineage(chosen)
-        edges = cut_lineage(star_edges(open_, chosen, quick, percent))
-        pairs = cut_lineage(measured(edges, sets, percent))
-        links = pairs.filter("alike").select("m_component", "c_component").distinct()
-        if not quick:
-            open_ = open_.join(small(cut_lineage(chosen.select(F.col("c").alias("node")).distinct())), "node", "left_anti")
-        if links.limit(1).count():
-            merged = connected_components(links.select(F.col("m_component").alias("a"), F.col("c_component").alias("b")))
-            merged = merged.select(F.col("node").alias("component"), F.col("component").alias("_to"))
-            labels = cut_lineage(_relabelled(labels, merged))
-            open_ = _relabelled(open_, merged)
-        open_ = cut_lineage(_mixed(open_))
-        turn += 1
-        if turn == QUICK_TURNS:
-            open_ = cut_lineage(_mixed(bounded(open_, pairs, sets, percent)))
-    return labels
+    open_ = cut_lineage(held.select("node", "n", "degree", F.explode("_keys.key").alias("key")))
+    nodes = cut_lineage(open_.select("node").distinct())
+    sets = cut_lineage(set_table(docs, reps.join(nodes, "node", "left_semi"), k, id_col, text_col))
+
+    pairs = cut_lineage(measured(cut_lineage(quick_edges(open_)), sets, percent))
+    links = pairs.filter("alike").select(F.col("m").alias("a"), F.col("c").alias("b"))
+    first = small(connected_components(links))
+    open_ = cut_lineage(_mixed(open_.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))))
+    if open_.limit(1).count():
+        edges = cut_lineage(star_edges(bounded(open_, pairs, sets, percent), percent))
+        if edges.limit(1).count():
+            more = cut_lineage(measured(edges, sets, percent))
+            links = links.unionByName(more.filter("alike").select(F.col("m").alias("a"), F.col("c").alias("b")))
+            return connected_components(links)
+    return first
 
 
 def bounded(open_: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """open_ with bounds, without sets that can't be similar to one of open_.
+    """open_ with BOUNDS, without sets that can't be similar to one of open_.
 
     The third set is the centre that the set was compared with. Elements are told apart by
     32 bits, so that `most` is never too small.
     """
-    thirds = pairs.select(F.col("m").alias("node"), F.col("c").alias("_c"), F.col("shared").alias("_shared"))
-    open_ = cut_lineage(
-        open_.join(thirds, "node", "left")
-        .withColumns({"third": F.coalesce("_c", "node"), "inside": F.coalesce("_shared", "n")})
-        .select(*open_.columns)
+    thirds = small(pairs.select(F.col("m").alias("node"), F.col("c").alias("_c"), F.col("shared").alias("_shared")))
+    open_ = open_.join(thirds, "node", "left").select(
+        "key", "node", "component", "n", F.coalesce("_c", "node").alias("third"), F.coalesce("_shared", "n").alias("inside")
     )
+    open_ = cut_lineage(open_)
     pool = small(cut_lineage(open_.select(F.explode(F.array("node", "third")).alias("node")).distinct()), BROADCAST_IDS)
     held = sets.join(pool, "node", "left_semi").select("node", F.explode(F.transform("grams", lambda g: F.shiftright(g, 32).cast("int"))).alias("_g"))
     common = held.groupBy("_g").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a <> _b").select("_g")
     most = held.join(common, "_g", "left_semi").groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("most"))
-    return open_.drop("most").join(most, "node").filter(100 * F.col("most") >= percent * F.col("n")).select(*open_.columns)
+    most = small(cut_lineage(most))
+    return cut_lineage(_mixed(open_.join(most, "node").filter(100 * F.col("most") >= percent * F.col("n"))))
 
 
 def _mixed(open_: DataFrame) -> DataFrame:
