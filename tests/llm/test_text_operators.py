@@ -190,3 +190,15 @@ def test_url_filters(spark):
     out = url_filters.judge(df).collect()
     assert sorted((r["page_id"], r["verdict"], str(r["rule"])) for r in out) == sorted((i, v, str(r)) for i, _, v, r in urls)
     assert url_filters.judge(df.filter("false")).count() == 0
+
+
+def test_long_runs_change_no_other_row(spark):
+    """Texts of many equal characters sum over more ways than a double holds; other rows keep their samples."""
+    rows = [(i, f"plain words number {i} and some more-or-less ordinary ones") for i in range(40)]
+    alone = {r["doc_id"]: r["ids"] for r in sampled_pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), PIECES).collect()}
+    long = [(100, "-" * 20_000), (101, "-" * 100_000), (102, "ab" * 30_000), (103, "\0x ▁y")]
+    out = sampled_pieces.encode(spark.createDataFrame(rows[:20] + long + rows[20:], "doc_id long, text string").coalesce(1), PIECES)
+    found = {r["doc_id"]: r for r in out.collect()}
+    assert all(r["lossless"] for r in found.values()) and {i: found[i]["ids"] for i, _ in rows} == alone
+    back = {r["doc_id"]: r["text"] for r in sampled_pieces.decode(out, PIECES).collect()}
+    assert back == dict(rows + long)

@@ -37,14 +37,30 @@ THETA = 0.3
 #: Distinct words whose lattices a worker keeps, and characters whose words are sampled at once.
 CACHE_WORDS = 400_000
 BATCH_CHARS = 1_000_000
-_LONG = 64
+#: Characters of words whose lattices are summed at once, and above which a word is summed on its own, place by place.
+ADD_CHARS, LONG = 100_000, 64
+#: Size of the table that rules out substrings that are no piece.
+SIEVE = 1 << 22
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Column:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype):
+        self.data, self.n = np.empty(1024, dtype=dtype), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.empty(max(self.n, len(values)), dtype=self.data.dtype)])
+        self.data[self.n : self.n + len(values)] = values
+        self.n += len(values)
 
 
 class Lattices:
     """Backward distributions of distinct words, as flat arrays over their nodes."""
 
     def __init__(self, path: str):
-        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -59,11 +75,26 @@ class Lattices:
             raise ValueError("a piece reaches over the start of a word")
         self.lengths = np.array([len(x) for x in names], dtype=np.int64)
         rank = {i: r for r, i in enumerate(sorted(plain, key=lambda i: (-model.get_score(i), i)))}
-        self.weight = np.array([(1.0 + rank.get(i, 0)) ** -THETA for i in range(n)])
-        self.machine = ahocorasick.Automaton()
+        self.weight = np.array([*[(1.0 + rank.get(i, 0)) ** -THETA for i in range(n)], 0.0])  # the last stands for no piece
+        self.longest = max(len(names[i]) for i in plain)
+        self.letters = np.zeros((n, self.longest), dtype=np.uint32)
+        hashes = {}
         for i in plain:
-            self.machine.add_word(names[i], i)
-        self.machine.make_automaton()
+            code = self._codes(names[i])
+            self.letters[i, : len(code)] = code
+            h = np.full(1, len(code), dtype=np.uint64)
+            for c in code:
+                h = h * _FACTOR + c
+            hashes[int(mixed(h)[0])] = i
+        if len(hashes) < len(plain):
+            raise ValueError("two pieces have the same hash")
+        self.hashes = np.array(sorted(hashes), dtype=np.uint64)
+        self.hashed = np.array([hashes[int(h)] for h in self.hashes], dtype=np.int32)
+        self.sieve = np.zeros(SIEVE, dtype=bool)
+        self.sieve[(self.hashes % np.uint64(SIEVE)).astype(np.int64)] = True
+        self.pool = np.frombuffer(b"".join(self.raw), dtype=np.uint8)
+        self.sizes = np.array([len(x) for x in self.raw], dtype=np.int64)
+        self.offsets = np.cumsum(self.sizes) - self.sizes
         chars = {names[i] for i in plain if len(names[i]) == 1} - {SPACE}
         known = "".join(sorted(re.escape(c) for c in chars))
         # U+0000 stands for a space here, so that a literal U+2581 stays another character
@@ -71,90 +102,126 @@ class Lattices:
         self.chars = frozenset(chars)
         self.clear()
 
+    @staticmethod
+    def _codes(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.first = np.empty(0, dtype=np.int64)  # of a word: its first node
-        self.nodes = np.empty(0, dtype=np.int64)  # of a word: how many steps of one place it has
-        self.edge = np.zeros(1, dtype=np.int64)  # of a node: its first edge
-        self.key = np.empty(0)  # of an edge: its node's number plus the summed probability up to it
-        self.piece = np.empty(0, dtype=np.int32)
-        self.step = np.empty(0, dtype=np.uint8)
+        self.first = Column(np.int64)  # of a word: its first node
+        self.nodes = Column(np.int64)  # of a word: how many steps of one place it has
+        self.edge = Column(np.int64)  # of a node: its first edge
+        self.edge.extend(np.zeros(1, dtype=np.int64))
+        self.key = Column(np.float64)  # of an edge: the summed probability of its node's edges up to it
+        self.piece = Column(np.int32)
+        self.step = Column(np.uint8)
 
     def add(self, words: list[str]) -> None:
         """Learn distinct words that aren't known yet."""
         ordinary = [w for w in words if w[0] in self.chars or w[0] == "\0"]
         other = [w for w in words if not (w[0] in self.chars or w[0] == "\0")]
-        if ordinary:
-            self._add(ordinary, *self._forward(ordinary))
+        group: list[str] = []
+        size = 0
+        for w in [*ordinary, None]:
+            if group and (w is None or size + len(w) > ADD_CHARS):
+                self._add(group, *self._forward(group))
+                group, size = [], 0
+            if w is not None:
+                group.append(w)
+                size += len(w)
         if other:
             data = [[self.byte[b] for b in w.encode()] for w in other]
             pieces = np.array([p for d in data for p in d])
             at = np.arange(len(pieces))
             self._add(other, np.array([len(d) for d in data]), at, pieces, np.ones(len(pieces), dtype=np.int64), np.ones(len(pieces)))
 
+    def _pieces(self, code: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """For each place and length - 1 the piece that ends there, else -1; left: places to the word's end."""
+        found = np.full((len(code), self.longest), -1, dtype=np.int32)
+        start = np.arange(len(code))
+        for size in range(1, self.longest + 1):
+            start = start[left[start] >= size]
+            if not len(start):
+                break
+            h = np.full(len(start), size, dtype=np.uint64)
+            for j in range(size):
+                h = h * _FACTOR + code[start + j]
+            h = mixed(h)
+            some = np.flatnonzero(self.sieve[(h % np.uint64(SIEVE)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
+            some, at = some[self.hashes[at] == h[some]], at[self.hashes[at] == h[some]]
+            piece, begin = self.hashed[at], start[some]
+            same = (self.letters[piece, :size] == code[begin[:, None] + np.arange(size)]).all(axis=1)
+            found[begin[same] + size - 1, size - 1] = piece[same]
+        return found
+
     def _forward(self, words: list[str]):
         """Of the words: lengths; of their edges in order of their end: node, piece, length and weight."""
-        text = "\n".join(words).replace("\0", SPACE) + "\n"
-        length = np.array([len(w) for w in words])
-        start = np.concatenate([[0], np.cumsum(length + 1)])[:-1]
-        found = np.fromiter(chain.from_iterable(self.machine.iter(text)), dtype=np.int64).reshape(-1, 2)
-        end, piece = found[:, 0].copy(), found[:, 1].copy()
-        word = np.searchsorted(start, end, side="right") - 1
-        place = end - start[word] + 1  # 1 for the first character
-        step = self.lengths[piece]
-        total = np.zeros(len(text) + 1)
-        total[start] = 1.0
-        weight = self.weight[piece]
-        value = np.zeros(len(piece))
-        short = length[word] <= _LONG
-        order = np.argsort(np.where(short, place, _LONG + 1), kind="stable")
-        bounds = np.searchsorted(np.where(short, place, _LONG + 1)[order], np.arange(1, _LONG + 2))
-        for j in range(len(bounds) - 1):
-            e = order[bounds[j] : bounds[j + 1]]
-            if len(e):
-                node = start[word[e]] + place[e]
-                value[e] = total[node - step[e]] * weight[e]
-                np.add.at(total, node, value[e])
-        for e in order[bounds[-1] :]:  # of long words, one by one; sums are scaled before they vanish
-            node = start[word[e]] + place[e]
-            value[e] = total[node - step[e]] * weight[e]
-            total[node] += value[e]
-            if total[node] < 1e-200:
-                low = max(start[word[e]], node - 64)
-                total[low : node + 1] *= 1e200
-                same = (end >= end[e] - 1) & (end <= end[e])
-                value[same] *= np.where(end[same] == end[e], 1e200, 1.0)
-        node = end - word  # boundaries between the words hold no nodes
-        return length, node, piece, step, value
+        length = np.array([len(w) for w in words], dtype=np.int64)
+        code = self._codes("".join(words).replace("\0", SPACE))
+        start = np.cumsum(length) - length
+        found = self._pieces(code, np.repeat(start + length, length) - np.arange(len(code)))
+        # total[i + word + 1] is the sum after place i, total[start + word] that before a word
+        total, back = np.zeros(len(code) + len(words) + self.longest), np.arange(1, self.longest + 1)
+        base = start + np.arange(len(words)) + self.longest
+        total[base] = 1.0
+        value = np.empty(found.shape)
+        order = np.argsort(-length, kind="stable")
+        order = order[length[order] <= LONG]
+        sizes = -length[order]
+        for place in range(LONG):
+            active = order[: np.searchsorted(sizes, -place, side="left")]
+            if not len(active):
+                break
+            node, at, most = start[active] + place, base[active] + place + 1, min(place + 1, self.longest)
+            sums = total[at[:, None] - back[:most]] * self.weight[found[node, :most]]
+            value[node, :most] = sums
+            total[at] = sums.sum(axis=1)
+        for w in np.flatnonzero(length > LONG):  # the sums before a place are scaled alike as soon as they get large or small
+            for place in range(length[w]):
+                node, at = start[w] + place, base[w] + place + 1
+                value[node] = total[at - back] * self.weight[found[node]]
+                total[at] = value[node].sum()
+                if not 1e-100 < total[at] < 1e100:
+                    total[max(at - self.longest, base[w]) : at + 1] /= total[at]
+        node, size = np.nonzero(found >= 0)
+        return length, node, found[node, size], size + 1, value[node, size]
 
     def _add(self, words, nodes, node, piece, step, value) -> None:
         """node: of each edge, from 0, in order; nodes: how many each word has."""
         count = np.bincount(node, minlength=int(nodes.sum()))
         first = np.concatenate([[0], np.cumsum(count)])
         whole = np.add.reduceat(value, first[:-1])
-        base = len(self.edge) - 1
+        if not (np.isfinite(whole).all() and (whole > 0).all()):
+            raise ArithmeticError("a word's sums are out of range")
         share = value / np.repeat(whole, count)
-        within = np.cumsum(share) - np.repeat(np.concatenate([[0.0], np.cumsum(np.add.reduceat(share, first[:-1]))[:-1]]), count)
+        before = np.concatenate([[0.0], np.cumsum(share)])[first[:-1]]
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
-        self.first = np.concatenate([self.first, base + np.concatenate([[0], np.cumsum(nodes)[:-1]])])
-        self.nodes = np.concatenate([self.nodes, nodes])
-        self.edge = np.concatenate([self.edge, self.edge[-1] + first[1:]])
-        self.key = np.concatenate([self.key, base + node + within])
-        self.piece = np.concatenate([self.piece, piece.astype(np.int32)])
-        self.step = np.concatenate([self.step, step.astype(np.uint8)])
+        self.first.extend(self.edge.n - 1 + np.cumsum(nodes) - nodes)
+        self.nodes.extend(nodes)
+        self.edge.extend(self.edge.data[self.edge.n - 1] + first[1:])
+        self.key.extend(np.cumsum(share) - np.repeat(before, count))
+        self.piece.extend(piece)
+        self.step.extend(step)
 
     def sample(self, word: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pieces of all words in order, and how many each has."""
-        first, at = self.first[word], self.nodes[word].copy()
+        first, at = self.first.data[word], self.nodes.data[word]
+        edge, key = self.edge.data, self.key.data
         active, steps = np.argsort(word, kind="stable"), 0  # near words are near in memory
         taken: list[tuple[np.ndarray, np.ndarray]] = []
         number = np.zeros(len(word), dtype=np.int64)
+        halvings = range(self.longest.bit_length())
         while len(active):
             u = (mixed(seed[active] + np.uint64(steps * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
             node = first[active] + at[active] - 1
-            e = np.clip(np.searchsorted(self.key, node + u, side="right"), self.edge[node], self.edge[node + 1] - 1)
-            taken.append((active, self.piece[e]))
-            at[active] -= self.step[e]
+            low, high = edge[node], edge[node + 1] - 1
+            for _ in halvings:  # the node's first edge whose sum is over u, or its last
+                middle = (low + high) >> 1
+                over = key[middle] > u
+                low, high = np.where(over, low, np.minimum(middle + 1, high)), np.where(over, middle, high)
+            taken.append((active, self.piece.data[low]))
+            at[active] -= self.step.data[low]
             number[active] += 1
             active = active[at[active] > 0]
             steps += 1
@@ -196,6 +263,16 @@ class Lattices:
             self._add(["NUL"], np.array([1]), np.array([0]), np.array([self.byte[0]]), np.array([1]), np.array([1.0]))
         return out
 
+    def lossless(self, ids: list[np.ndarray], texts: list[str]) -> list[bool]:
+        """Whether the ids of each text decode to it, byte for byte."""
+        every = np.concatenate(ids) if ids else np.empty(0, dtype=np.int32)
+        size = self.sizes[every]
+        ends = np.cumsum(size)
+        at = np.repeat(self.offsets[every] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        data = self.pool[at].tobytes()
+        last = np.concatenate([[0], ends])[np.cumsum([len(i) for i in ids])].tolist() if ids else []
+        return [data[a:b] == ((" " + t).encode("utf-8", "surrogatepass") if t else b"") for a, b, t in zip([0, *last], last, texts, strict=False)]
+
     def decode(self, ids) -> str:
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8")[1:]
 
@@ -223,8 +300,9 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for part in _groups(texts):
-                ids = lattices.encode(keys[part], [t or "" for t in texts[part]])
-                same = [t is None or lattices.decode(i.tolist()) == t for i, t in zip(ids, texts[part], strict=True)]
+                whole = [t or "" for t in texts[part]]
+                ids = lattices.encode(keys[part], whole)
+                same = lattices.lossless(ids, whole)
                 none = [t is None for t in texts[part]]
                 yield pa.RecordBatch.from_arrays(
                     [
