@@ -20,14 +20,15 @@ Defined results
 from __future__ import annotations
 
 import os
+import re
 import sys
+import unicodedata
 import zlib
 from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -48,10 +49,18 @@ SCHEMA = (
     "tier long, step_id long"
 )
 
+#: Characters that are looked up by word; a text with others, or with what may be a special token, goes to the tokenizer whole.
+USUAL = [c for c in range(0x250) if c not in (0x130, 0x85) and (c in range(9, 14) or c in range(0x20, 0x7F) or c >= 0xA0)]
+
+
+def _class(kind: str) -> str:
+    """The usual characters of a general category."""
+    return "".join(re.escape(chr(c)) for c in USUAL if unicodedata.category(chr(c))[0] == kind)
+
+
 # How the tokenizer's own file splits a text into words.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: A text with other characters, or with what may be a special token, goes to the tokenizer whole.
-UNUSUAL = r"[^\t\n\x0B\x0C\r\x20-\x7E\xA0-įı-ɏ]|<\|"
+WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\s{_class('L')}{_class('N')}]+"
+UNUSUAL = rf"[^{''.join(re.escape(chr(c)) for c in USUAL)}]|<\|"
 
 
 class WordTokenizer:
@@ -67,7 +76,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.words, self.unusual, self.space = regex.compile(WORDS), regex.compile(UNUSUAL), regex.compile(r"\s")
+        self.words, self.unusual, self.space = re.compile(WORDS), re.compile(UNUSUAL), re.compile(r"\s")
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
@@ -79,20 +88,18 @@ class WordTokenizer:
     def _chunks(self, texts: list[str]) -> list[bytes]:
         """Ids of short texts; words that are new to the worker are tokenised in one call."""
         split = [None if self.unusual.search(t) else self.words.findall(t.lower()) for t in texts]
-        found = [None if s is None else list(map(self.known.get, s)) for s in split]
-        if any(f is not None and None in f for f in found):
-            missing = set().union(*[s for s in split if s is not None]).difference(self.known)
+        seen = set().union(*[s for s in split if s is not None])
+        if missing := seen.difference(self.known):
             if len(self.known) + len(missing) > CACHE_WORDS:
                 self.known.clear()
-                missing = set().union(*[s for s in split if s is not None])
+                missing = seen
             names = list(missing)
-            self.known.update(
-                (w, self._bytes(e.ids)) for w, e in zip(names, self.tokenizer.encode_batch_fast(names, add_special_tokens=False), strict=True)
-            )
-            found = [None if s is None else list(map(self.known.__getitem__, s)) for s in split]
+            found = self.tokenizer.encode_batch_fast(names, add_special_tokens=False)
+            self.known.update(zip(names, map(self._bytes, [e.ids for e in found]), strict=True))
+        look = self.known.__getitem__
         return [
-            self._bytes(self.tokenizer.encode(t, add_special_tokens=False).ids) if f is None else b"".join(f)
-            for t, f in zip(texts, found, strict=True)
+            self._bytes(self.tokenizer.encode(t, add_special_tokens=False).ids) if s is None else b"".join(map(look, s))
+            for t, s in zip(texts, split, strict=True)
         ]
 
     def encode(self, texts: list[str]) -> list[bytes]:
