@@ -53,6 +53,13 @@ def test_frequent_lines_are_counted_per_host(spark):
     assert cut[3] == own(3) and cut[101].startswith("share") and cut[300] is None
 
 
+def test_repeated_rows_count_as_one_document(spark):
+    own = "a line that only this document has and that twelve words make up"
+    rows = [(1, own, "a", "x", 1)] * 25 + [(2, f"{own} too", "a", "x", 1)]
+    out = quality_rules.quality(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(out) == 26 and all(r["kept"] and r["n_removed_words"] == 0 for r in out)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert quality_rules.quality(none).count() == 0

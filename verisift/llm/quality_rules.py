@@ -7,8 +7,8 @@ are removed, and a document of which too little is left is rejected.
 Defined results
 - null text: no words, no lines; every count is 0 and the base rules reject it.
 - null host: such documents form a host of their own.
-- ties and repeated rows: rows alike in host, id and text are one document in the removal
-  step; each row is returned.
+- ties and repeated rows: the rows of one id count as one document of their host, and each
+  row is returned; documents without an id lose lines but aren't counted.
 - a column of the input named like one of this module's is not read; only the three
   columns named in the arguments are.
 - an empty table gives an empty result.
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verisift.llm.common import SPACE, WORD, let, salted_join
+from verisift.llm.common import SPACE, WORD, cut_lineage, let, salted_join, small
 
 #: A line is removed if more documents of its host than both limits allow have it.
 MIN_DOCUMENTS = 20
@@ -107,13 +107,11 @@ def line_table(docs: DataFrame, host_col: str, id_col: str = "doc_id", text_col:
         lines_of(F.col(text_col)),
         lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words")),
     )
-    summed = F.map_from_entries(
-        F.transform(
-            F.array_distinct(F.col("_h")["line"]),
-            lambda h: F.struct(
-                h, F.aggregate(F.filter(F.col("_h"), lambda x: x["line"] == h), F.lit(0), lambda a, x: a + x["words"])
-            ),
-        )
+    summed = F.transform(
+        F.array_distinct(F.col("_h")["line"]),
+        lambda h: F.struct(
+            h.alias("line"), F.aggregate(F.filter(F.col("_h"), lambda x: x["line"] == h), F.lit(0), lambda a, x: a + x["words"]).alias("words")
+        ),
     )
     rows = docs.select(
         F.coalesce(F.col(host_col), F.lit("")).alias("host"),
@@ -122,39 +120,37 @@ def line_table(docs: DataFrame, host_col: str, id_col: str = "doc_id", text_col:
         hashed.alias("_h"),
     )
     unique = F.size(F.array_distinct(F.col("_h")["line"])) == F.size("_h")
-    plain = rows.filter(unique).select("host", "doc_id", "text_key", F.explode("_h").alias("_x")).select(
-        "host", "doc_id", "text_key", "_x.line", F.col("_x.words").alias("words")
-    )
-    repeats = rows.filter(~unique).select("host", "doc_id", "text_key", F.explode(summed).alias("line", "words"))
-    return plain.unionByName(repeats)
+    each = rows.select("host", "doc_id", "text_key", F.explode(F.when(unique, F.col("_h")).otherwise(summed)).alias("_x"))
+    return each.select("host", "doc_id", "text_key", "_x.line", "_x.words")
 
 
 def frequent_lines(
+    lines: DataFrame,
     docs: DataFrame,
     host_col: str = "source",
     id_col: str = "doc_id",
-    text_col: str = "text",
     min_documents: int = MIN_DOCUMENTS,
     min_share: float = MIN_SHARE,
 ) -> DataFrame:
     """(host, line, documents) of the lines above the limits, line being the normalised line's hash.
 
-    Counts are summed within each task first, so a line that a third of all documents
-    share adds one row per task to the shuffle.
+    Distinct ids are counted, so that repeated rows count once: the rows of a line that a
+    third of all documents share are dealt out by id, and their counts summed.
     """
-    lines = line_table(docs, host_col, id_col, text_col)
-    sizes = docs.groupBy(F.coalesce(F.col(host_col), F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("_all"))
-    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") > min_documents)
+    host = F.coalesce(F.col(host_col), F.lit("")).alias("host")
+    sizes = docs.select(host, F.col(id_col).alias("_id")).groupBy("host").agg(F.countDistinct("_id").alias("_all"))
+    counts = lines.groupBy("host", "line").agg(F.countDistinct("doc_id").alias("documents")).filter(F.col("documents") > min_documents)
     return (
         counts.join(sizes, "host").filter(F.col("documents") > F.col("_all") * min_share).select("host", "line", "documents")
     )
 
 
-def removed_lines(docs: DataFrame, frequent: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """(doc_id, text_key, removed): hashes and words of the lines that each document loses."""
-    lines = line_table(docs, host_col, id_col, text_col)
+    lines = cut_lineage(line_table(docs, host_col, id_col, text_col))
+    frequent = small(cut_lineage(frequent_lines(lines, docs, host_col, id_col, **limits).select("host", "line")))
     return (
-        salted_join(lines, frequent.select("host", "line"), ["host", "line"], "doc_id")
+        salted_join(lines, frequent, ["host", "line"], "doc_id")
         .groupBy("doc_id", "text_key")
         .agg(F.collect_set(F.struct("line", "words")).alias("removed"))
     )
@@ -164,7 +160,7 @@ def remove_frequent_lines(
     docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", **limits
 ) -> DataFrame:
     """The documents with their frequent lines cut out of the text; all columns stay."""
-    gone = removed_lines(docs, frequent_lines(docs, host_col, id_col, text_col, **limits), host_col, id_col, text_col)
+    gone = removed_lines(docs, host_col, id_col, text_col, **limits)
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("removed")["line"].alias("__gone"))
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__key"))
     lost = F.col("__gone")
@@ -185,7 +181,7 @@ def quality(
 ) -> DataFrame:
     """The base rules and the line-frequency verdict, a row for each document."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
-    gone = removed_lines(docs, frequent_lines(docs, "host", **limits), "host").select(
+    gone = removed_lines(docs, "host", **limits).select(
         "doc_id",
         "text_key",
         F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("n_removed_words"),
