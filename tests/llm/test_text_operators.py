@@ -156,6 +156,33 @@ def test_templates_are_deleted_by_frequency(spark):
     assert got[4] == "Own 4" and got[99] == "Shared box\nOwn 99"
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    page = "<html><body><article><p>Let <math><mi>x</mi></math> be</p><div><p>More of it</p></div></article></body></html>"
+    pages = [(1, "http://h.com/1", page)] * 6 + [(i, f"http://h.com/{i}", page) for i in range(2, 8)] + [(9, "http://h.com/9", "<article><p>Else</p></article>")]
+    out = html_extraction.digest(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(out) == len(pages) and all(r["text"] == ("Else" if r["page_id"] == 9 else "Let x be\nMore of it") for r in out)
+
+
+def test_subtree_counts_against_brute_force(spark):
+    """A subtree is deleted where enough of its host's distinct pages have it, and only there."""
+    box = lambda i, j: f"<div><p>Box {j}</p></div>" if (i * 7 + j) % 3 == 0 else ""
+    pages = [(i, f"http://h{i % 2}.com/{i}", f"<body>{''.join(box(i, j) for j in range(4))}<p>Own {i}</p></body>") for i in range(40)]
+    pages = [p for p in pages if p[0] % 2 == 0 or p[0] < 9]
+    held = defaultdict(set)
+    for i, _, _ in pages:
+        for j in range(4):
+            if box(i, j):
+                held[i % 2, j].add(i)
+    hosts = defaultdict(int)
+    for i, _, _ in pages:
+        hosts[i % 2] += 1
+    gone = {k for k, v in held.items() if len(v) >= html_extraction.MIN_PAGES and len(v) >= html_extraction.MIN_SHARE * hosts[k[0]]}
+    assert gone and len(gone) < len(held)
+    got = {r["page_id"]: r["text"] for r in html_extraction.digest(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i, _, _ in pages:
+        assert got[i] == "\n".join([f"Box {j}" for j in range(4) if box(i, j) and (i % 2, j) not in gone] + [f"Own {i}"])
+
+
 def test_names_drop_no_main_text():
     text = lambda page: html_extraction.blocks(html_extraction.parse(page), set())
     main = '<article class="post comment-open"><p>One two</p><p class="alert">Three</p><section id="related-work"><p>Four</p></section></article>'

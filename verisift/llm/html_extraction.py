@@ -44,7 +44,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q ruby rt rp s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot "
+    "mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
@@ -55,7 +56,7 @@ SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 CONTAINERS = frozenset({"div", "section"})
 DROPPED = frozenset(
     "head script style noscript template nav aside footer form button select option textarea input label iframe object embed "
-    "canvas svg math audio video dialog menu title xmp noembed noframes".split()
+    "canvas svg audio video dialog menu title xmp noembed noframes".split()
 )
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense adslot banner banners sponsor sponsored sponsors promo "
