@@ -71,8 +71,9 @@ def test_quote_search_against_brute_force(spark):
     pages += [(20 + i, " ".join(words[:i] + [f"({words[i]}x", "x"] + words[i + 1 :])) for i in range(10)] + [(40, "a b c d e f g"), (41, None), (42, "été à la"), (43, "unlike")]
     quotes = [(1, " ".join(words)), (2, " ".join(words[:6])), (3, "bravo1 charlie2"), (4, "a c d e f g"), (5, "été à"), (6, "b c"), (7, ""), (8, " ".join(words[:3] + words[6:])), (9, None)]
     p, q = spark.createDataFrame(pages, "page_id int, text string"), spark.createDataFrame(quotes, "quote_id int, quote string")
-    found = verify.tier(text.canonical(F.col("quote")), text.canonical(F.col("text")))
-    expected = {tuple(r) for r in q.crossJoin(p).select("quote_id", "page_id", found).collect() if r[2] != "unverified"}
+    found = verify.tier(F.col("q"), F.col("p"))
+    every = q.select("quote_id", text.canonical(F.col("quote")).alias("q")).crossJoin(p.select("page_id", text.canonical(F.col("text")).alias("p")))
+    expected = {tuple(r) for r in every.select("quote_id", "page_id", found).collect() if r[2] != "unverified"}
     got = [tuple(r) for r in verify.search_quotes(q, p).collect()]
     assert set(got) == expected and len(got) == len(expected)
     assert {(1, i, "layout") for i in range(1, 10)} <= expected and {r[0] for r in expected} == {1, 2, 3, 4, 5, 6, 8}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,14 +25,25 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-def canonical(text: Column, compose: bool = False) -> Column:
-    """Straight quotes and dashes, no bullets, single spaces, lower case; NFKC first if asked for."""
-    text = nfkc(text) if compose else text
+def canonical(text: Column, compose: bool = True) -> Column:
+    """NFKC, straight quotes and dashes, no bullets, single spaces, lower case; plain ASCII is not sent to Python."""
+    text = F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text) if compose else text
     blanks = BULLETS + "    "
     plain = F.translate(text, QUOTES_FROM + blanks + DROPPED, QUOTES_TO + " " * len(blanks))
     return F.lower(F.trim(F.regexp_replace(plain, r"[\s\x0B]+", " ")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, though body uses it many times or inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def one_spaced(text: Column) -> Column:
+    """Single spaces, trimmed, lower case."""
+    return F.lower(F.trim(F.regexp_replace(text, r"[\s\x0B]+", " ")))
+
+
+# The pattern of tokens.
 def tokens(canonical_text: Column) -> Column:
     """Words, and figures such as 18-20 or 2.00% whole."""
     return F.regexp_extract_all(canonical_text, F.lit(r"[a-z0-9]+(?:[.,%/'-][a-z0-9]+)*|[%₹$]"), F.lit(0))

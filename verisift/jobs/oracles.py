@@ -120,10 +120,10 @@ ORACLES = {
     "triage_funnel": """SELECT n_name, count(*) AS entered, count(*) FILTER (years >= 3) AS advanced, round(count(*) FILTER (years >= 3) / count(*), 4) AS rate
         FROM customer LEFT JOIN (SELECT o_custkey, count(DISTINCT year(o_orderdate)) AS years FROM orders GROUP BY 1) ON c_custkey = o_custkey
         JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""",
-    "name_overlap": """WITH n AS (SELECT DISTINCT p_brand, lower(p_name) AS name, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part)
+    "name_overlap": """WITH n AS (SELECT DISTINCT p_brand, lower(p_name || ' ' || p_type) AS name, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS w FROM part)
         SELECT a.p_brand, a.name, b.name AS other, round(len(list_intersect(a.w, b.w)) / greatest(1, least(len(a.w), len(b.w))), 3) AS overlap
         FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.name < b.name
-        WHERE len(list_intersect(a.w, b.w)) / greatest(1, least(len(a.w), len(b.w))) >= 0.5""",
+        WHERE len(list_intersect(a.w, b.w)) / greatest(1, least(len(a.w), len(b.w))) >= 0.6""",
     "company_names": "SELECT s_suppkey, upper(replace(s_name, '#', '-')) AS slug FROM supplier",
     "range_match": """SELECT c_custkey, CASE WHEN filed IS NULL THEN 'not_filed' WHEN c_acctbal * 100 < 0.4 * filed THEN 'below'
         WHEN c_acctbal * 100 > 2.5 * filed THEN 'above' ELSE 'match' END AS band
@@ -135,8 +135,22 @@ ORACLES = {
         r AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM d
               UNION ALL SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY lines DESC, doc_id) FROM d)
         SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM r WHERE rank <= 50 GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10""",
-    "inputs_hash": """SELECT source, sha256(string_agg(x, '|' ORDER BY x)) AS digest
-        FROM (SELECT source, lpad(CAST(doc_id AS VARCHAR), 12, '0') || ':' || sha256(text) AS x FROM documents) GROUP BY source""",
+    "inputs_hash": """WITH b AS (SELECT source, doc_id // 10000 AS block, sha256(string_agg(x, '|' ORDER BY x)) AS x
+            FROM (SELECT source, doc_id, lpad(CAST(doc_id AS VARCHAR), 12, '0') || ':' || sha256(text) AS x FROM documents) GROUP BY ALL),
+        c AS (SELECT source, lpad(CAST(block AS VARCHAR), 12, '0') || ':' || x AS x FROM b)
+        SELECT source, sha256(string_agg(x, '|' ORDER BY x)) AS digest FROM c GROUP BY source""",
+    "quote_layout": rf"""WITH RECURSIVE q AS (SELECT item_id, c, regexp_extract_all(c, '[a-z0-9]+(?:[.,%/''-][a-z0-9]+)*|[%₹$]') AS t
+            FROM (SELECT item_id, {_CANON.format("array_to_string(list_concat(string_split(text, ' ')[1:4], string_split(text, ' ')[8:]), ' ')")} AS c FROM benchmark)),
+        p AS (SELECT doc_id, {_CANON.format("text")} AS c FROM documents),
+        r AS (SELECT item_id, doc_id, 0 AS i, CAST(1 AS BIGINT) AS pos FROM q, p WHERE len(t) >= 6
+              UNION ALL
+              SELECT item_id, doc_id, i + 1, pos + g - 1 + length(w)
+              FROM (SELECT r.item_id, r.doc_id, i, pos, t[i + 1] AS w, instr(substr(p.c, pos), t[i + 1]) AS g
+                    FROM r JOIN q ON r.item_id = q.item_id JOIN p ON r.doc_id = p.doc_id WHERE i < len(t))
+              WHERE g > 0 AND (i = 0 OR g - 1 <= 1200))
+        SELECT r.item_id AS quote_id, r.doc_id AS page_id, CASE WHEN contains(p.c, q.c) THEN 'exact' ELSE 'layout' END AS verification
+        FROM r JOIN q ON r.item_id = q.item_id JOIN p ON r.doc_id = p.doc_id WHERE i = len(t)
+        UNION SELECT q.item_id, p.doc_id, 'exact' FROM q, p WHERE len(t) < 6 AND q.c <> '' AND contains(p.c, q.c)""",
     "returned_only": """SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R'
         EXCEPT SELECT l_partkey FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 45""",
     "citation_tallies": """SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles,

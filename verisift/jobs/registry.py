@@ -10,10 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from verisift.functions import dates, text
-from verisift.jobs.oracles import ORACLES  # noqa: F401
-from verisift.operators import events, gates, reconcile, runs, verify
+from verisift.jobs import stages
+from verisift.jobs.oracles import ORACLES
+from verisift.operators import events, gates, matching, reconcile, runs, verify
 from verisift.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,9 +83,9 @@ def quote_exact(spark, d):
 
 @query
 def quote_layout(spark, d):
-    """Quotes without their words 6 to 8: only the layout tier finds them."""
+    """Quotes without their words 5 to 7: only the layout tier finds them."""
     w = F.split("text", " ")
-    cut = F.array_join(F.concat(F.slice(w, 1, 5), F.slice(w, 9, 100_000)), " ")
+    cut = F.array_join(F.concat(F.slice(w, 1, 4), F.slice(w, 8, 100_000)), " ")
     quotes = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), cut.alias("quote"))
     pages = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text")
     return verify.search_quotes(quotes, pages)
@@ -227,8 +229,8 @@ def cycle_time(spark, d):
 
 @query
 def current_version(spark, d):
-    order = [F.desc("o_orderdate"), F.desc("o_orderkey")]
-    return events.first_by(table(spark, d, "orders"), ["o_custkey"], order).select("o_custkey", "o_orderkey", "o_orderstatus")
+    latest = events.first_by(table(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], last=True)
+    return latest.select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
 @query
@@ -278,9 +280,8 @@ def board_top_n(spark, d):
 @query
 def pass_reason_share(spark, d):
     counted = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
-    total = table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("total"))
-    share = F.round(100.0 * F.col("n") / F.col("total"), 4)
-    return counted.join(F.broadcast(total)).select("l_returnflag", "l_linestatus", "n", share.alias("share"))
+    share = F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4)  # over the few groups
+    return counted.select("l_returnflag", "l_linestatus", "n", share.alias("share"))
 
 
 @query
@@ -311,13 +312,9 @@ def triage_funnel(spark, d):
 
 @query
 def name_overlap(spark, d):
-    """Distinct part names by the brand's names they share most words with: pairs meet by a shared word."""
-    names = table(spark, d, "part").select("p_brand", text.address(F.col("p_name")).alias("name")).distinct()
-    worded = names.select("p_brand", "name", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
-    other = worded.select("p_brand", F.col("name").alias("other"), "word")
-    pairs = worded.join(other, ["p_brand", "word"]).filter("name < other").select("p_brand", "name", "other").distinct()
-    overlap = F.round(text.token_overlap(F.col("name"), F.col("other")), 3)
-    return pairs.withColumn("overlap", overlap).filter("overlap >= 0.5")
+    """Distinct names of a brand's parts, of name and type, that share 0.6 of the fewer words."""
+    names = table(spark, d, "part").select("p_brand", text.address(F.concat_ws(" ", "p_name", "p_type")).alias("name")).distinct()
+    return matching.overlapping(names, ["p_brand"], "name", 0.6)
 
 
 @query
@@ -361,9 +358,12 @@ def rank_fusion(spark, d):
 
 @query
 def inputs_hash(spark, d):
-    """One digest per source over its sorted id:hash pairs, whatever the rows' order."""
-    pairs = F.concat_ws(":", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.sha2("text", 256))
-    return table(spark, d, "documents").groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(pairs)), "|"), 256).alias("digest"))
+    """One digest per source, whatever the rows' order: of blocks of 10,000 ids, then of the blocks' digests."""
+    pairs = F.concat_ws(":", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.sha2("text", 256)).alias("x")
+    joined = lambda x: F.sha2(F.array_join(F.array_sort(F.collect_list(x)), "|"), 256)
+    block = F.floor(F.col("doc_id") / 10_000).cast("long").alias("block")
+    blocks = table(spark, d, "documents").select("source", block, pairs).groupBy("source", "block").agg(joined("x").alias("x"))
+    return blocks.select("source", F.concat_ws(":", F.lpad(F.col("block").cast("string"), 12, "0"), "x").alias("x")).groupBy("source").agg(joined("x").alias("digest"))
 
 
 @query
@@ -474,3 +474,7 @@ def question_routing(spark, d):
     )
     joined = table(spark, d, "orders").filter("o_orderstatus = 'O'").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return joined.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_custkey").alias("customers"))
+
+
+QUERIES |= stages.QUERIES
+ORACLES |= stages.ORACLES

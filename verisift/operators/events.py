@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def first_by(df: DataFrame, keys: list, order: list) -> DataFrame:
-    """The first row of each key."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+def first_by(df: DataFrame, keys: list[str], order: list[str], last: bool = False) -> DataFrame:
+    """The first (or last) row of each key: an aggregation with partial results, no sort of a key's rows."""
+    rest = F.struct(*[c for c in df.columns if c not in keys])
+    pick = (F.max_by if last else F.min_by)(rest, F.struct(*order)).alias("_row")
+    return df.groupBy(*keys).agg(pick).select(*keys, "_row.*")
 
 
 def top_n(df: DataFrame, keys: list, order: list, n: int, rank: str = "rank") -> DataFrame:
@@ -17,7 +19,10 @@ def top_n(df: DataFrame, keys: list, order: list, n: int, rank: str = "rank") ->
 
 
 def moves(df: DataFrame, keys: list, order: list, state: str, at: str) -> DataFrame:
-    """Each row with from_state, to_state and the days since the row before; the first has no from_state."""
+    """Each row with from_state, to_state and the days since the row before; the first has no from_state.
+
+    A key's rows are sorted in one task, as their order is what is asked for.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumns(
         {

@@ -21,7 +21,8 @@ def reconcile(criteria: DataFrame, lenient: DataFrame, strict: DataFrame, key: l
     """Findings: criteria with fired (null: not evaluated), status, contested and confidence.
 
     Readings hold key, fired, evaluable, confidence. Codes that no criterion has are
-    dropped by the left joins.
+    dropped by the left joins. What one reading alone says stays, contested and of low
+    confidence, even if that reading could not be evaluated.
     """
 
     def named(reading: DataFrame, to: str) -> DataFrame:
@@ -33,15 +34,14 @@ def reconcile(criteria: DataFrame, lenient: DataFrame, strict: DataFrame, key: l
     unread = l.isNull() & s.isNull()
     single = l.isNull() | s.isNull()
     evaluable = F.coalesce(l["evaluable"], F.lit(True)) & F.coalesce(s["evaluable"], F.lit(True))
-    one_evaluable = F.coalesce(one["evaluable"], F.lit(True))
     lf, sf = F.coalesce(l["fired"], F.lit(False)), F.coalesce(s["fired"], F.lit(False))
     unknown = F.when(F.col("tier") == "VETO", "veto_unevaluated").otherwise("unevaluated")
     settled = lambda fired: F.when(fired, "fired").otherwise("not_fired")
     none = F.lit(None).cast("boolean")
-    fired = F.when(unread, none).when(single, F.when(one_evaluable, F.coalesce(one["fired"], F.lit(False)))).when(evaluable, sf)
+    fired = F.when(unread, none).when(single, F.coalesce(one["fired"], F.lit(False))).when(evaluable, sf)
     status = (
         F.when(unread, unknown)
-        .when(single, F.when(one_evaluable, settled(F.coalesce(one["fired"], F.lit(False)))).otherwise(unknown))
+        .when(single, settled(F.coalesce(one["fired"], F.lit(False))))
         .when(~evaluable, unknown)
         .when(lf == sf, settled(sf))
         .otherwise("contested")

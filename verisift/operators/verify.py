@@ -35,10 +35,11 @@ def tier(quote: Column, page: Column) -> Column:
 
 def verify_cited(evidence: DataFrame, pages: DataFrame, doc: str, page: str, quote: str, text: str) -> DataFrame:
     """Evidence with verification: a page that doesn't exist is out_of_range, a result and not a miss."""
-    known = pages.select(doc, page, F.col(text).alias("_page"))
-    joined = evidence.join(known, [doc, page], "left")
-    found = tier(canonical(F.coalesce(F.col(quote), F.lit(""))), canonical(F.col("_page")))
-    return joined.withColumn("verification", F.when(F.col("_page").isNull(), "out_of_range").otherwise(found)).drop("_page")
+    known = pages.select(doc, page, F.lit(True).alias("_known"), canonical(F.col(text)).alias("_page"))
+    quoted = evidence.withColumn("_quote", canonical(F.coalesce(F.col(quote), F.lit(""))))
+    joined = quoted.join(known, [doc, page], "left")
+    found = F.when(F.col("_known").isNull(), "out_of_range").otherwise(tier(F.col("_quote"), F.coalesce("_page", F.lit(""))))
+    return joined.withColumn("verification", found).drop("_page", "_quote", "_known")
 
 
 def search_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
@@ -58,7 +59,10 @@ def search_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     read = pages.select("page_id", canonical(F.col("text")).alias("_p"))
     words = F.filter(F.array_distinct(F.split("_p", " ")), lambda w: F.length(w) >= PROBE)
     probes = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - PROBE + 1), lambda i: F.substring(w, i, F.lit(PROBE)))))
-    at = read.select("page_id", "_p", F.explode(F.array_distinct(probes)).alias("probe"))
-    met = at.join(probed, "probe").unionByName(read.crossJoin(others).select("probe", "page_id", "_p", "quote_id", "_q"))
-    found = met.withColumn("verification", tier(F.col("_q"), F.col("_p")))
+    # ids only are joined; texts are fetched for candidates
+    at = read.select("page_id", F.explode(F.array_distinct(probes)).alias("probe"))
+    met = at.join(probed.select("probe", "quote_id"), "probe").select("page_id", "quote_id").distinct()
+    if others.limit(1).count():
+        met = met.unionByName(pages.select("page_id").crossJoin(others.select("quote_id")))
+    found = met.join(wanted.select("quote_id", "_q"), "quote_id").join(read, "page_id").withColumn("verification", tier(F.col("_q"), F.col("_p")))
     return found.filter(F.col("verification") != "unverified").select("quote_id", "page_id", "verification").distinct()
