@@ -115,3 +115,17 @@ def test_boosted_column_equals_score(spark):
     assert ((model.score(x) > 0.5) == y).mean() > 0.97
     df = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>")
     assert [r[0] for r in df.select(model.column(F.col("x"))).collect()] == pytest.approx(model.score(x).tolist())
+
+
+def test_secrets_are_found_and_clean_texts_left(spark):
+    """Documents that name a token lose it to a span, texts without personal data or secrets have none."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id % 20 = 0 OR text RLIKE '(?i)token = '").select("doc_id", "text")
+    plain = "abcdef0123456789abcdef0123456789abcdef01"
+    more = spark.createDataFrame([(10_000_000, f"the value {plain} stands here without a name"), (10_000_001, "no such thing, only long-hyphenated-compound-words here")], docs.schema)
+    out = {r["doc_id"]: r for r in pii.digest(docs.unionByName(more)).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    named = [i for i, t in texts.items() if re.search(r'(?i)token = "[0-9a-f]{40}"', t)]
+    assert len(named) > 5 and sum("secret:" in out[i]["spans"] for i in named) >= 0.8 * len(named)
+    assert out[10_000_000]["spans"] == f"secret:10:{10 + len(plain)}" and out[10_000_001]["n_spans"] == 0
+    clean = [i for i, t in texts.items() if not re.search(r"[0-9@]", t)]
+    assert clean and all(out[i]["n_spans"] == 0 for i in clean)

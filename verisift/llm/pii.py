@@ -27,6 +27,8 @@ from verisift.llm.boosting import Boosted
 from verisift.llm.common import let
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds with those that only the model selects.
+ALL_KINDS = (*KINDS, "secret")
 #: The base patterns. Possessive loops and the look-behinds change no match: they keep
 #: the matcher from recursing and from trying each start within one long run.
 BASE = {
@@ -42,10 +44,14 @@ GENERATORS = (
     ("ip", r"(?<![0-9.])[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}(?![0-9])"),
     ("card", r"(?<![0-9])[0-9]{4}(?:[\x20.-]{0,2}[0-9]{4}){2}[\x20.-]{0,2}[0-9]{1,4}(?![0-9])"),
     ("phone", r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])"),
+    ("secret", r"(?<![\p{L}\p{N}_+/=-])(?=[A-Za-z_+/=-]*[0-9])[A-Za-z0-9_+/=-]{20,128}+(?![\p{L}\p{N}_+/=-])"),
     ("phone", r"(?<![0-9+])(?:\([0-9]{3}\)[\x20]?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"),
 )
 HINT = r"(?i)(?:tel|phone|call|fax|mobile|cell|mail|contact|e-?mail|ip|addr|host|card|visa|pay|credit)[a-z]{0,8}[:.\x20=#-]{0,4}$"
 AGAINST = r"(?i)(?:version|isbn|order|invoice|no|nr|rfc|section|license|licence|ref|id|v|release)[a-z]{0,4}[:.\x20=#-]{0,4}$"
+#: What names a secret before it. It labels the sample and is hidden from the features, so
+#: that the trees learn the form of what is named so, and find it where it isn't.
+NAMES_SECRET = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|credential)s?\W{0,3}[:=]\W{0,3}$"
 #: Documents, and candidates, that the model is fitted on at most.
 SAMPLE_DOCUMENTS = 6000
 SAMPLE_CANDIDATES = 20_000
@@ -66,7 +72,7 @@ def found(text: Column, pattern: str, kind: str, if_: Column) -> Column:
     def add(a: Column, x: Column) -> Column:
         first = a["at"] + x["gap"]
         end = first + F.length(x["s"])
-        span = F.struct(F.lit(KINDS.index(kind)).alias("kind"), first.alias("start"), end.alias("end"), x["s"].alias("s"))
+        span = F.struct(F.lit(ALL_KINDS.index(kind)).alias("kind"), first.alias("start"), end.alias("end"), x["s"].alias("s"))
         return F.struct(end.alias("at"), F.array_append(a["out"], span).alias("out"))
 
     with_hits = F.filter(lengths, lambda x: x["s"].isNotNull())
@@ -98,6 +104,7 @@ def needs(text: Column) -> dict[str, Column]:
         "ip": text.rlike(r"[0-9]\.[0-9]"),
         "card": text.rlike(r"[0-9][0-9\x20.-]{5}"),
         "phone": text.rlike(r"[0-9][0-9().\x20-]{4}"),
+        "secret": text.rlike(r"[A-Za-z0-9_+/=-]{20}"),
     }
 
 
@@ -127,10 +134,15 @@ def candidates(text: Column) -> Column:
     return F.concat(*[found(text, pattern, k, need[k]) for k, pattern in GENERATORS])
 
 
+def text_before(text: Column, span: Column) -> Column:
+    """The 30 characters before a span."""
+    return F.when(span["start"] > 0, F.substr(text, F.greatest(span["start"] - 29, F.lit(1)), F.least(span["start"], F.lit(30)))).otherwise("")
+
+
 def features(text: Column, span: Column) -> Column:
     """Format and context of a span, as doubles."""
     s = span["s"]
-    before = F.when(span["start"] > 0, F.substr(text, F.greatest(span["start"] - 29, F.lit(1)), F.least(span["start"], F.lit(30)))).otherwise("")
+    before = text_before(text, span)
     after = F.substr(text, span["end"] + 1, F.lit(1))
     figures = digits(s)
     count = lambda pattern: F.regexp_count(s, F.lit(pattern))
@@ -157,7 +169,8 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """Fit on candidates of at most SAMPLE_DOCUMENTS documents, dealt by a hash of their id.
 
-    A candidate's label is whether it overlaps a base span of its kind. One that is a part
+    A candidate's label is whether it overlaps a base span of its kind, and a secret's
+    whether it is named as one. One that is a part
     of a longer match that failed its check has no label and is left out. One document in
     three is held out; each kind's threshold is the least score whose precision there
     reaches PRECISION, and a kind that never reaches it selects nothing.
@@ -182,7 +195,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
         .filter(of_kind("_b") | ~of_kind("_m", lambda m: m["end"] - m["start"] > F.col("_x")["end"] - F.col("_x")["start"]))
         .select(
             (F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(3)) == 0).alias("held"),
-            of_kind("_b").alias("label"),
+            F.when(F.col("_x")["kind"] < len(KINDS), of_kind("_b")).otherwise(text_before(F.col("_t"), F.col("_x")).rlike(NAMES_SECRET)).alias("label"),
             features(F.col("_t"), F.col("_x")).alias("x"),
         )
     )
@@ -195,7 +208,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
         return None
     boosted = Boosted().fit(x[~held], y[~held])
     score, thresholds = boosted.score(x[held]), {}
-    for i, kind in enumerate(KINDS):
+    for i, kind in enumerate(ALL_KINDS):
         own = x[held][:, 0] == i
         order = np.argsort(-score[own], kind="stable")
         s, right = score[own][order], np.cumsum(y[held][own][order])
@@ -206,7 +219,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
 
 def selected(text: Column, base: Column, model: Model) -> Column:
     """Candidates over their kind's threshold that overlap no base span, one of each overlapping set."""
-    least = F.array(*[F.lit(model.thresholds[k]) for k in KINDS])
+    least = F.array(*[F.lit(model.thresholds[k]) for k in ALL_KINDS])
     free = F.filter(candidates(text), lambda c: ~F.exists(base, lambda b: overlap(b, c)))
     scored = F.transform(
         free,
@@ -242,17 +255,17 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
 
 
 def written(spans: Column) -> Column:
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in ALL_KINDS])
     return F.array_join(
         F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ","
     )
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Counts of the base spans, their hash, and all spans written out."""
+    """Counts of the base spans, their hash, all spans written out, and how many they are."""
     n = lambda k: F.size(F.filter("base", lambda x: x["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
     return find(docs).select(
-        "doc_id", *[n(k) for k in KINDS], F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans")
+        "doc_id", *[n(k) for k in KINDS], F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans")
     )
 
 
@@ -261,7 +274,7 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Overlapping spans are merged and carry the first one's kind.
     """
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in ALL_KINDS])
     by_start = F.sort_array(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
 
     def add(a: Column, x: Column) -> Column:
