@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -70,6 +71,14 @@ def in_arrow(df: DataFrame, function: Callable[[Iterator], Iterator], schema, ke
     return df.mapInArrow(run, schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case: the name with underscores before it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, though body uses it many times or inside a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -78,17 +87,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """An eager checkpoint in the folder that the cluster shares.
 
-    spark.checkpoint.dir is read from the session. Only where it is unset (a local
-    test session) is a folder chosen here.
+    spark.checkpoint.dir is read from the session.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        place = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(place or os.path.join(tempfile.gettempdir(), "verisift-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only a session in one process may do without, and gets a folder of its own."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if place is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        place = tempfile.mkdtemp(prefix="verisift-")
+    return place
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else df as it is.
 

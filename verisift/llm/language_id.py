@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from verisift.llm.common import in_arrow
+from verisift.llm.common import cut_lineage, in_arrow, small
 
 #: Dimensions of the hashed vectors.
 DIM = 4096
@@ -137,7 +137,7 @@ class Model:
 
 
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model | None:
-    """Learn from rows with a language; the sample of each language is dealt by a hash of the id."""
+    """Learn from rows with a language; the sample of each language is dealt by a hash of id and text."""
     known = train.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, lang_col, text_col)
     rows = (
         known.select(text_col)
@@ -152,18 +152,14 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
     df = np.array([seen.get(i, 0) for i in range(DIM)], dtype=np.float64)
     idf = np.log((1 + seen[-1]) / (1 + df)).astype(np.float32) + np.float32(0.1)
 
-    key = F.xxhash64(F.col(id_col).cast("string"))
-    by_lang = Window.partitionBy(lang_col).orderBy("_h", id_col)
-    picked = (
-        known.select(lang_col, F.col(id_col), key.alias("_h"))
-        .withColumn("_n", F.row_number().over(by_lang))
-        .filter(F.col("_n") <= SAMPLE)
-        .select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-        .distinct()
-    )
-    sample = known.join(
-        F.broadcast(picked), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(lang_col) == F.col("_lang")), "left_semi"
-    ).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    # a part of each language's rows by their hash, a few times the sample, repeated rows once; then the first of them
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    hashed = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), key.alias("_h"))
+    sizes = small(cut_lineage(hashed.groupBy("lang").agg(F.approx_count_distinct("_h").alias("_rows"))))
+    part = hashed.join(sizes, "lang").filter(F.pmod("_h", F.lit(1_000_000)) * F.col("_rows") <= F.lit(3 * SAMPLE) * 1_000_000)
+    once = part.groupBy("lang", "_h").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
+    sample = once.withColumn("_n", rank).filter(F.col("_n") <= SAMPLE).select("lang", "text")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

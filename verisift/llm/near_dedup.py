@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verisift.llm.common import cut_lineage, in_arrow, salted_join, small
+from verisift.llm.common import cut_lineage, fresh, in_arrow, salted_join, small
 from verisift.llm.components import connected_components
 from verisift.llm.shingles import mixed, shingles, word_hashes
 
@@ -179,8 +179,8 @@ def star_edges(open_: DataFrame, percent: int) -> DataFrame:
 
 def set_table(docs: DataFrame, nodes: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """(node, grams): the full shingle sets of nodes(node, rep), read from the documents rep."""
-    wanted = small(nodes.select(F.col("rep").alias("__rep")).distinct(), BROADCAST_IDS)
-    read = docs.join(wanted, F.col(id_col).cast("long") == F.col("__rep"), "left_semi").select(text_col)
+    read = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+    read = read.join(small(nodes.select("rep").distinct(), BROADCAST_IDS), "rep", "left_semi").select("text")
     sets = read.transform(in_arrow, lambda batches: _sets(batches, k), "h1 long, h2 long, grams array<long>")
     sets = sets.select(node_of(F.col("h1"), F.col("h2"), F.size("grams").cast("long")).alias("node"), "grams")
     return sets.groupBy("node").agg(F.max("grams").alias("grams"))
@@ -311,12 +311,13 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     Of several rows of one id one stays; rows with a null id all stay.
     """
     found = near_duplicates(docs, k, percent, id_col, text_col)
-    judged = found.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id"))
+    key = fresh(docs, "_id")
+    judged = found.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(key))
     odd = cut_lineage(
         judged.agg(F.bool_and("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")).filter(~F.col("_kept") | (F.col("_rows") > 1))
     )
-    some = small(odd.select("__id"), BROADCAST_IDS)
-    again = small(odd.filter("_kept").select("__id"), BROADCAST_IDS)
-    plain = docs.join(some, F.col(id_col) == F.col("__id"), "left_anti")
-    once = docs.join(again, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
+    some = small(odd.select(key), BROADCAST_IDS)
+    again = small(odd.filter("_kept").select(key), BROADCAST_IDS)
+    plain = docs.join(some, F.col(id_col) == F.col(key), "left_anti")
+    once = docs.join(again, F.col(id_col) == F.col(key), "left_semi").dropDuplicates([id_col])
     return plain.unionByName(once)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verisift.llm.common import SPACE, WORD, cut_lineage, let, salted_join, small
+from verisift.llm.common import SPACE, WORD, cut_lineage, fresh, let, salted_join, small
 
 #: A line is removed if more documents of its host than both limits allow have it.
 MIN_DOCUMENTS = 20
@@ -161,9 +161,10 @@ def remove_frequent_lines(
 ) -> DataFrame:
     """The documents with their frequent lines cut out of the text; all columns stay."""
     gone = removed_lines(docs, host_col, id_col, text_col, **limits)
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("removed")["line"].alias("__gone"))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__key"))
-    lost = F.col("__gone")
+    name, key, lines = (fresh(docs, n) for n in ("_name", "_key", "_gone"))
+    gone = gone.select(F.col("doc_id").alias(name), F.col("text_key").alias(key), F.col("removed")["line"].alias(lines))
+    same = F.col(id_col).eqNullSafe(F.col(name)) & (F.xxhash64(text_col) == F.col(key))
+    lost = F.col(lines)
     kept = F.array_join(
         F.filter(F.split(text_col, "\n", -1), lambda x: ~F.coalesce(F.array_contains(lost, F.xxhash64(normalised(x))), F.lit(False))), "\n"
     )
