@@ -8,15 +8,13 @@ results that the operators' modules state.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verisift.llm import language_id, near_dedup, packing, pii, substring_dedup
-from verisift.llm.common import table, tokenizer_path
+from verisift.llm.common import shared_folder, table, tokenizer_path
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -65,10 +63,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over documents; stages are written to the shared folder."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "verisift-checkpoints")
+    place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        out = f"{place}/pipeline-{uuid.uuid4().hex}/{i}-{name}"
+        out = f"{place}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
     return docs
