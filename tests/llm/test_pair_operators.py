@@ -78,6 +78,33 @@ def test_near_duplicates_against_brute_force(spark):
         assert r["n_shingles"] == len(sets(dict(rows)[r["doc_id"]], 4)) and r["kept"] == (r["doc_id"] == r["component_id"])
 
 
+def test_copies_around_the_limit_are_linked_with_few_pairs(spark, monkeypatch):
+    """Copies of one text, few of which are similar enough to each other: no link is lost, and few pairs are compared."""
+    draw, compared = random.Random(3), []
+    texts = []
+    for i in range(150):
+        words = [f"w{j}" for j in range(110)]
+        for at in draw.sample(range(5, 105), draw.choice((2, 3, 3, 3))):
+            words[at] = f"x{i}_{at}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[j : j + 4]) for j in range(len(w) - 3)} for w in (t.split() for t in texts)]
+    least = list(range(len(texts)))
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    measured = near_dedup.measured
+
+    def counted(edges, *rest):
+        compared.append(edges.count())
+        return measured(edges, *rest)
+
+    monkeypatch.setattr(near_dedup, "measured", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, k=4).collect()} == dict(enumerate(least))
+    assert links and sum(compared) < 150 + 4 * len(links)
+
+
 def test_near_duplicates_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     expected = components([(r["doc_id"], r["text"]) for r in docs.collect()], 4)

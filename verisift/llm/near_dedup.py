@@ -42,8 +42,10 @@ BINS = BANDS * ROWS
 BROADCAST_IDS = 1_000_000
 ATTEMPTS = 64
 #: What bounds a set's similarity to others: its size; how many elements it shares with any other;
-#: a third set, and how many it shares with that.
-BOUNDS = ("n", "most", "third", "inside")
+#: a third set, and how many it shares with that; a bitmap of the elements it shares with any other.
+BOUNDS = ("n", "most", "third", "inside", "bits")
+#: 64-bit words of that bitmap.
+WORDS = 16
 
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
@@ -168,7 +170,10 @@ def star_edges(open_: DataFrame, percent: int) -> DataFrame:
     # no more can be in common than either shares with any set, nor, inside and outside of one third set, than either has there
     beyond = lambda most, inside: F.greatest(F.col(most) - F.col(inside), F.lit(0))
     apart = F.least("inside", "c_inside") + F.least(beyond("most", "inside"), beyond("c_most", "c_inside"))
-    common = F.least("most", "c_most", F.when(F.col("third") == F.col("c_third"), apart))
+    # a bit that only one of them has stands for an element, at least, that the other lacks
+    only = lambda x, y: sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(WORDS)), F.lit(0))
+    both = F.least(F.col("most") - only("bits", "c_bits"), F.col("c_most") - only("c_bits", "bits"))
+    common = F.least(both, F.when(F.col("third") == F.col("c_third"), apart))
     met = flagged.join(chosen, "key").filter(
         (F.col("component") != F.col("c_component"))
         & (~F.col("_centre") | (F.col("node") < F.col("c_node")))
@@ -243,7 +248,9 @@ def bounded(open_: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -
     pool = small(cut_lineage(open_.select(F.explode(F.array("node", "third")).alias("node")).distinct()), BROADCAST_IDS)
     held = sets.join(pool, "node", "left_semi").select("node", F.explode(F.transform("grams", lambda g: F.shiftright(g, 32).cast("int"))).alias("_g"))
     common = held.groupBy("_g").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a <> _b").select("_g")
-    most = held.join(common, "_g", "left_semi").groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("most"))
+    bit = f"shiftleft(1L, CAST(pmod(_g, {64 * WORDS}) % 64 AS INT))"
+    bits = [F.expr(f"coalesce(bit_or(CASE WHEN pmod(_g, {64 * WORDS}) DIV 64 = {i} THEN {bit} END), 0L)") for i in range(WORDS)]
+    most = held.join(common, "_g", "left_semi").groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("most"), F.array(*bits).alias("bits"))
     most = small(cut_lineage(most))
     return cut_lineage(_mixed(open_.join(most, "node").filter(100 * F.col("most") >= percent * F.col("n"))))
 
