@@ -16,6 +16,7 @@ from verisift.llm import (
     pii,
     quality_rules,
     sampled_pieces,
+    simhash,
     substring_dedup,
     url_filters,
 )
@@ -65,6 +66,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -77,6 +82,7 @@ def queries() -> dict[str, Query]:
         "op8_url_filters": op8_url_filters,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_nearest_neighbours": op10_nearest_neighbours,
+        "op12_simhash_near_dedup": op12_simhash_near_dedup,
     }
 
 
