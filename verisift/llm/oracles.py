@@ -72,4 +72,59 @@ SELECT page_id, host, path, CASE
 FROM m
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op8_url_filters": OP8}
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP11 = rf"""
+WITH words AS (
+  SELECT *, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}') AS t
+  FROM (SELECT row_number() OVER () AS row, doc_id, text FROM documents)),
+d AS (SELECT row, doc_id, t, CAST(len(t) AS BIGINT) AS n FROM words WHERE len(t) > 0),
+total AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS length FROM d),
+tfs AS (SELECT row, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT row, unnest(t) AS term FROM d) GROUP BY ALL),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}')) AS term
+  FROM benchmark),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tfs, total WHERE term IN (SELECT term FROM wanted) GROUP BY term, docs),
+scored AS (
+  SELECT item_id, doc_id, row, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // length)))) AS BIGINT) AS score
+  FROM wanted JOIN weights USING (term) JOIN tfs USING (term) JOIN d USING (row), total GROUP BY item_id, doc_id, row),
+best AS (
+  SELECT item_id, doc_id, score,
+         CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS INTEGER) AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM best WHERE rank <= 50
+"""
+
+#: Candidates of at least 100 occurrences and 2 to 5 words, and the first 2000 of a language.
+OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+total AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM w GROUP BY lang),
+grams AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS m))),
+f AS (SELECT lang, m, phrase, CAST(count(*) AS HUGEINT) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cand AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+inner_ AS (
+  SELECT DISTINCT c.lang, array_to_string(c.w[i:i + k - 1], ' ') AS phrase, c.a
+  FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM cand, (SELECT unnest([2, 3, 4]) AS k) WHERE k < m) c),
+kept AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM inner_ x WHERE x.lang = c.lang AND x.phrase = c.phrase AND 100 * x.a >= 100 * c.a)),
+cuts AS (
+  SELECT kept.lang, kept.phrase, a, k, l.f AS l, r.f AS r, n, (1000 * a * n) // (l.f * r.f) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM kept) kept
+  JOIN total USING (lang)
+  JOIN f l ON l.lang = kept.lang AND l.phrase = array_to_string(w[1:k], ' ')
+  JOIN f r ON r.lang = kept.lang AND r.phrase = array_to_string(w[k + 1:m], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM best)
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+ORACLES = {"op1_quality_rules": OP1, "op8_url_filters": OP8, "op11_lexical_search": OP11, "op13_collocations": OP13}

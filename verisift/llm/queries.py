@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from verisift.llm import (
     ann,
+    collocations,
     html_extraction,
     language_id,
+    lexical_search,
     near_dedup,
     packing,
     pii,
@@ -66,10 +68,18 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -82,7 +92,9 @@ def queries() -> dict[str, Query]:
         "op8_url_filters": op8_url_filters,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_nearest_neighbours": op10_nearest_neighbours,
+        "op11_lexical_search": op11_lexical_search,
         "op12_simhash_near_dedup": op12_simhash_near_dedup,
+        "op13_collocations": op13_collocations,
     }
 
 
