@@ -45,8 +45,8 @@ from verisift.llm.shingles import mixed, powers
 OFTEN, LONGEST, FIRST = 100, 5, 2000
 #: Nodes, and parts of cuts, that a round takes at most.
 NODES = 1 << 18
-#: A round takes nodes of a language until they occur in one of so many of its words.
-SHARE = 16
+#: A round takes nodes of a language until they hold one of so many of its words, and so many words at least.
+SHARE, LEAST = 16, 1 << 22
 #: Bytes whose words are hashed at once, and words whose phrases are.
 BYTES, WORDS = 1 << 21, 1 << 19
 
@@ -204,7 +204,8 @@ def phrase_counts(read: DataFrame, grown: dict[int, Keys], named: dict[int, Keys
             order, first = _firsts(key ^ (parent == 0))
             if not len(order):
                 continue
-            one, ends = order[first], [f.reduceat(x[order], first) for x in (left, right) for f in (np.minimum, np.maximum)]
+            # signed, as Spark's least and greatest are
+            one, ends = order[first], [f.reduceat(x.view(np.int64)[order], first) for x in (left, right) for f in (np.minimum, np.maximum)]
             n = pa.array(np.diff(np.append(first, len(order))), pa.int64())
             yield pa.RecordBatch.from_arrays([_signed(key[one]), _signed(parent[one]), _signed(last[one]), n, *map(_signed, ends)], ["key", "parent", "last", "n", "l1", "l2", "r1", "r2"])
 
@@ -231,11 +232,11 @@ def phrase_texts(read: DataFrame, named: dict[int, Keys], seed: int) -> DataFram
             one = order[first]
             texts = pa.array([words.phrase(int(i), int(m)) for i, m in zip(place[one], length[one], strict=True)], pa.binary())
             n = pa.array(np.diff(np.append(first, len(order))), pa.int64())
-            low, high = (f.reduceat(sums[order], first) for f in (np.minimum, np.maximum))
+            low, high = (f.reduceat(sums.view(np.int64)[order], first) for f in (np.minimum, np.maximum))
             yield pa.RecordBatch.from_arrays([_signed(key[one]), texts, n, _signed(low), _signed(high)], ["key", "phrase", "n", "c1", "c2"])
 
     found = in_arrow(read, run, "key long, phrase binary, n long, c1 long, c2 long")
-    several = (F.min("c1") != F.max("c1")) | (F.min("c2") != F.max("c2")) | (F.min("c1") != F.max("c2")) | (F.min("phrase") != F.max("phrase"))
+    several = (F.min("c1") != F.max("c2")) | (F.min("phrase") != F.max("phrase"))
     return found.groupBy("key").agg(F.min("phrase").cast("string").alias("phrase"), F.sum("n").alias("n"), several.alias("several"))
 
 
@@ -292,11 +293,11 @@ def within(rows: DataFrame, least: DataFrame, most: Column) -> DataFrame:
 
 
 def next_nodes(frontier: DataFrame) -> DataFrame:
-    """The nodes of the best bounds, longer ones first: NODES of all, and of a language those that occur in 1 / SHARE of its words, but one at least."""
+    """The nodes of the best bounds, longer ones first: NODES of all, and of a language as SHARE and LEAST say, but one at least."""
     best = frontier.withColumn("_bound", bound()).orderBy(F.col("_bound").desc(), F.size("words").desc(), "key").limit(NODES)
     order = Window.partitionBy("lang").orderBy(F.col("_bound").desc(), F.size("words").desc(), "key")
     mass = F.sum("f").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return best.withColumn("_before", F.coalesce(mass, F.lit(0))).filter(F.col("_before") * SHARE <= F.col("total")).drop("_bound", "_before")
+    return best.withColumn("_before", F.coalesce(mass, F.lit(0))).filter(F.col("_before") <= F.greatest(F.col("total") / SHARE, F.lit(LEAST))).drop("_bound", "_before")
 
 
 def missing_parts(open_: DataFrame, seed: int) -> list[dict]:

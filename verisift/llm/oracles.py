@@ -116,10 +116,10 @@ inner_ AS (
 kept AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM inner_ x WHERE x.lang = c.lang AND x.phrase = c.phrase AND 100 * x.a >= 100 * c.a)),
 cuts AS (
   SELECT kept.lang, kept.phrase, a, k, l.f AS l, r.f AS r, n, (1000 * a * n) // (l.f * r.f) AS score
-  FROM (SELECT *, unnest(range(1, m)) AS k FROM kept) kept
+  FROM (SELECT *, unnest(range(1, kept.m)) AS k FROM kept) kept
   JOIN total USING (lang)
-  JOIN f l ON l.lang = kept.lang AND l.phrase = array_to_string(w[1:k], ' ')
-  JOIN f r ON r.lang = kept.lang AND r.phrase = array_to_string(w[k + 1:m], ' ')),
+  JOIN f l ON l.lang = kept.lang AND l.phrase = array_to_string(kept.w[1:k], ' ')
+  JOIN f r ON r.lang = kept.lang AND r.phrase = array_to_string(kept.w[k + 1:kept.m], ' ')),
 best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM best)
 SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
