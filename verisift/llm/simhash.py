@@ -9,6 +9,8 @@ A key of two members is judged from their least and greatest. A small key is gat
 its pairs are verified. In a crowded key the members are indexed again, with two bits left
 out in all: what then agrees differs in two bits at most, needs no comparing, and has four
 members at most, so that no key of any size is compared pair by pair, capped or dropped.
+Pairs of one half in common share all its keys; they are looked for in the first of them
+only, and in the others pairs that differ in the bit left out.
 
 Defined results
 - null text, or text without a word: fingerprint zero, linked like any other.
@@ -36,8 +38,8 @@ from verisift.llm.components import connected_components
 SHINGLE, SEED = 3, 42
 #: Bits in which linked fingerprints may differ.
 BITS = 2
-#: Members up to which a key's pairs are compared in one row.
-FEW = 16
+#: Members up to which a key's pairs are compared in one row: about as many as a member has keys in a crowded one.
+FEW = 512
 #: Shingles whose bits are counted at once.
 AT_ONCE = 1 << 15
 
@@ -91,11 +93,18 @@ def close(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= BITS
 
 
+def left_out() -> Column:
+    """The bit that a key lacks, 0 to 63."""
+    return F.shiftright("key", 32).cast("int")
+
+
 def few_links(members: DataFrame) -> DataFrame:
-    """(a, b) of the close pairs in keys of few members(print, key)."""
+    """(a, b) of the close pairs in keys of few members(print, key) that are to be looked for there."""
     held = members.groupBy("key").agg(F.sort_array(F.collect_list("print")).alias("_all"))
+    out = left_out()
+    here = lambda x, y: (out % 32 == 0) | (x.bitwiseXOR(y).bitwiseAND(_bit(out)) != 0)
     pairs = F.flatten(
-        F.transform("_all", lambda x: F.transform(F.filter("_all", lambda y: (x < y) & close(x, y)), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+        F.transform("_all", lambda x: F.transform(F.filter("_all", lambda y: (x < y) & close(x, y) & here(x, y)), lambda y: F.struct(x.alias("a"), y.alias("b"))))
     )
     return held.select(F.explode(pairs).alias("_p")).select("_p.a", "_p.b")
 
@@ -107,13 +116,13 @@ def crowded_links(members: DataFrame) -> DataFrame:
     differ in one bit of the other half at most, or in two of them if the half is the same:
     these meet under i = 0 of the half.
     """
-    left_out = F.shiftright("key", 32).cast("int")  # 0 to 63
-    other = F.when(left_out < 32, 32).otherwise(0)
-    ones = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: F.struct(F.least(left_out, other + j).alias("i"), F.greatest(left_out, other + j).alias("j")))
+    out = left_out()
+    other = F.when(out < 32, 32).otherwise(0)
+    ones = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: F.struct(F.least(out, other + j).alias("i"), F.greatest(out, other + j).alias("j")))
     twos = F.flatten(
         F.transform(F.sequence(F.lit(0), F.lit(30)), lambda i: F.transform(F.sequence(i + 1, F.lit(31)), lambda j: F.struct((other + i).alias("i"), (other + j).alias("j"))))
     )
-    masks = F.when(left_out % 32 == 0, F.concat(ones, twos)).otherwise(ones)
+    masks = F.when(out % 32 == 0, F.concat(ones, twos)).otherwise(ones)
     # each fingerprint once for a pair of bits, though several of its keys may ask for it
     asked = members.repartition("print").select("print", F.explode(masks).alias("_m")).select("print", "_m.i", "_m.j")
     has = lambda at: F.call_function("shiftrightunsigned", F.col("print"), at).bitwiseAND(F.lit(1)).cast("int")
@@ -132,8 +141,10 @@ def crowded_links(members: DataFrame) -> DataFrame:
 def links(prints: DataFrame) -> DataFrame:
     """(a, b) that connect all distinct prints(print) which differ in at most BITS bits."""
     keys = half_keys(prints)
-    held = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("print").alias("a"), F.max("print").alias("b"))
-    held = cut_lineage(held.filter(F.col("_n") > 1))
+    # which values the bit left out has among the members
+    side = F.col("print").bitwiseAND(_bit(left_out())) != 0
+    held = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("print").alias("a"), F.max("print").alias("b"), (F.min(side) != F.max(side)).alias("_both"))
+    held = cut_lineage(held.filter((F.col("_n") > 1) & (F.col("_both") | (left_out() % 32 == 0))))
     two = held.filter((F.col("_n") == 2) & close(F.col("a"), F.col("b"))).select("a", "b")
     more = held.filter(F.col("_n") > 2).select("key", "_n")
     if not more.limit(1).count():
