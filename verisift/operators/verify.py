@@ -9,10 +9,10 @@ from verisift.functions.text import canonical, tokens
 
 # The widest gap between two tokens, and the fewest tokens, of a layout match.
 MAX_GAP, MIN_TOKENS = 1200, 6
-#: Characters of the probe by which a quote is looked up in all pages.
+#: Characters of the probes by which a quote is looked up in all pages.
 PROBE = 6
-#: Quotes up to which the lookup is broadcast; above it, it is a shuffled join.
-BROADCAST_QUOTES = 100_000
+#: Probes up to which the lookup is broadcast; above it, it is a shuffled join.
+BROADCAST_PROBES = 100_000
 
 
 def in_order(quote_tokens: Column, page: Column) -> Column:
@@ -45,24 +45,30 @@ def verify_cited(evidence: DataFrame, pages: DataFrame, doc: str, page: str, quo
 def search_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     """(quote_id, page_id, verification) of quotes(quote_id, quote) found on pages(page_id, text).
 
-    Either tier finds each token of a quote within one word of the page, so a quote is
-    looked up by PROBE letters of its longest token among those of all words of the page;
-    candidates are then verified whole. A quote without so long a token meets all pages.
+    Either tier finds each token of a quote within one word of the page. So a quote asks for
+    the first PROBE letters of each of its tokens that are so long, and a page is a candidate
+    if its words have all of them. Substrings are taken once of each distinct word; ids only
+    are joined, and texts are fetched for candidates, which are then verified whole. A quote
+    without so long a token meets all pages.
     """
     wanted = quotes.select("quote_id", canonical(F.col("quote")).alias("_q")).filter("_q <> ''")
     parts = F.when(F.size(tokens(F.col("_q"))) >= MIN_TOKENS, tokens(F.col("_q"))).otherwise(F.split("_q", " "))
-    longest = F.array_max(F.transform(parts, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    wanted = wanted.withColumn("probe", F.substring(longest, 1, PROBE))
-    probed, others = wanted.filter(F.length("probe") == PROBE), wanted.filter(F.length("probe") < PROBE)
-    if probed.limit(BROADCAST_QUOTES + 1).count() <= BROADCAST_QUOTES:
-        probed = F.broadcast(probed)
+    long_ = F.filter(parts, lambda w: F.length(w) >= PROBE)
+    wanted = wanted.withColumn("_probes", F.array_distinct(F.transform(long_, lambda w: F.substring(w, 1, PROBE))))
+    asked = wanted.filter(F.size("_probes") > 0).select("quote_id", F.size("_probes").alias("_all"), F.explode("_probes").alias("probe"))
+    others = wanted.filter(F.size("_probes") == 0)
     read = pages.select("page_id", canonical(F.col("text")).alias("_p"))
     words = F.filter(F.array_distinct(F.split("_p", " ")), lambda w: F.length(w) >= PROBE)
-    probes = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - PROBE + 1), lambda i: F.substring(w, i, F.lit(PROBE)))))
-    # ids only are joined; texts are fetched for candidates
-    at = read.select("page_id", F.explode(F.array_distinct(probes)).alias("probe"))
-    met = at.join(probed.select("probe", "quote_id"), "probe").select("page_id", "quote_id").distinct()
+    held = read.select("page_id", F.explode(words).alias("word"))
+    inside = F.transform(F.sequence(F.lit(1), F.length("word") - PROBE + 1), lambda i: F.substring(F.col("word"), i, F.lit(PROBE)))
+    spelt = held.select("word").distinct().select("word", F.explode(F.array_distinct(inside)).alias("probe"))
+    met = held.join(spelt.join(_few(asked), "probe"), "word").groupBy("page_id", "quote_id", "_all").agg(F.count_distinct("probe").alias("_n"))
+    met = met.filter("_n = _all").select("page_id", "quote_id")
     if others.limit(1).count():
         met = met.unionByName(pages.select("page_id").crossJoin(others.select("quote_id")))
     found = met.join(wanted.select("quote_id", "_q"), "quote_id").join(read, "page_id").withColumn("verification", tier(F.col("_q"), F.col("_p")))
     return found.filter(F.col("verification") != "unverified").select("quote_id", "page_id", "verification").distinct()
+
+
+def _few(asked: DataFrame) -> DataFrame:
+    return F.broadcast(asked) if asked.limit(BROADCAST_PROBES + 1).count() <= BROADCAST_PROBES else asked
