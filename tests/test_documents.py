@@ -101,8 +101,8 @@ def test_envelope_gates(spark):
     rules = documents.envelope_gates(F.col("text"), F.lit("memo"))
     df = envelopes(spark, BAD | {"good": GOOD, "no_citations": {k: v for k, v in GOOD.items() if k != "citations"}})
     assert {tuple(r) for r in gates.violations(df, "id", rules).collect()} == {(k, k) for k in BAD}
-    broken = spark.createDataFrame([("x", "{no"), ("y", None)], "id string, text string")
-    assert {tuple(r) for r in gates.violations(broken, "id", rules).collect()} == {("not_an_object", "x"), ("not_an_object", "y")}
+    broken = spark.createDataFrame([("x", "{no"), ("y", None), ("z", json.dumps(GOOD) + " and more"), ("w", json.dumps(GOOD) + "],[1")], "id string, text string")
+    assert {tuple(r) for r in gates.violations(broken, "id", rules).collect()} == {("not_an_object", x) for x in "xyzw"}
 
 
 def test_one_broken_row_publishes_nothing(spark, tmp_path):

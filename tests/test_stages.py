@@ -83,7 +83,10 @@ def test_entries_are_assembled_grouped_and_carried(spark):
     a = spark.createDataFrame([("r", 1, "f", "ANALYST_ANSWERABLE", "s", "Same  account", None, None, None), ("r", 3, "g", "EXTERNALLY_BLOCKED", "s", "y" * 100, None, None, "procurement")], ENTRY)
     b = spark.createDataFrame([("r", 2, "f", "DOCUMENT_ANSWERABLE", "s", "same account", None, None, None), ("r", 4, "h", "NEW", "s", "z", None, None, None)], ENTRY)
     every = unresolved.assembled({"one": a, "two": b}, ["run"], "seq")
-    assert {(r["field_path"], r["stage"], r["kind"]) for r in every.collect()} == {("f", "one", "ANALYST_ANSWERABLE"), ("g", "one", "EXTERNALLY_BLOCKED"), ("h", "two", "NEW")}
+    assert {(r["field_path"], r["stage"], r["kind"]) for r in every.collect()} == {("f", "one", "ANALYST_ANSWERABLE"), ("g", "one", "EXTERNALLY_BLOCKED"), ("f", "two", "DOCUMENT_ANSWERABLE"), ("h", "two", "NEW")}
+    scored = unresolved.assembled({"one": a, "scoring": b.union(b.withColumn("seq", F.lit(0)))}, ["run"], "seq")
+    assert sorted((r["stage"], r["field_path"], r["seq"]) for r in scored.collect()) == [("one", "f", 1), ("one", "g", 3), ("scoring", "f", 0), ("scoring", "h", 0)]
+    every = every.filter("kind <> 'DOCUMENT_ANSWERABLE'")
     assert {(r["kind"], r["place"]) for r in unresolved.by_kind(every, ["run"]).collect()} == {("ANALYST_ANSWERABLE", 2), ("EXTERNALLY_BLOCKED", 3), ("NEW", 4)}
     assert [tuple(r) for r in unresolved.by_owner(every, ["run"], "seq").collect()] == [("r", "procurement", 1, 3)]
     section = spark.createDataFrame([("r", "We ask about F and  G: yyyy")], "run string, section string")
@@ -142,10 +145,15 @@ def test_parsers(spark):
     assert one(spark, parse.salvaged_json(F.lit("x ```json\n{\"a\": {\"b\": 1}}\n``` y"))) == '{"a": {"b": 1}}'
     assert one(spark, parse.salvaged_json(F.lit("[1]"))) is None and one(spark, parse.salvaged_json(F.lit("{broken"))) is None
     assert one(spark, parse.identifiers(F.lit("U12345MH2010PTC123456, L1MH, U12345MH2010PTC123456"))) == ["U12345MH2010PTC123456"]
-    assert [one(spark, parse.token_count(F.lit(n))) for n in (999, 1500, 2_340_000)] == ["999", "1.5k", "2.34M"]
+    late = 'Sure: ```json {"k":1} ``` Done {not json}'
+    assert one(spark, parse.salvaged_json(F.lit(late))) is None and one(spark, parse.salvaged_json(F.lit(late[6:]))) == '{"k":1}'
+    counts = [999, 1000, 1250, 1500, 999_950, 999_949, 1_005_000, 2_340_000, *range(1050, 60_000, 100), *range(1_005_000, 40_000_000, 170_000)]
+    plain = lambda n: f"{n / 1e6:.2f}M" if n >= 10**6 else f"{n / 1e3:.1f}k" if n >= 1000 else str(n)
+    shown = spark.createDataFrame([(n,) for n in counts], "n long").select("n", parse.token_count(F.col("n")).alias("t")).collect()
+    assert [(r.n, r.t) for r in shown if r.t != plain(r.n)] == []
+    assert one(spark, parse.plain(F.lit("<td> R&amp;amp;D&rsquo;s &#8377;5 &#x20b9; &nope; &nbsp;</td>"))) == "R&amp;D’s ₹5 ₹ &nope;"
+    assert one(spark, memo.section(F.lit("# A\r\n## 1. Open Questions\r\nx\r\n## B"), "open questions")) == "x"
     tree = '{"fund": {"size": {"value": "5", "page": 2, "quote": "five"}, "name": {"value": "N"}}}'
-    found = one(spark, parse.leaves(F.lit(tree), ("fund.size", "fund.name", "fund.none")))
-    assert [(x["path"], x["value"], x["page"]) for x in found] == [("fund.size", "5", 2), ("fund.name", "N", None)]
     assert one(spark, parse.dig(F.lit(tree), "fund.none.value")) is None
 
 

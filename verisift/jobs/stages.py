@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from verisift.functions import parse
 from verisift.functions.text import one_spaced
 from verisift.jobs import oracles
-from verisift.operators import criteria, events, findings, gates, memo, reconcile, telemetry, unresolved
+from verisift.operators import criteria, documents, events, findings, gates, memo, reconcile, telemetry, unresolved
 from verisift.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,10 +179,11 @@ def entry_violations(spark, d):
     return gates.violations(_entries(spark, d), "seq", unresolved.entry_gates())
 
 
-@query(f"""WITH {_SAFE}, x AS (SELECT run, field_path, lower(account) AS head, CASE WHEN seq % 2 = 0 THEN 'classification' ELSE 'scoring' END AS stage, seq, kind FROM s)
-    SELECT run, field_path, min(seq) AS seq, arg_min(stage, seq) AS stage, arg_min(kind, seq) AS kind FROM x GROUP BY run, field_path, head""")
+@query(f"""WITH {_SAFE}, x AS (SELECT run, field_path, substr(account, 1, 160) AS head, CASE WHEN seq % 2 = 0 THEN 'classification' ELSE 'scoring' END AS stage, seq, kind FROM s)
+    SELECT run, field_path, min(seq) AS seq, 'scoring' AS stage, arg_min(kind, seq) AS kind FROM x WHERE stage = 'scoring' GROUP BY run, field_path, head
+    UNION ALL SELECT run, field_path, seq, stage, kind FROM x WHERE stage = 'classification'""")
 def unresolved_assembled(spark, d):
-    """Two stages' entries, each field and account once."""
+    """Two stages' entries, those of scoring once for each field and account."""
     safe = _safe(spark, d)
     parts = {"classification": safe.filter("seq % 2 = 0"), "scoring": safe.filter("seq % 2 = 1")}
     return unresolved.assembled(parts, ["run"], "seq").select("run", "field_path", "seq", "stage", "kind")
@@ -202,15 +203,14 @@ def unresolved_carried(spark, d):
     return unresolved.not_carried(entries, docs.select("doc_id", F.substr("t", begin, size).alias("section")), ["doc_id"])
 
 
-@query("""SELECT conv_id, turn, CASE WHEN role <> 'system' THEN replace(text, '#', '') || chr(10) || '### Sub' || chr(10) || 'x' END AS body,
-    CASE WHEN role <> 'system' THEN length(trim(replace(text, '#', ''))) + 2 >= 20 END AS filled FROM conversations""")
+@query("""SELECT conv_id, turn, CASE WHEN role <> 'system' THEN coalesce(replace(text, '#', ''), 'none') || chr(10) || '### Sub' || chr(10) || 'x' ELSE 'z' END AS body,
+    CASE WHEN role <> 'system' THEN length(trim(coalesce(replace(text, '#', ''), 'none'))) + 2 >= 20 ELSE false END AS filled FROM conversations""")
 def memo_sections(spark, d):
-    """A section of a memo made of each turn, with a deeper heading inside and others around; some memos lack it."""
-    turn = F.replace("text", F.lit("#"), F.lit(""))
+    """A section of a memo made of each turn, with a deeper heading inside and others around; memos without it have one that names it too."""
+    turn = F.coalesce(F.replace("text", F.lit("#"), F.lit("")), F.lit("none"))
     title = F.when(F.col("role") != "system", "## 11. Open Questions").otherwise("## Annex")
     body = F.array_join(F.array(F.lit("# Memo\n## Before\ny"), title, turn, F.lit("### Sub\nx\n## After\n### Open Questions again\nz")), "\n")
-    found = table(spark, d, "conversations").filter("text IS NOT NULL").select("conv_id", "turn", "role", memo.section(body, "open questions").alias("body"))
-    found = found.withColumn("body", F.when(F.col("role") != "system", F.col("body")))
+    found = table(spark, d, "conversations").select("conv_id", "turn", memo.section(body, "open questions").alias("body"))
     return found.select("conv_id", "turn", "body", (F.length(F.regexp_replace(memo.bare_body(F.col("body")), r"\s*x$", "")) + 2 >= 20).alias("filled"))
 
 
@@ -231,7 +231,7 @@ def recommendation_agreement(spark, d):
 
 
 @query("""WITH c AS (SELECT p_partkey AS key, p_brand, p_size, p_retailprice - 1000 AS weight, p_name || ' ' || p_type AS g,
-        ['VETO', 'RED_FLAG', 'GREEN_FLAG', 'BLUE'][p_partkey % 4 + 1] AS tier FROM part)
+        ['GREEN_FLAG', 'RED_FLAG', 'VETO', 'BLUE'][p_partkey % 4 + 1] AS tier FROM part)
     SELECT 'tier_unknown' AS gate, key FROM c WHERE tier = 'BLUE' UNION ALL SELECT 'severity_unknown', key FROM c WHERE p_size % 5 = 4
     UNION ALL SELECT 'weight_not_positive', key FROM c WHERE weight <= 0 UNION ALL SELECT 'guidance_short', key FROM c WHERE length(g) < 40
     UNION ALL SELECT 'text_missing', key FROM c WHERE key % 9 = 0
@@ -253,38 +253,66 @@ def repeated_codes(spark, d):
     return criteria.repeated_codes(table(spark, d, "part").select(F.col("p_brand").alias("criterion_code")))
 
 
-_PATHS = ("fund.size", "fund.name", "team.head")
-
-
 def _trees(spark, d):
-    """Orders as extraction results: a size with page and quote, a name without a quote, a head that is sometimes null."""
-    leaf = lambda v, p, q: F.struct(v.alias("value"), p.alias("page"), q.alias("quote"))
-    none = F.lit(None).cast("string")
-    fund = F.struct(
-        leaf(F.col("o_custkey").cast("string"), F.lit(3), F.col("o_orderpriority")).alias("size"), leaf(F.col("o_orderstatus"), F.lit(1), none).alias("name")
-    )
-    team = F.struct(leaf(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")), none.cast("int"), none).alias("head"))
-    return table(spark, d, "orders").select("o_orderkey", F.to_json(F.struct(fund.alias("fund"), team.alias("team"))).alias("result"))
-
-
-@query("""SELECT o_orderkey, 'fund.size' AS path, CAST(o_custkey AS VARCHAR) AS value, 3 AS page, o_orderpriority AS quote, true AS cited, false AS unsupported FROM orders
+    """Orders as extraction results of uneven depth: a size whose page is sometimes 0, a name without a quote, a head that is sometimes null, and lists of up to three records with a field far down."""
+    leaf = lambda v, p, q: F.struct(v.cast("string").alias("value"), p.cast("int").alias("page"), q.cast("string").alias("quote"))
+    none = F.lit(None)
+    fund = F.struct(leaf(F.col("o_custkey"), F.col("o_orderkey") % 4, F.col("o_orderpriority")).alias("size"), leaf(F.col("o_orderstatus"), F.lit(1), none).alias("name"))
+    team = F.struct(leaf(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")), none, none).alias("head"), F.lit("five of them").alias("note"))
+    deep = lambda i: F.struct(F.array(F.struct(F.struct(leaf(i, i + 1, F.lit(" q ")).alias("c")).alias("b"))).alias("a"))
+    rows = F.transform(F.filter(F.sequence(F.lit(0), F.lit(2)), lambda i: i < F.col("o_orderkey") % 4), deep)
+    whole = F.to_json(F.struct(team.alias("team"), rows.alias("rows"), fund.alias("fund")), {"ignoreNullFields": "false"})
+    return table(spark, d, "orders").select("o_orderkey", whole.alias("result"))
+
+
+@query("""SELECT o_orderkey, 'fund.size' AS path, CAST(o_custkey AS VARCHAR) AS value, o_orderkey % 4 AS page, o_orderpriority AS quote, o_orderkey % 4 > 0 AS cited, o_orderkey % 4 = 0 AS unsupported FROM orders
     UNION ALL SELECT o_orderkey, 'fund.name', o_orderstatus, 1, NULL, false, true FROM orders
-    UNION ALL SELECT o_orderkey, 'team.head', o_orderpriority, NULL, NULL, false, true FROM orders WHERE o_orderkey % 2 = 0""")
+    UNION ALL SELECT o_orderkey, 'team.head', CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END, NULL, NULL, false, o_orderkey % 2 = 0 FROM orders
+    UNION ALL SELECT o_orderkey, 'rows[' || i || '].a[0].b.c', CAST(i AS VARCHAR), i + 1, ' q ', true, false FROM orders, (SELECT unnest([0, 1, 2]) AS i) WHERE i < o_orderkey % 4""")
 def extraction_leaves(spark, d):
-    """Leaves of extraction trees, which of them are citations, and values without a page or quote."""
-    rows = _trees(spark, d).select("o_orderkey", F.explode(parse.leaves(F.col("result"), _PATHS)).alias("x"))
-    return rows.select("o_orderkey", "x.*", parse.is_citation(F.col("x")).alias("cited"), parse.field_is_unsupported(F.col("x")).alias("unsupported"))
+    """Fields of extraction trees at any depth, which of them are citations, and values without a page or quote."""
+    return documents.fields(_trees(spark, d), "o_orderkey", "result")
+
+
+@query("""SELECT o_orderkey, t AS canonical, sha256(t) AS hash FROM (SELECT o_orderkey, '{"fund":{"name":{"page":1,"quote":null,"value":"' || o_orderstatus || '"},"size":{"page":' || o_orderkey % 4 || ',"quote":"' || o_orderpriority || '","value":"' || o_custkey || '"}},"rows":['
+        || array_to_string(list_transform(range(o_orderkey % 4)[1:3], lambda i: '{"a":[{"b":{"c":{"page":' || i + 1 || ',"quote":" q ","value":"' || i || '"}}}]}'), ',')
+        || '],"team":{"head":{"page":null,"quote":null,"value":' || CASE WHEN o_orderkey % 2 = 0 THEN '"' || o_orderpriority || '"' ELSE 'null' END || '},"note":"five of them"}}' AS t FROM orders)""")
+def canonical_json(spark, d):
+    """Extraction trees with their keys in order, and the hash of that."""
+    text = F.col("result")
+    return _trees(spark, d).select("o_orderkey", documents.canonical_json(text).alias("canonical"), documents.content_hash(text).alias("hash"))
 
 
-@query("""SELECT o_orderkey, p AS path, CASE WHEN p = 'fund.note' OR (p = 'team.head' AND o_orderkey % 2 = 1) THEN 'NOT DISCLOSED'
-        WHEN p = 'fund.size' THEN CAST(o_custkey AS VARCHAR) ELSE o_orderpriority END AS stated
-    FROM orders, (SELECT unnest(['fund.size', 'fund.note', 'team.head']) AS p)""")
+@query("""SELECT o_orderkey, p AS label, CASE WHEN p = 'note' OR (p = 'head' AND o_orderkey % 2 = 1) THEN 'NOT DISCLOSED'
+        WHEN p = 'size' THEN CAST(o_custkey AS VARCHAR) WHEN p = 'name' THEN CASE WHEN o_orderstatus = 'O' THEN 'NO' ELSE o_orderstatus END ELSE o_orderpriority END AS stated
+    FROM orders, (SELECT unnest(['size', 'note', 'head', 'name']) AS p)""")
 def index_absences(spark, d):
-    """Fixed paths of each tree, null or missing ones as not disclosed."""
-    paths = ("fund.size", "fund.note", "team.head")
-    stated = lambda p: F.coalesce(parse.dig(F.col("result"), f"{p}.value"), F.lit("NOT DISCLOSED"))
-    cells = F.array(*[F.struct(F.lit(p).alias("path"), stated(p).alias("stated")) for p in paths])
-    return _trees(spark, d).select("o_orderkey", F.explode(cells).alias("x")).select("o_orderkey", "x.*")
+    """Fixed paths of each tree, null or missing ones as not disclosed, and a plain no as NO."""
+    said_no = F.replace("result", F.lit('"value":"O"'), F.lit('"value":"No "'))
+    spec = (("size", "fund.size"), ("note", "fund.note"), ("head", "team.head"), ("name", "fund.name"))
+    return documents.index_absences(_trees(spark, d).withColumn("result", said_no), "o_orderkey", "result", spec)
+
+
+@query("""SELECT o_orderkey, 'size' AS label, CAST(o_custkey AS VARCHAR) AS stated FROM orders
+    UNION ALL SELECT o_orderkey, 'head', o_orderpriority FROM orders WHERE o_orderkey % 2 = 0""")
+def index_facts(spark, d):
+    """What each tree states at fixed paths; what it doesn't state has no row."""
+    return documents.index_facts(_trees(spark, d), "o_orderkey", "result", (("size", "fund.size"), ("head", "team.head"), ("note", "fund.note")))
+
+
+@query("""WITH e AS (SELECT event_id AS key, event_id % 9 AS k FROM events)
+    SELECT ['other_stage', 'other_version', 'result_missing', 'result_null', 'unresolved_missing', 'unresolved_no_list', 'citations_no_list', 'not_an_object'][k] AS gate, key FROM e WHERE k > 0""")
+def envelope_violations(spark, d):
+    """Events as envelopes of their stage, each kind of breach in turn."""
+    head = lambda stage, version, rest: F.concat(F.lit('{"stage":"'), stage, F.lit(f'","schema_version":{version}{rest}}}'))
+    kind, lists = F.col("event_type"), ',"unresolved":[],"citations":[]'
+    ways = F.array(
+        head(kind, 2, f',"result":{{"k":[]}}{lists}'), head(F.lit("none"), 2, f',"result":1{lists}'), head(kind, 1, f',"result":1{lists}'), head(kind, 2, lists),
+        head(kind, 2, f',"result":null{lists}'), head(kind, 2, ',"result":1,"citations":[]'), head(kind, 2, ',"result":1,"unresolved":{}'),
+        head(kind, 2, ',"result":1,"unresolved":[],"citations":"x"'), F.col("event_id").cast("string"),
+    )
+    made = table(spark, d, "events").select("event_id", "event_type", F.get(ways, (F.col("event_id") % 9).cast("int")).alias("text"))
+    return gates.violations(made, "event_id", documents.envelope_gates(F.col("text"), F.col("event_type")))
 
 
 def _attempts(spark, d):
@@ -361,14 +389,15 @@ def html_table_rows(spark, d):
     return rows.select("o_orderkey", F.col("r")[0].alias("title"), F.col("r")[1].alias("state"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 < 3 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, event_id % 4 < 3 AS salvaged FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 6 IN (1, 2, 4) THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, event_id % 6 IN (1, 2, 4) AS salvaged FROM events""")
 def salvaged_json(spark, d):
-    """Replies around events' JSON: fenced, in prose, bare, and a list, which is no object."""
+    """Replies around events' JSON: fenced late and with another brace behind, in prose, bare, a list, fenced at the beginning, and a fenced list."""
     ways = F.array(
         F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```\nDone {not json}")), F.concat(F.lit("Result is "), "props", F.lit(" as asked")),
-        F.col("props"), F.lit("[1, 2]"),
+        F.col("props"), F.lit("[1, 2]"), F.concat(F.lit(" ```json\n"), "props", F.lit("\n```\nDone {not json}")),
+        F.concat(F.lit("```\n[1]\n``` for "), "props"),
     )
-    reply = parse.salvaged_json(F.get(ways, (F.col("event_id") % 4).cast("int")))
+    reply = parse.salvaged_json(F.get(ways, (F.col("event_id") % 6).cast("int")))
     return table(spark, d, "events").select("event_id", F.get_json_object(reply, "$.k").cast("long").alias("k"), reply.isNotNull().alias("salvaged"))
 
 
@@ -381,11 +410,10 @@ def register_numbers(spark, d):
 
 
 @query("""SELECT c_custkey, CASE WHEN n >= 1000000 THEN printf('%.2fM', n / 1000000.0) WHEN n >= 1000 THEN printf('%.1fk', n / 1000.0) ELSE CAST(n AS VARCHAR) END AS label
-    FROM (SELECT c_custkey, c_custkey * c_custkey * 13 AS n FROM customer WHERE c_custkey * c_custkey * 13 % 100 <> 50 AND c_custkey * c_custkey * 13 % 10000 <> 5000)""")
+    FROM (SELECT c_custkey, c_custkey * c_custkey * 13 AS n FROM customer)""")
 def token_labels(spark, d):
     n = F.col("c_custkey") * F.col("c_custkey") * 13
-    rows = table(spark, d, "customer").filter((n % 100 != 50) & (n % 10_000 != 5000))
-    return rows.select("c_custkey", parse.token_count(n).alias("label"))
+    return table(spark, d, "customer").select("c_custkey", parse.token_count(n).alias("label"))
 
 
 @query("SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM customer WHERE lower(replace(c_name, 'Customer#', 'x')) = lower(replace(s_name, 'Supplier#', 'x')))")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Tiers, severities, the least guidance, and words of which guidance should hold one.
-TIERS = ("VETO", "RED_FLAG", "GREEN_FLAG")
+TIERS = ("GREEN_FLAG", "RED_FLAG", "VETO")
 SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 MIN_GUIDANCE = 40
 NOUNS = (

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verisift.functions.parse import strict_json
+
 # The envelope's version, and the labels and paths of an index's facts and absences.
 SCHEMA_VERSION = 2
 FACTS = (
@@ -70,7 +72,7 @@ def nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
     A key column is carried along; a document's nodes stay in its task.
     """
     levels = docs.agg(F.max(depth(F.col(text)))).first()[0] or 0
-    rows = docs.select(F.col(key), F.lit("").alias("path"), F.try_parse_json(F.col(text)).alias("node")).filter(F.col("node").isNotNull())
+    rows = docs.select(F.col(key), F.lit("").alias("path"), strict_json(F.col(text)).alias("node")).filter(F.col("node").isNotNull())
     spark = docs.sparkSession
     for _ in range(levels):
         opened = rows.withColumn("_open", F.when(~is_field(F.col("node")), F.col("node")))
@@ -102,7 +104,7 @@ def canonical_json(text: Column) -> Column:
 
     Objects of a VARIANT hold their keys in order, which the text then shows.
     """
-    return F.to_json(F.try_parse_json(text))
+    return F.to_json(strict_json(text))
 
 
 def content_hash(text: Column) -> Column:
@@ -117,14 +119,14 @@ def _stated(node: Column, path: str) -> Column:
 
 def index_facts(docs: DataFrame, key: str, text: str, spec: tuple[tuple[str, str], ...] = FACTS) -> DataFrame:
     """(key, label, stated): what a document says at fixed paths, as written or else its value; what it doesn't say has no row."""
-    node = F.try_parse_json(F.col(text))
+    node = strict_json(F.col(text))
     cells = F.array(*[F.struct(F.lit(label).alias("label"), _stated(node, path).alias("stated")) for label, path in spec])
     return docs.select(key, F.explode(cells).alias("_x")).select(key, "_x.*").filter("stated IS NOT NULL")
 
 
 def index_absences(docs: DataFrame, key: str, text: str, spec: tuple[tuple[str, str], ...] = ABSENCES) -> DataFrame:
     """(key, label, stated): fixed paths whose absence is a finding; without a value NOT DISCLOSED, the value no as NO."""
-    node = F.try_parse_json(F.col(text))
+    node = strict_json(F.col(text))
 
     def cell(label: str, path: str) -> Column:
         value = F.try_variant_get(node, f"$.{path}.value", "string")
@@ -136,7 +138,7 @@ def index_absences(docs: DataFrame, key: str, text: str, spec: tuple[tuple[str,
 
 def envelope_gates(text: Column, stage: Column) -> dict[str, Column]:
     """Gates of a stage's envelope, for gates.violations and publish; in the order in which they are told."""
-    node = F.try_parse_json(text)
+    node = strict_json(text)
     object_ = F.coalesce(kind(node) == "OBJECT", F.lit(False))
     of = lambda c: part(node, c)
     version = F.when(kind(of("schema_version")) == "BIGINT", F.try_variant_get(node, "$.schema_version", "long"))

@@ -14,7 +14,7 @@ HEADING = r"^(#{1,6})\s+"
 
 def section(markdown: Column, title: str) -> Column:
     """What follows the first heading that holds the title, up to the next of its level or a higher one; null if there is none."""
-    lines = F.transform(F.split(markdown, "\n", -1), lambda x: F.struct(x.alias("line"), F.length(F.regexp_extract(x, HEADING, 1)).alias("level")))
+    lines = F.transform(F.split(markdown, "\r?\n", -1), lambda x: F.struct(x.alias("line"), F.length(F.regexp_extract(x, HEADING, 1)).alias("level")))
 
     def from_first(all_: Column) -> Column:
         titled = F.filter(F.sequence(F.lit(0), F.size(all_) - 1), lambda i: (all_[i]["level"] > 0) & F.contains(F.lower(all_[i]["line"]), F.lit(title.lower())))

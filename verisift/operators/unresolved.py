@@ -81,16 +81,21 @@ def entry_gates() -> dict[str, Column]:
     }
 
 
-def assembled(by_stage: dict[str, DataFrame], run: list[str], order: str) -> DataFrame:
-    """All stages' entries, each field and account once: the first by `order`."""
+def assembled(by_stage: dict[str, DataFrame], run: list[str], order: str, once: tuple[str, ...] = ("scoring",)) -> DataFrame:
+    """All stages' entries; within the stages `once` each field path and beginning of an account once, the first by `order`.
+
+    Accounts are told apart as they are written, case and blanks included.
+    """
     parts = [df.withColumn("stage", F.lit(stage)) for stage, df in by_stage.items()]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    head = F.substring(one_spaced(F.coalesce("account", F.lit(""))), 1, ACCOUNT_HEAD).alias("_head")
-    rest = [c for c in every.columns if c not in (*run, "field_path")]
-    first = F.min_by(F.struct(*rest), F.struct(order, "stage")).alias("_first")
-    return every.groupBy(*run, "field_path", head).agg(first).select(*run, "field_path", "_first.*")
+    twice, rest = F.col("stage").isin(*once), [c for c in every.columns if c not in (*run, "field_path", "stage")]
+    head = F.substring(F.coalesce("account", F.lit("")), 1, ACCOUNT_HEAD).alias("_head")
+    first = F.min_by(F.struct(*rest), order).alias("_first")
+    columns = [*run, "field_path", "stage", *rest]
+    kept = every.filter(twice).groupBy(*run, "field_path", "stage", head).agg(first).select(*run, "field_path", "stage", "_first.*")
+    return every.filter(~twice).select(columns).unionByName(kept.select(columns))
 
 
 def by_kind(entries: DataFrame, run: list[str]) -> DataFrame:
