@@ -1,9 +1,11 @@
 """Language ID, packing, piece sampling, HTML extraction and URL filters."""
 
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -183,6 +185,27 @@ def test_subtree_counts_against_brute_force(spark):
         assert got[i] == "\n".join([f"Box {j}" for j in range(4) if box(i, j) and (i % 2, j) not in gone] + [f"Own {i}"])
 
 
+def test_only_names_of_attributes_drop():
+    text = lambda page: html_extraction.blocks(html_extraction.parse(page), set())
+    page = """<body><article><p title="the hidden cost">one</p><div data-caption="a hidden gem">two</div><section title='x id=comments y'>three</section>
+        <div data-x = 'class="ad"' class=ad>gone</div><div title="a > b" CLASS = "Sidebar x">gone</div><p aria-hidden="false">four</p><p hidden>gone</p><p alt=""'' id="p4">five</p></article></body>"""
+    assert " ".join(text(page)).split() == ["one", "two", "three", "four", "five"]
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a '", '<a x="', "<a b", "<", "</b>", "<!", "<div></b>", "<p><b>", "<b><div></div>", '<a "> '])
+def test_broken_pages_take_linear_time(part):
+    page = "<article><p>first</p>" + part * (1_000_000 // len(part))
+    began = time.process_time()
+    root = html_extraction.parse(page)
+    assert time.process_time() - began < 8
+    assert root.children[0].tag == "article"
+
+
+def test_text_behind_an_unclosed_quote_is_kept():
+    page = '<article><p title="x>first</p><p>second</p></article>'
+    assert "second" in " ".join(html_extraction.blocks(html_extraction.parse(page), set()))
+
+
 def test_names_drop_no_main_text():
     text = lambda page: html_extraction.blocks(html_extraction.parse(page), set())
     main = '<article class="post comment-open"><p>One two</p><p class="alert">Three</p><section id="related-work"><p>Four</p></section></article>'

@@ -13,7 +13,8 @@ Defined results
   the page's text, and inside of those no paragraph, heading, list item or other element of running text (but hidden ones).
 - inside `article` or `main` only `div` and `section` can be template, so
   that an article that a site repeats keeps its text, and none that holds most of its text.
-- broken markup: unclosed elements end with their parent; stray end tags are skipped.
+- broken markup: unclosed elements end with their parent; stray end tags are skipped; behind a
+  tag whose quotes are not closed, quotes don't count.
 - pages of a host with the same main text count as one page; every row is returned.
 - an empty table gives no rows; columns beside id, url and html are only passed on.
 """
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,10 +37,14 @@ from verisift.llm.common import cut_lineage, in_arrow, salted_join, small
 MIN_PAGES = 5
 MIN_SHARE = 0.3
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S
-)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: What is no tag; a tag, whose quoted values may hold any character; and one where quotes don't count.
+#: None goes back over what it has read.
+OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
+QUOTED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>\"']++)*+)>")
+UNQUOTED = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>")
+BEGINS = re.compile(r"</?[a-zA-Z]")
+#: An attribute's name with its value, or a value without a name.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?+|\"[^\"]*+\"|'[^']*+'")
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
@@ -77,46 +83,76 @@ class Element:
         self.tag, self.words, self.children, self.vital = tag, words, [], False
 
 
+def markup(text: str, at: int, quotes: bool) -> tuple[re.Match | None, bool]:
+    """The next markup from a place on, and whether quotes count behind it.
+
+    A tag whose end isn't found, as of an unclosed quote, ends at the next >, and from there on quotes
+    don't count, so that a page is read through twice at most.
+    """
+    while (at := text.find("<", at)) >= 0:
+        found = OTHER.match(text, at) or (QUOTED if quotes else UNQUOTED).match(text, at)
+        if found is None and quotes and BEGINS.match(text, at):
+            quotes, found = False, UNQUOTED.match(text, at)
+        if found:
+            return found, quotes
+        at += 1
+    return None, quotes
+
+
+def names(attributes: str) -> frozenset[str]:
+    """The words of class, id, role and itemprop, and `hidden` of what is not shown."""
+    words: set[str] = set()
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = (m[1] or "").lower(), (m[2] or "").strip("\"'").lower()
+        if name == "hidden" or name == "aria-hidden" and "true" in value:
+            words.add("hidden")
+        elif name in ("class", "id", "role", "itemprop"):
+            words.update(value.split())
+    return frozenset(words)
+
+
 def parse(text: str) -> Element:
     """The tree of elements and strings; strings keep their character references."""
-    root, at = Element("", frozenset()), 0
-    stack = [root]
-    while m := TAG.search(text, at):
+    root, at, quotes = Element("", frozenset()), 0, True
+    stack, open_ = [root], Counter()
+
+    def end(i: int) -> None:
+        """End the open elements from the i-th on."""
+        open_.subtract(e.tag for e in stack[i:])
+        del stack[i:]
+
+    while True:
+        m, quotes = markup(text, at, quotes)
+        if m is None:
+            break
         if m.start() > at:
             stack[-1].children.append(text[at : m.start()])
         at = m.end()
-        if not m[2]:
+        if m.re is OTHER:
             continue
         tag = m[2].lower()
         if m[1]:
-            if any(e.tag == tag for e in stack[1:]):
-                while stack.pop().tag != tag:
-                    pass
+            if open_[tag] > 0:
+                end(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
-        if tag in CLOSES_P and (p := next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag not in INLINE), 0)) and stack[p].tag == "p":
-            del stack[p:]
-        elif tag in SAME:
+        if tag in CLOSES_P and open_["p"] > 0 and (p := next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag not in INLINE), 0)) and stack[p].tag == "p":
+            end(p)
+        elif tag in SAME and any(open_[t] > 0 for t in SAME[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in SAME[tag]:
-                    del stack[i:]
+                    end(i)
                     break
                 if stack[i].tag in ("ul", "ol", "dl", "table", "select", "div"):
                     break
-        words: set[str] = set()
-        for name, value in ATTRIBUTE.findall(m[3]):
-            if name.lower() in ("hidden", "aria-hidden"):
-                words |= {"hidden"} if name.lower() == "hidden" or "true" in value else set()
-            else:
-                words.update(value.strip("\"'").lower().split())
-        element = Element(tag, frozenset(words))
+        element = Element(tag, names(m[3]))
         stack[-1].children.append(element)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(text, at)
-            end = close.start() if close else len(text)
-            element.children.append(text[at:end])
+            element.children.append(text[at : close.start() if close else len(text)])
             at = close.end() if close else len(text)
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(element)
+            open_[tag] += 1
     if at < len(text):
         stack[-1].children.append(text[at:])
     mark_vital(root)
