@@ -44,6 +44,10 @@ SIEVE = 1 << 22
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: The word that stands for U+0000, marked by a private character.
+NUL = "\ue0ffNUL"
+
+
 class Column:
     """An array that grows at its end."""
 
@@ -240,7 +244,10 @@ class Lattices:
         if missing := seen.difference(self.index):
             if len(self.index) + len(missing) > CACHE_WORDS:
                 self.clear()
-                missing = seen
+                missing = set(seen)
+            if NUL in missing:  # it is no word of the pieces', and is put back when the words were cleared
+                missing.remove(NUL)
+                self._add([NUL], np.array([1]), np.array([0]), np.array([self.byte[0]]), np.array([1]), np.array([1.0]))
             self.add(sorted(missing))
         counts = [len(s) for s in split]
         word = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=sum(counts))
@@ -257,10 +264,8 @@ class Lattices:
         out: list[str] = []
         for i, part in enumerate(text.split("\0")):
             if i:
-                out.append("NUL")
+                out.append(NUL)
             out += self.words.findall(("\0" if not i else "") + part.replace(" ", "\0"))
-        if "NUL" not in self.index:
-            self._add(["NUL"], np.array([1]), np.array([0]), np.array([self.byte[0]]), np.array([1]), np.array([1.0]))
         return out
 
     def lossless(self, ids: list[np.ndarray], texts: list[str]) -> list[bool]:
