@@ -4,7 +4,9 @@ Texts become normalised TF-IDF vectors of hashed letter bigrams and trigrams. Do
 frequencies are counted over all training documents in Spark; centroids are clustered
 per language from a bounded sample of them. A text gets the language of the centroid
 of the highest cosine, and is rejected if even that cosine lies under a limit that
-depends on its length.
+depends on its length and on that language. Limits come from what texts of no known
+language reach: each language's sample without its own centroids, and with its letters
+drawn anew; but a limit is never more than nearly all texts of the language itself reach.
 
 Defined results
 - null text, or text without a letter: `und`, score 0, rejected.
@@ -17,6 +19,7 @@ Defined results
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +43,8 @@ LEAST_CLUSTER = 0.1
 BATCH_TEXTS, BATCH_CHARS = 64, 250_000
 #: Lengths for which a limit is fitted; a longer text has the last one's limit, a shorter one none.
 LENGTHS = (10, 20, 40, 80, 160, 320, 640)
-#: The limit is this part of the cosine that all but LOW of the fitted pieces reach.
-MARGIN, LOW = 0.6, 0.002
+#: A limit is what all but FOREIGN of texts of no known language stay below, but not more than all but OWN of a language's texts reach.
+FOREIGN, OWN = 0.05, 0.03
 
 _letters: np.ndarray | None = None
 
@@ -163,41 +166,64 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not has_letter(text):
-                    continue
-                middle = [text[len(text) // 3 :][:n] for n in LENGTHS]
-                pieces = [(-1, text)] + [(i, m) for i, m in enumerate(middle) if len(m) == LENGTHS[i] and has_letter(m)]
-                made = vectors([t for _, t in pieces], idf)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(pieces)), pa.array([i for i, _ in pieces]), pa.array([v.tobytes() for v in made])],
-                    ["lang", "size", "v"],
-                )
+            rows = [(x, t) for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if has_letter(t)]
+            for part in _grouped(rows):
+                v = vectors([t for _, t in rows[part]], idf)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows[part]], pa.string()), pa.array([x.tobytes() for x in v], pa.binary())], ["lang", "v"])
 
     def fitted(rows: pd.DataFrame) -> pd.DataFrame:
-        whole = np.stack([np.frombuffer(v, dtype=np.float32) for v in rows[rows["size"] < 0].sort_values("v")["v"]])
-        centres = spherical_means(whole, CENTROIDS)
-        out = [(rows["lang"].iloc[0], -1, 0.0, c.astype(np.float32).tobytes()) for c in centres]
-        for i in range(len(LENGTHS)):
-            of = rows[rows["size"] == i]["v"]
-            if len(of):
-                best = (np.stack([np.frombuffer(v, dtype=np.float32) for v in of]) @ centres.T).max(axis=1)
-                out.append((rows["lang"].iloc[0], i, float(np.quantile(best, LOW)), None))
-        return pd.DataFrame(out, columns=["lang", "size", "low", "v"])
-
-    parts = (
-        sample.transform(in_arrow, made, "lang string, size long, v binary")
-        .groupBy("lang")
-        .applyInPandas(fitted, "lang string, size long, low double, v binary")
-        .collect()
-    )
-    centres = sorted((r["lang"], r["v"]) for r in parts if r["size"] < 0)
+        centres = spherical_means(np.stack([np.frombuffer(v, dtype=np.float32) for v in rows["v"].sort_values()]), CENTROIDS)
+        return pd.DataFrame([(rows["lang"].iloc[0], c.astype(np.float32).tobytes()) for c in centres], columns=["lang", "v"])
+
+    found = sample.transform(in_arrow, made, "lang string, v binary").groupBy("lang").applyInPandas(fitted, "lang string, v binary").collect()
+    centres = sorted((r["lang"], r["v"]) for r in found)
     if not centres:
         return None
-    lows = [min((r["low"] for r in parts if r["size"] == i), default=0.0) for i in range(len(LENGTHS))]
-    return Model(
-        [c[0] for c in centres], np.stack([np.frombuffer(c[1], dtype=np.float32) for c in centres]), idf, MARGIN * np.array(lows)
-    )
+    langs, of = [c[0] for c in centres], np.stack([np.frombuffer(c[1], dtype=np.float32) for c in centres])
+    return Model(langs, of, idf, _limits(sample, langs, of, idf))
+
+
+def _redrawn(text: str) -> str:
+    """The text with each of its letters drawn anew among those that it has."""
+    lower = text.lower()
+    some = sorted({c for c in lower if c.isalpha()})
+    draw = np.random.default_rng(zlib.crc32(lower.encode("utf-8", "surrogatepass"))).integers(0, len(some), len(lower))
+    return "".join(some[i] if c.isalpha() else c for c, i in zip(lower, draw, strict=True))
+
+
+def _limits(sample: DataFrame, langs: list[str], centres: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The least cosine for a centroid and each of LENGTHS.
+
+    Pieces of the sample are compared with their own language; with all others, as if their own had
+    been left out; and once more with their letters drawn anew. The last two are of no known language.
+    """
+    names = np.array(langs)
+    known = sorted(set(langs))
+    firsts = np.searchsorted(names, known)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                middle = [text[len(text) // 3 :][:n] for n in LENGTHS]
+                pieces = [(i, m) for i, m in enumerate(middle) if len(m) == LENGTHS[i] and has_letter(m)]
+                if lang not in known or not pieces:
+                    continue
+                texts = [m for _, m in pieces]
+                near = np.maximum.reduceat(vectors([*texts, *map(_redrawn, texts)], idf) @ centres.T, firsts, axis=1)
+                own = known.index(lang)
+                others = np.delete(near[: len(texts)], own, axis=1)
+                for j, (i, _) in enumerate(pieces):
+                    rows.append((lang, i, float(near[j, own])))
+                    rows.append((None, i, float(near[len(texts) + j].max())))
+                    if len(known) > 1:
+                        rows.append((None, i, float(others[j].max())))
+            columns = zip(*rows, strict=True) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.float64()), strict=True)], ["lang", "size", "near"])
+
+    seen = sample.transform(in_arrow, compared, "lang string, size int, near double").groupBy("lang", "size")
+    found = {(r["lang"], r["size"]): r["q"] for r in seen.agg(F.percentile("near", F.array(F.lit(OWN), F.lit(1 - FOREIGN))).alias("q")).collect()}
+    return np.array([[min(found.get((x, i), [0.0])[0], found.get((None, i), [0.0, 0.0])[1]) for i in range(len(LENGTHS))] for x in langs])
 
 
 def judged(texts: list[str | None], model: Model | None) -> tuple[list[str], list[float], list[bool]]:
@@ -212,7 +238,7 @@ def judged(texts: list[str | None], model: Model | None) -> tuple[list[str], lis
         best = near.argmax(axis=1)
         top = np.clip(near[np.arange(len(best)), best].astype(np.float64), 0, 1)
         size = np.searchsorted(LENGTHS, [len(t or "") for t in texts[part]], side="right") - 1
-        limit = np.where(size < 0, 0.0, model.limits[np.clip(size, 0, len(LENGTHS) - 1)])
+        limit = np.where(size < 0, 0.0, model.limits[best, np.clip(size, 0, len(LENGTHS) - 1)])
         langs += [model.langs[b] if s else "und" for b, s in zip(best, some, strict=True)]
         scores += [float(x) if s else 0.0 for x, s in zip(top, some, strict=True)]
         accepted += [bool(s and x >= y) for x, y, s in zip(top, limit, some, strict=True)]
