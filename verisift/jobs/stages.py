@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from verisift.functions import parse
 from verisift.functions.text import one_spaced
 from verisift.jobs import oracles
-from verisift.operators import criteria, documents, events, findings, gates, memo, reconcile, telemetry, unresolved
+from verisift.operators import criteria, documents, events, findings, gates, memo, payloads, reconcile, telemetry, unresolved
 from verisift.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -500,3 +500,18 @@ def evidence_effectiveness(spark, d):
     return joined.groupBy("s_nationkey").agg(
         F.round(F.avg("closed"), 4).alias("closed_avg"), F.round(F.try_divide(F.sum("cost").cast("double"), F.sum("closed")), 2).alias("cost_per_closed")
     )
+
+
+@query("""WITH e AS (SELECT event_id, user_id % 3 + 1 AS v, event_id % 5 AS k FROM events)
+    SELECT event_id, 'type_unknown' AS gate, NULL AS path FROM e WHERE v = 3
+    UNION ALL SELECT event_id, 'type', 'k' FROM e WHERE v < 3 AND k = 0 UNION ALL SELECT event_id, 'missing', 'k' FROM e WHERE v = 1 AND k = 1
+    UNION ALL SELECT event_id, 'unexpected', 'z[].y' FROM e WHERE v = 1 AND k = 2 UNION ALL SELECT event_id, 'type', 'z[].y' FROM e WHERE v = 2 AND k = 2""")
+def payload_violations(spark, d):
+    """Events' JSON, some of it changed, against two versions of each type; a third isn't known."""
+    e = table(spark, d, "events")
+    types = e.select("event_type").distinct()
+    rules = [(1, "k", "integer", True), (2, "k", "number", False), (2, "z[].y", "boolean", False), (2, "note", "text", False)]
+    registry = types.join(spark.createDataFrame(rules, "event_version long, path string, type string, required boolean"))
+    ways = F.array(F.lit('{"k":"x"}'), F.lit('{"k":null}'), F.lit('{"k":1,"z":[{"y":true},{"y":2}]}'), F.col("props"), F.col("props"))
+    made = e.select("event_id", "event_type", (F.col("user_id") % 3 + 1).alias("event_version"), F.get(ways, (F.col("event_id") % 5).cast("int")).alias("payload"))
+    return payloads.violations(made, registry)

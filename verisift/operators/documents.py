@@ -66,16 +66,17 @@ def is_field(node: Column) -> Column:
     return part(node, "value").isNotNull() & (part(node, "page").isNotNull() | part(node, "quote").isNotNull())
 
 
-def nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
+def nodes(docs: DataFrame, key: str, text: str, open_fields: bool = False) -> DataFrame:
     """(key, path, node): the fields of each document, and all else that has nothing below it, with paths such as a.b[0].c.
 
-    A key column is carried along; a document's nodes stay in its task.
+    A key column is carried along; a document's nodes stay in its task. With open_fields a
+    field is opened like any other object.
     """
     levels = docs.agg(F.max(depth(F.col(text)))).first()[0] or 0
     rows = docs.select(F.col(key), F.lit("").alias("path"), strict_json(F.col(text)).alias("node")).filter(F.col("node").isNotNull())
     spark = docs.sparkSession
     for _ in range(levels):
-        opened = rows.withColumn("_open", F.when(~is_field(F.col("node")), F.col("node")))
+        opened = rows.withColumn("_open", F.col("node") if open_fields else F.when(~is_field(F.col("node")), F.col("node")))
         below = spark.tvf.variant_explode_outer(F.col("_open").outer()).toDF("_pos", "_key", "_below")
         dot = F.when(F.col("path") == "", "").otherwise(".")
         path = F.when(F.col("_key").isNotNull(), F.concat("path", dot, "_key")).when(F.col("_pos").isNotNull(), F.concat("path", F.lit("["), "_pos", F.lit("]"))).otherwise(F.col("path"))

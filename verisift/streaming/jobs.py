@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from verisift.operators import events
 from verisift.sources.tables import STATUS
 
 #: Fixed order of the stages of a run.
@@ -71,3 +72,34 @@ def in_stage_order(stream: DataFrame, expire_ms: int = 3_600_000) -> DataFrame:
     return finished.groupBy("run_id").applyInPandasWithState(
         emit, "run_id string, seq int, stage string", "done int, ended int", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
+
+
+def projection_updates(stream: DataFrame, keys: list[str], order: list[str], fields: list[str], kind: str, kinds: tuple[str, ...]) -> DataFrame:
+    """The fold of partial updates as a stream: each field's last known value, for the keys that a batch touched.
+
+    Events of other kinds are ignored. The state holds a value and its order for each key and
+    field, in Spark's state store, so that late events are put where they belong. To be written in
+    update mode, by `upserts`.
+    """
+    return events.latest_known(stream.filter(F.col(kind).isin(*kinds)), keys, order, fields)
+
+
+def upserts(path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: the rows of a batch, whole, under the batch's number. A batch that is delivered again replaces itself."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+
+    return run
+
+
+def projection(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """What `upserts` has written so far: of each key the row of its last batch."""
+    return events.first_by(spark.read.parquet(path), keys, ["batch"], last=True).drop("batch")
+
+
+def compacted(spark: SparkSession, path: str, keys: list[str], target: str) -> int:
+    """The projection as one table at another path, which `upserts` may go on from: its rows get the last batch's number, which is returned."""
+    last = spark.read.parquet(path).agg(F.max("batch")).first()[0]
+    projection(spark, path, keys).write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch={last}")
+    return last
