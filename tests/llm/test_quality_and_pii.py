@@ -129,3 +129,19 @@ def test_secrets_are_found_and_clean_texts_left(spark):
     assert out[10_000_000]["spans"] == f"secret:10:{10 + len(plain)}" and out[10_000_001]["n_spans"] == 0
     clean = [i for i, t in texts.items() if not re.search(r"[0-9@]", t)]
     assert clean and all(out[i]["n_spans"] == 0 for i in clean)
+
+
+def test_quality_and_its_sql_on_repeated_rows_and_null_ids(spark):
+    import duckdb
+
+    from tests.oracle import assert_same
+    from verisift.llm.oracles import ORACLES
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source")
+    lines = [(5000 + i % 40, f"the same line of words {i % 2}\nown words of number {i} and some more of them here", "host") for i in range(90)]
+    odd = spark.createDataFrame([*lines, (None, "a line without an id", "host"), (None, None, None), (6000, "", "host")], docs.schema)
+    rows = docs.unionByName(docs.limit(50)).unionByName(odd).cache()
+    con = duckdb.connect()
+    con.register("documents", rows.toArrow())
+    assert_same(quality_rules.quality(rows), con, ORACLES["op1_quality_rules"])
+    rows.unpersist()

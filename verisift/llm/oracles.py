@@ -7,27 +7,27 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The line limits are those of quality_rules: 20 documents, 0.2 % of the host, 30 % of the words left.
 OP1 = rf"""
 WITH d AS (
-  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+  SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '{WORD}') AS w
   FROM documents),
 win AS (
-  SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
-twice AS (SELECT doc_id, g FROM win GROUP BY ALL HAVING count(*) > 1),
+  SELECT row, i, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT row, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+twice AS (SELECT row, g FROM win GROUP BY ALL HAVING count(*) > 1),
 rep AS (
-  SELECT doc_id, count(DISTINCT p) AS n_repeat_words
-  FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM win JOIN twice USING (doc_id, g)) GROUP BY doc_id),
-raw AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d),
+  SELECT row, count(DISTINCT p) AS n_repeat_words
+  FROM (SELECT row, unnest(range(i, i + 5)) AS p FROM win JOIN twice USING (row, g)) GROUP BY row),
+raw AS (SELECT row, doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d),
 lines AS (
-  SELECT doc_id, host, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS norm,
+  SELECT row, doc_id, host, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS norm,
          len(regexp_extract_all(line, '{WORD}')) AS words
   FROM raw WHERE regexp_matches(line, '{WORD}')),
-dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id),
-hosts AS (SELECT host, count(*) AS n FROM d GROUP BY host),
+dup AS (SELECT row, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY row),
+hosts AS (SELECT host, count(DISTINCT doc_id) AS n FROM d GROUP BY host),
 frequent AS (
   SELECT host, norm FROM (SELECT host, norm, count(DISTINCT doc_id) AS c FROM lines GROUP BY ALL) JOIN hosts USING (host)
   WHERE c > 20 AND c > n * 0.002),
-gone AS (SELECT doc_id, sum(words) AS n_removed_words FROM lines JOIN frequent USING (host, norm) GROUP BY doc_id),
+gone AS (SELECT row, sum(words) AS n_removed_words FROM lines JOIN frequent USING (host, norm) GROUP BY row),
 base AS (
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
          CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
@@ -35,7 +35,7 @@ base AS (
          CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
          CAST(coalesce(n_removed_words, 0) AS BIGINT) AS n_removed_words
-  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id))
+  FROM d LEFT JOIN dup USING (row) LEFT JOIN rep USING (row) LEFT JOIN gone USING (row))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_removed_words,
        n_words - n_removed_words < 0.3 * n_words AS depleted,
