@@ -134,7 +134,7 @@ def test_run_rules(spark):
     say = lambda m: one(spark, runs.reason_bucket(F.lit(m)))
     assert [say(m) for m in ("Request TIMED OUT", "HTTP 429", "process exited 1", "odd", None)] == ["timeout", "rate_limit", "nonzero_exit", "unknown", "unknown"]
     rows = spark.createDataFrame([("r", i, 4.0) for i in range(5)], "run string, seq int, cost double")
-    assert [r["spent"] for r in runs.within_budget(rows, ["run"], ["seq"], F.col("cost"), 13).orderBy("seq").collect()] == [4.0, 8.0, 12.0]
+    assert [r["spent"] for r in runs.within_budget(rows, ["run"], ["seq"], F.col("cost"), 13, F.col("seq") % 1).orderBy("seq").collect()] == [4.0, 8.0, 12.0]
     assert [(r["wait_minutes"], r["outcome"]) for r in runs.retried(rows, ["run"], ["seq"]).orderBy("seq").collect()] == [(2, "retry"), (8, "retry"), (32, "retry"), (None, "failed"), (None, "failed")]
     assert [one(spark, runs.extraction_method(F.lit(b), F.lit(4))) for b in (0, 4, 1)] == ["text_layer", "ocr", "mixed"]
 

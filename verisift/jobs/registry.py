@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from verisift.functions import dates, text
-from verisift.jobs import stages
+from verisift.jobs import stages, versions
 from verisift.jobs.oracles import ORACLES
-from verisift.operators import events, gates, matching, reconcile, runs, verify
+from verisift.operators import events, gates, histories, matching, reconcile, runs, verify
 from verisift.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -235,8 +235,9 @@ def current_version(spark, d):
 
 @query
 def cumulative_cost(spark, d):
-    total = events.running(None, ["o_custkey"], ["o_orderdate", "o_orderkey"], F.col("o_totalprice").cast("decimal(18,2)"))
-    return table(spark, d, "orders").select("o_orderkey", "o_custkey", total.cast("double").alias("spent"))
+    cost = F.col("o_totalprice").cast("decimal(18,2)")
+    summed = histories.running_sum(table(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], cost, F.trunc("o_orderdate", "year"), "spent")
+    return summed.select("o_orderkey", "o_custkey", F.col("spent").cast("double").alias("spent"))
 
 
 @query
@@ -416,7 +417,7 @@ def open_items(spark, d):
 @query
 def budget_spend(spark, d):
     cost = F.col("o_totalprice").cast("decimal(18,2)")
-    kept = runs.within_budget(table(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], cost, 1_000_000)
+    kept = runs.within_budget(table(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], cost, 1_000_000, F.trunc("o_orderdate", "year"))
     return kept.select("o_orderkey", "o_custkey", F.col("spent").cast("double").alias("spent"))
 
 
@@ -476,5 +477,5 @@ def question_routing(spark, d):
     return joined.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_custkey").alias("customers"))
 
 
-QUERIES |= stages.QUERIES
-ORACLES |= stages.ORACLES
+QUERIES |= stages.QUERIES | versions.QUERIES
+ORACLES |= stages.ORACLES | versions.ORACLES

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from verisift.operators.events import running
+from verisift.operators.histories import running_sum
 
 # The base and factor of the back-off in minutes, and the most attempts.
 BACKOFF, FACTOR, MOST = 2, 4, 3
@@ -18,9 +18,9 @@ REASONS = (
 )
 
 
-def within_budget(df: DataFrame, keys: list, order: list, cost: Column, ceiling) -> DataFrame:
-    """The rows of each key whose running cost stays within the ceiling, with it as `spent`."""
-    return df.withColumn("spent", running(df, keys, order, cost)).filter(F.col("spent") <= ceiling)
+def within_budget(df: DataFrame, keys: list, order: list, cost: Column, ceiling, block: Column) -> DataFrame:
+    """The rows of each key whose running cost stays within the ceiling, with it as `spent`; `block` deals a key's rows over tasks."""
+    return running_sum(df, keys, order, cost, block, "spent").filter(F.col("spent") <= ceiling)
 
 
 def retried(df: DataFrame, keys: list, order: list) -> DataFrame:
