@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from verisift.operators import events, histories, registrations, versions
+from verisift.jobs import oracles
+from verisift.operators import events, histories, registrations, scoring, versions
 from verisift.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,3 +162,77 @@ def registration_backstop(spark, d):
     values = claimed.withColumn("apart", F.lit(0)).unionByName(claimed.withColumns({"conv_id": F.col("conv_id") + 1, "apart": F.lit(1)}))
     found = registrations.present(values, said, "conv_id", "turn", "text", "value", longest=18)
     return registrations.backstop(found, "value").select("conv_id", "turn", "apart", "value", "discarded")
+
+
+# Turns of a conversation are the pages of a run; rule j is read from turn j, by its length.
+_RULES = ("C0", "C1", "C2", "C3", "C4")
+_NEEDS = (("K0", "C0"), ("K1", "C1"), ("K1", "C2"), ("K2", "C2"))
+_INVERSE = (("C0", "C3"), ("C1", "C4"))
+_TIER = "CASE WHEN code IN ('C0', 'C1') THEN 'VETO' WHEN code = 'C4' THEN 'GREEN_FLAG' ELSE 'RED_FLAG' END"
+
+
+def _scored(spark, d):
+    said = table(spark, d, "conversations").filter("text IS NOT NULL").withColumn("n", F.length("text"))
+    run, code = F.col("conv_id"), F.concat(F.lit("C"), F.col("turn").cast("string"))
+    criteria = said.select("conv_id").distinct().select("conv_id", F.explode(F.array(*map(F.lit, _RULES))).alias("code")).withColumns({"name": F.concat(F.lit("Rule "), F.col("code")), "tier": F.expr(_TIER)})
+    read = said.filter(F.col("turn") < len(_RULES)).select("conv_id", code.alias("code"), "n", "turn", "text")
+    absence = F.when(F.col("n") % 4 == 0, "looked on all pages")
+
+    def reading(fired, evaluable, there):
+        return read.filter(there).select("conv_id", "code", fired.alias("fired"), evaluable.alias("evaluable"), F.lit("high").alias("confidence"), F.concat(F.lit("read "), F.col("n").cast("string")).alias("reasoning"), absence.alias("absence_evidence"))
+
+    lenient = reading(F.col("n") % 3 != 0, F.lit(True), F.col("n") % 5 != 0)
+    strict = reading(F.col("n") % 3 == 1, F.col("n") % 11 != 0, F.col("n") % 7 != 0)
+    quote = F.substring("text", 1, 12)
+    cited = [read.select("conv_id", "code", F.lit(p).alias("pass"), F.lit(0).alias("seq"), (F.col("turn") + i).alias("page"), quote.alias("quote")) for i, p in ((1, "lenient"), (2, "strict"))]
+    pages = said.select("conv_id", (F.col("turn") + 1).alias("page"), "text")
+    checks = said.select("conv_id", F.concat(F.lit("K"), (F.col("turn") % 3).cast("string")).alias("check"), F.col("turn").alias("seq"),
+        F.when(F.col("n") % 13 == 0, "UNAVAILABLE").otherwise("CLEAR").alias("outcome"), F.lit("captcha").alias("blocker"), F.lit("procurement").alias("owner"), F.lit("down").alias("reason"))
+    needs, pairs = spark.createDataFrame(_NEEDS, "check string, code string"), spark.createDataFrame(_INVERSE, "a string, b string")
+    model = read.filter("n % 6 = 0").select("conv_id", F.col("turn").alias("seq"), F.lit("field").alias("field_path"), F.lit(None).cast("string").alias("kind"), F.concat(F.lit("n "), (F.col("n") % 12).cast("string")).alias("account"),
+        *[F.lit(None).cast("string").alias(c) for c in ("stage_origin", "typical_source", "blocker_class", "unblock_owner")])
+    found = scoring.findings(criteria, lenient, strict, cited[0].unionByName(cited[1]), pages, checks, needs, pairs, "conv_id")
+    return found, scoring.entries(found, model, pairs, "conv_id")
+
+
+_CANON = oracles._CANON
+_SCORED = f"""s AS (SELECT *, length(text) AS n FROM conversations WHERE text IS NOT NULL),
+    r AS (SELECT conv_id, 'C' || turn AS code, n, turn, text FROM s WHERE turn < 5),
+    c AS (SELECT conv_id, code, {_TIER} AS tier FROM (SELECT DISTINCT conv_id, unnest(['C0', 'C1', 'C2', 'C3', 'C4']) AS code FROM s)),
+    p AS (SELECT conv_id, turn + 1 AS page, {_CANON.format("text")} AS p FROM s),
+    e AS (SELECT x.*, CASE WHEN q <> '' AND contains(p.p, q) THEN 'exact' ELSE 'unverified' END AS v FROM (SELECT conv_id, code, i AS strict, turn + 1 + i AS page, {_CANON.format("left(text, 12)")} AS q FROM r, (VALUES (0), (1)) t(i)) x
+        JOIN p ON x.conv_id = p.conv_id AND x.page = p.page),
+    b AS (SELECT c.*, n, n % 5 <> 0 AS has_l, n % 7 <> 0 AS has_s, n % 3 <> 0 AS lf, n % 3 = 1 AS sf, n % 11 <> 0 AS ev FROM c LEFT JOIN r ON c.conv_id = r.conv_id AND c.code = r.code),
+    m AS (SELECT *, CASE WHEN n IS NULL OR NOT (has_l OR has_s) THEN 'unread' WHEN has_l AND NOT has_s THEN 'lenient' WHEN has_s AND NOT has_l THEN 'strict'
+        WHEN NOT ev THEN 'failed' WHEN lf = sf THEN 'agreed' ELSE 'differ' END AS how FROM b),
+    k AS (SELECT *, CASE how WHEN 'lenient' THEN lf WHEN 'strict' THEN sf WHEN 'agreed' THEN sf WHEN 'differ' THEN sf END AS fired0, how IN ('lenient', 'strict', 'differ') AS cont0 FROM m),
+    w AS (SELECT k.conv_id, k.code, coalesce(string_agg(page || ':' || v, ',' ORDER BY strict), '') AS evidence FROM k JOIN e ON k.conv_id = e.conv_id AND k.code = e.code
+        AND (how = 'differ' OR (how IN ('strict', 'agreed') AND strict = 1) OR (how = 'lenient' AND strict = 0)) GROUP BY ALL),
+    a AS (SELECT k.*, coalesce(evidence, '') AS evidence, fired0 AND evidence IS NULL AND n % 4 <> 0 AS repaired FROM k LEFT JOIN w ON k.conv_id = w.conv_id AND k.code = w.code),
+    u AS (SELECT DISTINCT conv_id, code FROM s JOIN (VALUES ('K0', 'C0'), ('K1', 'C1'), ('K1', 'C2'), ('K2', 'C2')) t(chk, code) ON 'K' || turn % 3 = chk WHERE n % 13 = 0),
+    z AS (SELECT a.*, u.code IS NOT NULL AS blocked, CASE WHEN repaired THEN NULL ELSE fired0 END AS before FROM a LEFT JOIN u ON a.conv_id = u.conv_id AND a.code = u.code),
+    y AS (SELECT *, CASE WHEN blocked THEN NULL ELSE before END AS fired, cont0 AND NOT blocked AS cont1 FROM z),
+    x AS (SELECT f.conv_id, f.code AS a, g.code AS b FROM y f JOIN y g ON f.conv_id = g.conv_id AND f.fired AND g.fired JOIN (VALUES ('C0', 'C3'), ('C1', 'C4')) t(a, b) ON f.code = t.a AND g.code = t.b),
+    h AS (SELECT conv_id, a AS code FROM x UNION SELECT conv_id, b FROM x),
+    f AS (SELECT y.*, cont1 OR h.code IS NOT NULL AS contested, h.code IS NOT NULL AS hit FROM y LEFT JOIN h ON y.conv_id = h.conv_id AND y.code = h.code)"""
+
+
+@query(f"""WITH {_SCORED} SELECT conv_id, code, CAST(fired AS VARCHAR) AS fired, contested, CASE WHEN NOT blocked AND how = 'agreed' THEN 'high' ELSE 'low' END AS confidence, evidence,
+    CASE WHEN blocked THEN CAST(before AS VARCHAR) END AS before, CASE WHEN hit THEN 'contested' WHEN fired IS NULL THEN CASE WHEN tier = 'VETO' THEN 'veto_unevaluated' ELSE 'unevaluated' END
+        WHEN how = 'differ' THEN 'contested' WHEN fired THEN 'fired' ELSE 'not_fired' END AS status FROM f""")
+def whole_findings(spark, d):
+    """Two readings of each rule, reconciled, with evidence verified on its pages, repaired, blocked and held against inverse rules."""
+    found, _ = _scored(spark, d)
+    evidence = F.array_join(F.transform(F.coalesce("evidence", F.expr("filter(evidence, x -> false)")), lambda e: F.concat_ws(":", e["page"].cast("string"), e["verification"])), ",")
+    return found.select("conv_id", "code", F.col("fired").cast("string").alias("fired"), "contested", "confidence", F.coalesce(evidence, F.lit("")).alias("evidence"), F.col("before_policy.fired").cast("string").alias("before"), "status")
+
+
+@query(f"""WITH {_SCORED}, n AS (SELECT DISTINCT conv_id, 'field' AS field_path, 'EXTERNALLY_BLOCKED' AS kind, n % 12 AS v, 'manual_analyst_check' AS unblock_owner, 'reading' AS origin FROM r WHERE n % 6 = 0)
+    SELECT conv_id, field_path, kind, unblock_owner, origin FROM n
+    UNION ALL SELECT conv_id, code, 'EXTERNALLY_BLOCKED', 'procurement', 'blocked' FROM f WHERE blocked AND before
+    UNION ALL SELECT conv_id, a || '+' || b, 'ANALYST_ANSWERABLE', NULL, 'pair' FROM x
+    UNION ALL SELECT conv_id, code, 'EXTERNALLY_BLOCKED', CASE WHEN blocked THEN 'procurement' ELSE 'manual_analyst_check' END, 'unevaluated' FROM f WHERE fired IS NULL
+    UNION ALL SELECT conv_id, code, 'ANALYST_ANSWERABLE', NULL, 'contested' FROM f WHERE contested""")
+def scored_entries(spark, d):
+    """What those findings leave open, from all five sources."""
+    return _scored(spark, d)[1].select("conv_id", "field_path", "kind", "unblock_owner", "origin")
