@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from verisift.jobs import oracles
-from verisift.operators import events, histories, registrations, scoring, versions
+from verisift.operators import criteria, events, histories, manifest, matching, registrations, scoring, versions
 from verisift.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,3 +236,43 @@ def whole_findings(spark, d):
 def scored_entries(spark, d):
     """What those findings leave open, from all five sources."""
     return _scored(spark, d)[1].select("conv_id", "field_path", "kind", "unblock_owner", "origin")
+
+
+@query("""WITH a AS (SELECT sha256(text) AS sha256, min(CAST(doc_id AS VARCHAR)) AS name, max(strlen(text)) AS bytes FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL GROUP BY 1),
+    b AS (SELECT sha256(text) AS sha256, min(CAST(doc_id AS VARCHAR)) AS name, max(strlen(text)) AS bytes FROM documents WHERE text IS NOT NULL GROUP BY 1)
+    SELECT sha256, name, bytes, 1 AS version FROM a UNION ALL SELECT sha256, name, bytes, 2 FROM b WHERE sha256 NOT IN (SELECT sha256 FROM a)""")
+def evidence_manifest(spark, d):
+    """Documents of a known language as a first version's files, all documents as a second's."""
+    docs = table(spark, d, "documents")
+    first = manifest.additions(spark.createDataFrame([], manifest.SCHEMA), manifest.files(docs.filter("lang IS NOT NULL"), "doc_id", "text"), 1)
+    return first.unionByName(manifest.additions(first, manifest.files(docs, "doc_id", "text"), 2))
+
+
+@query("""WITH r AS (SELECT n_nationkey AS code, 500 * n_nationkey + CASE WHEN n_regionkey = 1 THEN 1000 ELSE 0 END AS floor FROM nation WHERE n_regionkey <> 4)
+    SELECT code, c_custkey, c_acctbal > floor AS fired FROM r JOIN customer ON c_nationkey = code""")
+def rules_reevaluated(spark, d):
+    """A nation's rule on its customers' balances: one region's rules changed, another's are gone; only the changed are evaluated."""
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("code"), "n_regionkey", (F.col("n_nationkey") * 500).alias("floor"))
+    raised = F.col("floor") + F.when(F.col("n_regionkey") == 1, 1000).otherwise(0)
+    before = nations.select("code", "floor")
+    after = nations.filter("n_regionkey <> 4").select("code", raised.alias("floor"))
+    customers = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+
+    def evaluate(rules):
+        return customers.join(rules, F.col("c_nationkey") == F.col("code")).select("code", "c_custkey", (F.col("c_acctbal") > F.col("floor")).alias("fired"))
+
+    return criteria.reevaluated(evaluate(before), before, after, "code", evaluate)
+
+
+_BARE = r"trim(regexp_replace(regexp_replace(' ' || regexp_replace(upper({}), '[^A-Z0-9]+', '  ', 'g') || ' ', ' (LLC|LP|CAPITAL|PARTNERS) ', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+@query(f"""WITH f AS (SELECT DISTINCT p_brand AS firm, {_BARE.format("p_name || ' ' || p_type || ' Partners LP'")} AS fund FROM part),
+    h AS (SELECT DISTINCT p_partkey AS investor, {_BARE.format("'The ' || p_name || ' Capital ' || p_type || ' LLC'")} AS held FROM part)
+    SELECT DISTINCT firm, investor FROM f JOIN h ON fund <> '' AND contains(held, fund)""")
+def roster_chain(spark, d):
+    """Brands as firms, their parts' names as funds, and parts as investors that hold a fund of a longer name."""
+    part = table(spark, d, "part")
+    filings = part.select(F.col("p_brand").alias("firm"), F.concat_ws(" ", "p_name", "p_type", F.lit("Partners LP")).alias("fund"))
+    holdings = part.select(F.col("p_partkey").alias("investor"), F.concat_ws(" ", F.lit("The"), "p_name", F.lit("Capital"), "p_type", F.lit("LLC")).alias("fund"))
+    return matching.roster(filings, holdings)

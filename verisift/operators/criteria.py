@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,3 +54,26 @@ def gates() -> dict[str, Column]:
 
 def repeated_codes(criteria: DataFrame) -> DataFrame:
     return criteria.groupBy("criterion_code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def set_status(version: Column) -> Column:
+    """A rule set without a version is a draft."""
+    return F.when(version.isNotNull(), "ACTIVE").otherwise("DRAFT")
+
+
+def hashed(criteria: DataFrame, key: str, to: str = "rule_hash") -> DataFrame:
+    """criteria with a digest of each rule's content: all columns but its key, by name."""
+    content = F.struct(*[F.col(c) for c in sorted(criteria.columns) if c != key])
+    return criteria.withColumn(to, F.sha2(F.to_json(content, {"ignoreNullFields": "false"}), 256))
+
+
+def reevaluated(found: DataFrame, before: DataFrame, after: DataFrame, key: str, evaluate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Findings of the rules `after`, from findings `found` of the rules `before`, evaluating only rules that are new or changed.
+
+    Equal to evaluate(after) if a rule's findings depend on that rule alone; policies over
+    several rules come afterwards. Rules that are gone lose their findings.
+    """
+    old, new = (hashed(df, key).select(key, "rule_hash") for df in (before, after))
+    same = new.join(old, [key, "rule_hash"], "left_semi").select(key)
+    kept = found.join(same, key, "left_semi")
+    return kept.unionByName(evaluate(after.join(same, key, "left_anti")))

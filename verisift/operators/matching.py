@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verisift.functions.text import token_overlap
@@ -24,3 +24,48 @@ def overlapping(names: DataFrame, keys: list[str], name: str, least: float) -> D
     met = probe.join(every, [*keys, "_word"]).filter((F.col(name) != F.col("other")) & (F.col("_n") <= F.col("_m")))
     pairs = met.select(*keys, F.least(name, "other").alias(name), F.greatest(name, "other").alias("other")).distinct()
     return pairs.withColumn("overlap", F.round(token_overlap(F.col(name), F.col("other")), 3)).filter(F.col("overlap") >= least)
+
+
+# Endings of a firm's name that are left out before names are compared.
+ENDINGS = ("LLC", "LP", "CAPITAL", "PARTNERS")
+#: Letters of the pieces by which a contained name is looked up.
+GRAM = 5
+
+
+def bare_name(name: Column) -> Column:
+    """Upper case, letters and digits of single-spaced words, without ENDINGS."""
+    words = F.split(F.regexp_replace(F.upper(name), "[^A-Z0-9]+", " "), " ")
+    return F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(*ENDINGS)), " ")
+
+
+def contained(names: DataFrame, texts: DataFrame, name: str, text: str) -> DataFrame:
+    """Distinct (name, text) of which the text holds the name.
+
+    A name is looked up by its piece of GRAM letters that the fewest texts have, and then
+    verified whole, so that names meet the texts of their rarest piece only. Names shorter
+    than that are looked up whole, by pieces of their own length. Empty and null names and
+    texts are in no row.
+    """
+    wanted = names.select(name).filter(F.length(name) > 0).distinct()
+    held = texts.select(text).filter(F.length(text) > 0).distinct()
+    short = [r["n"] for r in wanted.select(F.length(name).alias("n")).filter(F.col("n") < GRAM).distinct().collect()]  # GRAM - 1 values at most
+
+    def pieces(of: Column, n: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(of) - n + 1, F.lit(1))), lambda i: i <= F.length(of) - n + 1)
+        return F.array_distinct(F.transform(starts, lambda i: F.substring(of, i, F.lit(n))))
+
+    every = F.flatten(F.array(*[pieces(F.col(text), n) for n in [GRAM, *sorted(short)]]))
+    spelt = held.select(text, F.explode(every).alias("_piece"))
+    often = spelt.groupBy("_piece").agg(F.count(F.lit(1)).alias("_often"))
+    own = F.when(F.length(name) < GRAM, F.array(F.col(name))).otherwise(pieces(F.col(name), GRAM))
+    asked = wanted.select(name, F.explode(own).alias("_piece")).join(often, "_piece", "left")
+    # a piece that no text has rules its name out
+    rarest = asked.groupBy(name).agg(F.min_by("_piece", F.struct(F.coalesce("_often", F.lit(0)), "_piece")).alias("_piece"))
+    return rarest.join(spelt, "_piece").filter(F.contains(F.col(text), F.col(name))).select(name, text)
+
+
+def roster(filings: DataFrame, holdings: DataFrame) -> DataFrame:
+    """(firm, investor) from filings(firm, fund) and holdings(investor, fund): who holds a fund whose name holds a fund of the firm."""
+    funds = filings.select("firm", bare_name(F.col("fund")).alias("_fund")).distinct()
+    held = holdings.select("investor", bare_name(F.col("fund")).alias("_held")).distinct()
+    return funds.join(contained(funds, held, "_fund", "_held"), "_fund").join(held, "_held").select("firm", "investor").distinct()
