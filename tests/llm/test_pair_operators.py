@@ -275,3 +275,25 @@ def test_neighbours_recall(spark):
         assert len(found[q]) == 10
         hit, total = hit + len(found[q].intersection(best)), total + 10
     assert hit / total >= 0.9
+
+
+def test_parts_grow_with_the_vectors_and_recall_holds(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PER_PART", 200)
+    draw = np.random.default_rng(5)
+    centres = draw.normal(0, 1, (160, 24))
+    assert [ann.parts_for(n) for n in (10, 4000, 12_000, 10**9)] == [16, 20, 60, 256]
+    for n in (4000, 12_000):
+        x = centres[draw.integers(0, len(centres), n)] + draw.normal(0, 0.25, (n, 24))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+        vectors, usable = ann.usable(df, "vec_id", "embedding")
+        router, probes = ann.fit(vectors, 10, ann.parts_for(usable))
+        assert usable == n and router.w[3].shape[0] == n // 200 and probes <= n // 200 // 3
+        found = defaultdict(set)
+        for r in ann.search(df, F.col("id") % 100 == 0).collect():
+            found[r["query_id"]].add(r["vec_id"])
+        hit = 0
+        for q in range(0, n, 100):
+            d = ((x - x[q]) ** 2).sum(axis=1)
+            d[q] = np.inf
+            hit += len(found[q].intersection(np.argsort(d)[:10].tolist()))
+        assert hit / (n // 10) >= 0.9

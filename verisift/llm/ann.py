@@ -3,9 +3,10 @@
 A neighbour graph over a bounded sample is cut into balanced parts; a small network
 learns from each sampled vector its part. It then places every vector of the index in
 its most probable part, and sends a query to its several most probable ones, where
-Spark ranks all vectors by their exact distance. How many parts a query probes is the
-least number that finds TARGET of the neighbours within the sample, and never fewer
-than hold as many vectors as are asked for.
+Spark ranks all vectors by their exact distance. The number of parts grows with the
+vectors, one for each PER_PART of them, between PARTS and MOST_PARTS. How many parts a query
+probes is the least number that finds TARGET of the neighbours of sampled vectors which
+nothing was fitted on, and never fewer than hold as many vectors as are asked for.
 
 Defined results
 - vectors that are null, zero, hold null or non-finite components, or are not of the
@@ -29,10 +30,12 @@ from pyspark.sql.window import Window
 
 from verisift.llm.common import cut_lineage, in_arrow
 
-#: Vectors that graph and network are fitted on at most, and neighbours of each in the graph.
-SAMPLE, NEIGHBOURS = 4096, 10
-PARTS = 16
-#: The part of a sampled vector's neighbours that the probed parts must hold.
+#: Vectors that graph and network are fitted on at most, vectors kept apart at most (a fifth
+#: of a small sample) to choose the probes by, and neighbours of each in the graph.
+SAMPLE, APART, NEIGHBOURS = 4096, 1024, 10
+#: Vectors of a part, and the fewest and most parts.
+PER_PART, PARTS, MOST_PARTS = 10_000, 16, 256
+#: The share of a sampled vector's neighbours that the probed parts must hold.
 TARGET = 0.96
 #: Vectors, and queries, that meet in one task at most (about).
 BLOCK = 4096
@@ -118,8 +121,8 @@ class Router:
         return self._soft(np.maximum(x / self.scale @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3])
 
 
-def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v) of the vectors that take part, v being an array of doubles."""
+def usable(rows: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
+    """(id, v) of the vectors that take part, v being an array of doubles, and how many they are."""
     v = F.col("v")
     fine = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter(
         F.col("id").isNotNull()
@@ -128,24 +131,30 @@ def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
         & F.exists(v, lambda c: c != 0)
     )
     sizes = fine.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").limit(1).collect()
-    return fine.filter(F.size("v") == (sizes[0]["n"] if sizes else 0))
+    return fine.filter(F.size("v") == (sizes[0]["n"] if sizes else 0)), sizes[0]["c"] if sizes else 0
+
+
+def parts_for(vectors: int) -> int:
+    return min(max(vectors // PER_PART, PARTS), MOST_PARTS)
 
 
 def fit(vectors: DataFrame, k: int, parts: int) -> tuple[Router, int] | None:
     """The router and how many parts a query probes, from a sample dealt by a hash of the id."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE + APART).collect()
     if not rows:
         return None
     x = np.array([r["v"] for r in rows])
     if len(x) == 1:
         return Router(x, np.zeros(1, dtype=int), 1), 1
-    graph = neighbour_graph(x, NEIGHBOURS)
-    part = balanced_parts(x, graph, parts)
+    apart = max(len(x) // 5, 1)
+    x, asked = x[:-apart], x[-apart:]
+    part = balanced_parts(x, neighbour_graph(x, NEIGHBOURS), parts)
     router = Router(x, part, part.max() + 1)
-    p = router.probabilities(x)
-    home, order = p.argmax(axis=1), np.argsort(-p, axis=1, kind="stable")
-    rank = np.argsort(order, axis=1, kind="stable")  # of each part, for each row
-    needed = rank[np.arange(len(x))[:, None], home[graph[:, :k]]]
+    home, p = router.probabilities(x).argmax(axis=1), router.probabilities(asked)
+    rank = np.argsort(np.argsort(-p, axis=1, kind="stable"), axis=1, kind="stable")  # of each part, for each row
+    far = (x * x).sum(axis=1) - 2 * asked @ x.T
+    near = np.argsort(far, axis=1, kind="stable")[:, :k]
+    needed = rank[np.arange(len(asked))[:, None], home[near]]
     probes = next(m for m in range(1, p.shape[1] + 1) if (needed < m).mean() >= TARGET)
     return router, probes
 
@@ -197,11 +206,11 @@ def nearest(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray
     return out
 
 
-def search(rows: DataFrame, queries, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", parts: int = PARTS) -> DataFrame:
+def search(rows: DataFrame, queries, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", parts: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score; `queries` is a condition on the column id."""
     result = "query_id long, vec_id long, score double"
-    vectors = usable(rows, id_col, vec_col)
-    fitted = fit(vectors, k, parts)
+    vectors, n = usable(rows, id_col, vec_col)
+    fitted = fit(vectors, k, parts or parts_for(n))
     if fitted is None:
         empty = rows.sparkSession.createDataFrame([], result)
         return empty.select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
