@@ -235,7 +235,7 @@ def recommendation_agreement(spark, d):
     SELECT 'tier_unknown' AS gate, key FROM c WHERE tier = 'BLUE' UNION ALL SELECT 'severity_unknown', key FROM c WHERE p_size % 5 = 4
     UNION ALL SELECT 'weight_not_positive', key FROM c WHERE weight <= 0 UNION ALL SELECT 'guidance_short', key FROM c WHERE length(g) < 40
     UNION ALL SELECT 'text_missing', key FROM c WHERE key % 9 = 0
-    UNION ALL SELECT 'guidance_vague', key FROM c WHERE NOT regexp_matches(lower(g), 'fee|carry|hurdle|return|irr|auditor|custodian|registrar|counsel|valuation|track record|fund|manager|sponsor|sebi|registration|commitment|capital|portfolio|sector|investor|committee|team|document|date|distribution|waterfall|catch-up|dpi|exit|clause|succession|enforcement|aif|number|policy|provider|lp|gp|anchor|position')""")
+    UNION ALL SELECT 'guidance_vague', key FROM c WHERE NOT regexp_matches(lower(g), '""" + "|".join(criteria.NOUNS) + """')""")
 def criteria_violations(spark, d):
     """Parts as rules."""
     pick = lambda xs, n: F.get(F.array(*map(F.lit, xs)), (n % len(xs)).cast("int"))

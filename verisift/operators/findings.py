@@ -56,11 +56,11 @@ def evidence_violations(evidence: Column, absence: Column, fired: Column) -> dic
 def exclusive_pairs(findings: DataFrame, pairs: DataFrame, run: list[str], code: str) -> tuple[DataFrame, DataFrame]:
     """(findings, notes): inverse rules a, b of pairs that both fired become contested, and a note is kept for each pair.
 
-    pairs is a small dimension; fired findings meet it twice, no finding meets another
-    directly, and both stay fired.
+    Pairs are a dimension, which Spark broadcasts if it is small; fired findings meet it
+    twice, no finding meets another directly, and both stay fired.
     """
     fired = findings.filter("fired").select(*run, F.col(code).alias("_code"))
-    first = fired.join(F.broadcast(pairs), F.col("_code") == F.col("a")).drop("_code")
+    first = fired.join(pairs, F.col("_code") == F.col("a")).drop("_code")
     notes = first.join(fired, [*run], "inner").filter(F.col("_code") == F.col("b")).select(*run, "a", "b").distinct()
     hit = notes.select(*run, F.explode(F.array("a", "b")).alias(code)).distinct().withColumn("_hit", F.lit(True))
     marked = findings.join(hit, [*run, code], "left")
@@ -71,7 +71,7 @@ def exclusive_pairs(findings: DataFrame, pairs: DataFrame, run: list[str], code:
 
 def blocked_causes(checks: DataFrame, criteria_of: DataFrame, run: list[str]) -> DataFrame:
     """(run, code, causes, first_check, blocker, owner) of rules whose checks were unavailable; the first by seq names them."""
-    lost = checks.filter("outcome = 'UNAVAILABLE'").join(F.broadcast(criteria_of), "check")
+    lost = checks.filter("outcome = 'UNAVAILABLE'").join(criteria_of, "check")
     first = F.min_by(F.struct("check", "blocker", "owner"), F.struct("seq", "check")).alias("_first")
     return (
         lost.groupBy(*run, "code")

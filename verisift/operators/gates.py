@@ -27,4 +27,4 @@ def missing(expected: DataFrame, produced: DataFrame, key: str) -> DataFrame:
 
 def illegal_moves(moves: DataFrame, legal: DataFrame) -> DataFrame:
     """Rows of moves(from_state, to_state, ...) that no row of legal allows."""
-    return moves.join(F.broadcast(legal), ["from_state", "to_state"], "left_anti")
+    return moves.join(legal, ["from_state", "to_state"], "left_anti")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from verisift.functions.text import let
 
-#: The least of a section's body, in characters.
+# The least of a section's body in characters, the form of a heading, and what is no text of a body's own.
 MIN_BODY = 20
 HEADING = r"^(#{1,6})\s+"
+SCAFFOLDING = (r"(?m)^#.*$", r"(?m)^---+$", r"\[[^\]]*\]\(\./[^)]*\)", r"(?m)^_Written for:.*$")
 
 
 def section(markdown: Column, title: str) -> Column:
@@ -30,7 +31,7 @@ def section(markdown: Column, title: str) -> Column:
 
 def bare_body(body: Column) -> Column:
     """A section's own text: no headings, rules, links of the navigation or audience line."""
-    for pattern in (r"(?m)^#.*$", r"(?m)^---+$", r"\[[^\]]*\]\(\./[^)]*\)", r"(?m)^_Written for:.*$"):
+    for pattern in SCAFFOLDING:
         body = F.regexp_replace(body, pattern, "")
     return F.regexp_replace(body, r"^\s+|\s+$", "")
 
