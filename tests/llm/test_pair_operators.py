@@ -297,3 +297,26 @@ def test_parts_grow_with_the_vectors_and_recall_holds(spark, monkeypatch):
             d[q] = np.inf
             hit += len(found[q].intersection(np.argsort(d)[:10].tolist()))
         assert hit / (n // 10) >= 0.9
+
+
+def test_near_passages_behind_crowded_hashes(spark):
+    """Pairs that share a passage of a similarity of 0.8 or more, most of it held by earlier documents too."""
+    draw = random.Random(12)
+    text = lambda n: [f"q{draw.randrange(90_000)}" for _ in range(n)]
+    rows, pairs = [], []
+    for p in range(60):
+        size, at = draw.choice([(60, [30]), (60, [8]), (90, [40]), (120, [50, 80]), (200, [50, 100, 150])]), 1000 + 10 * p
+        passage = text(size[0])
+        edited = [w if i not in size[1] else f"e{p}" for i, w in enumerate(passage)]
+        held = size[0] * 3 // 4
+        for i, part in enumerate([passage[:held], passage[-held:], passage[:held], edited[:held]][: draw.choice([2, 3, 4])]):
+            rows.append((at + i, text(30) + part + text(30)))
+        rows += [(at + 5, text(40) + passage + text(20)), (at + 6, text(25) + edited + text(35))]
+        pairs.append((at + 6, size[0]))
+    rows += [(1, text(300)), (2, text(400))]
+    found = defaultdict(set)
+    for r in substring_dedup.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in rows])).collect():
+        assert r["doc_id"] // 10 == r["source_id"] // 10 and r["similarity"] >= 0.8
+        found[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    missed = [(size, len(found[doc])) for doc, size in pairs if len(found[doc] & set(range(25, 25 + size))) < 0.9 * size]
+    assert len(missed) <= 1, missed

@@ -6,9 +6,12 @@ are the minima of sliding windows; a Cartesian tree over them, built with a stac
 l and r. Documents whose windows have the same least hash meet in Spark at the first and
 second of them (by id), so that a group of n gives fewer than 2n pairs. Intervals of a pair's windows that
 overlap for enough hash functions are candidate regions, which are verified on the full
-shingles of both documents. An exact passage is missed by these stars only if most of its
-windows stand third or later in their groups; all runs of WIDTH shingles in such places
-are looked up whole, each at the first document that has it.
+shingles of both documents. A passage is missed by these stars only if some of its
+windows stand third or later in their groups. Such places are looked at more closely: runs
+of WIDTH shingles are looked up whole, each at the first document that has it; the runs that
+no earlier document has get bands of three of nine further min-hashes, whose groups are those
+of nearly equal runs only and form stars of their own. The bands are the twelve lines of the
+plane of three by three points, so that runs that agree in any five of the nine share a band.
 
 Defined results
 - null text or id, and texts shorter than a passage: no rows.
@@ -36,15 +39,21 @@ K, PASSAGE, SIMILARITY = 5, 50, 0.8
 WIDTH = PASSAGE - K + 1
 #: Hash functions, and how many must agree on a region.
 HASHES, ENOUGH = 4, 2
-#: What stands for a hash function in intervals that are shared exactly.
-EXACT = HASHES
+#: What stands for a hash function in intervals that are shared exactly, and in those that share a band.
+EXACT, NEAR = HASHES, HASHES + 1
+#: Hash functions of the closer look at crowded places, as points of a plane of three by three, and its lines.
+POINTS = 9
+LINES = [[3 * x + (m * x + c) % 3 for x in range(3)] for m in range(3) for c in range(3)] + [[3 * c + y for y in range(3)] for c in range(3)]
 #: Members of a key, from which one that meets neither of two centres can have an earlier partner that isn't one.
 CROWDED = 4
+#: Hash functions with crowded windows, from which a place is looked at more closely.
+CROWDED_HASHES = 2
 #: Shingles that may miss within what is first taken as one part: what two edited words spoil.
 GAP = 2 * K
 #: Document ids up to which the texts to verify are picked by a broadcast (16 MB), not by a shuffle.
 BROADCAST_IDS = 1_000_000
 SEEDS = mixed(np.arange(1, HASHES + 1, dtype=np.uint64))
+POINT_SEEDS = mixed(np.arange(HASHES + 1, HASHES + 1 + POINTS, dtype=np.uint64))
 _INDEX = np.uint64((1 << 20) - 1)
 #: Shingles that are searched at once; longer texts are read in overlapping parts.
 PART = 1 << 19
@@ -152,30 +161,78 @@ def run_keys(g: np.ndarray) -> np.ndarray:
     return mixed((total[WIDTH:] - total[:-WIDTH]) * powers(pow(_BASE, -1, 1 << 64), n - WIDTH)).view(np.int64)
 
 
+def band_windows(g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, l, r) of the neighbouring runs of WIDTH shingles, of those that begin at the places at, with equal min-hashes in a band."""
+    low, high = int(at[0]), int(at[-1])
+    names = mixed(g[low : high + WIDTH].astype(np.uint32).astype(np.uint64))
+    apart = np.diff(at) > 1
+    out = []
+    least = [mixed(minima(mixed(names ^ seed), WIDTH)[at - low] + np.uint64(f)) for f, seed in enumerate(POINT_SEEDS)]
+    for x, y, z in LINES:
+        key = least[x] ^ least[y] ^ least[z]
+        new = np.flatnonzero(np.concatenate([[True], apart | (key[1:] != key[:-1])]))
+        last = np.concatenate([new[1:] - 1, [len(at) - 1]])
+        out.append((key[new].view(np.int64), at[new], at[last] + WIDTH - 1))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def _zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Intervals of (doc, windows) in which stars may have missed so many hash functions that too few are left."""
+    """Intervals of (doc, windows) in which stars may have missed a hash function."""
     for batch in batches:
         rows = [
             (doc, a, b)
             for doc, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            for a, b in regions(unpacked(packed), HASHES - ENOUGH + 1)
+            for a, b in regions(unpacked(packed), CROWDED_HASHES)
             if b - a + 1 >= WIDTH
         ]
         columns = list(zip(*rows, strict=True)) if rows else [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.int32()], strict=True)], ["doc", "a", "b"])
 
 
+def _begins(zones: list[dict]) -> np.ndarray:
+    """Where runs of WIDTH shingles begin in the zones."""
+    return np.unique(np.concatenate([np.arange(z["a"], z["b"] - WIDTH + 2) for z in zones]))
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(run, doc, at): the runs of WIDTH shingles in the zones of (id, grams, zones), each once a document."""
     for batch in batches:
         for i, (doc, zones) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
             keys = run_keys(np.array(batch.column(1)[i].values))
-            at = np.unique(np.concatenate([np.arange(z["a"], min(z["b"] - WIDTH + 2, len(keys))) for z in zones]))
+            at = _begins(zones)
+            at = at[at < len(keys)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[at]), pa.array(np.full(len(at), doc, dtype=np.int64)), pa.array(at.astype(np.int32))], ["run", "doc", "at"]
             )
 
 
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, doc, l, r): the bands of the runs in the zones of (id, grams, zones)."""
+    for batch in batches:
+        for i, (doc, zones) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            g = np.array(batch.column(1)[i].values)
+            at = _begins(zones)
+            at = at[at <= len(g) - WIDTH]
+            if len(at):
+                key, left, right = band_windows(g, at)
+                columns = [key, np.full(len(key), doc, dtype=np.int64), left.astype(np.int32), right.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc", "l", "r"])
+
+
+def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of (doc, zones, done) whose runs no interval of done holds, as zones (doc, a, b)."""
+    for batch in batches:
+        rows = []
+        for doc, zones, done in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            at = _begins(zones)
+            if done:
+                at = at[~np.isin(at, _begins(done))]
+            for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else []:
+                rows.append((doc, int(part[0]), int(part[-1]) + WIDTH - 1))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.int32()], strict=True)], ["doc", "a", "b"])
+
+
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The runs at places of (doc, source, at) as intervals of windows."""
     for batch in batches:
@@ -304,7 +361,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine, other = (np.array(batch.column(j)[i].values) for j in (4, 5))
             windows = unpacked(packed)
             got: list[tuple[int, int]] = []
-            for a, b in regions([w for w in windows if w[0] != EXACT], ENOUGH):
+            near = regions([(0, l, r) for f, l, r in windows if f == NEAR], 1)
+            alike = regions([w for w in windows if w[0] < HASHES], ENOUGH)
+            for a, b in regions([(0, l, r) for l, r in near + alike], 1):
                 for s, e, c, d, score in passages(mine[a - low : b - low + 1], other):
                     rows.append((doc, a + s, a + e + K, source, c, d + K, score))
                     got.append((a + s, a + e))
@@ -327,14 +386,32 @@ def gram_arrays(read: DataFrame, ids: DataFrame) -> DataFrame:
     )
 
 
-def exact_runs(read: DataFrame, zones: DataFrame) -> DataFrame:
-    """(doc, source, f, l, r): what zones(doc, a, b) share exactly with the first document that has it in its zones.
+def starred(members: DataFrame) -> DataFrame:
+    """The members but each group's first, with the first as their source."""
+    firsts = (
+        members.groupBy("key")
+        .agg(F.min("doc").alias("source"), F.max("doc").alias("_last"), F.count(F.lit(1)).alias("n"))
+        .filter(F.col("source") < F.col("_last"))
+        .select("key", "source", "n")
+    )
+    return members.join(firsts, "key").filter(F.col("doc") != F.col("source"))
+
+
+def in_zones(read: DataFrame, zones: DataFrame) -> DataFrame:
+    """(id, grams, zones) of the documents in zones(doc, zones)."""
+    return gram_arrays(read, cut_lineage(zones.select(F.col("doc").alias("_id")))).join(zones, F.col("id") == F.col("doc")).select("id", "grams", "zones")
 
-    All that hold a run of WIDTH shingles hold the same words, so the first of them is enough.
+
+def closer(read: DataFrame, zones: DataFrame) -> DataFrame:
+    """(doc, source, f, l, r): what zones(doc, a, b) share exactly with the first document that has it in its
+    zones, and what the rest shares a band of with its group's first or second.
+
+    All that hold a run of WIDTH shingles hold the same words, so the first of them is enough: it is the
+    source of the others, and it alone meets what is nearly equal.
     """
-    by_doc = zones.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("zones"))
-    held = gram_arrays(read, cut_lineage(zones.select(F.col("doc").alias("_id")).distinct())).join(by_doc, F.col("id") == F.col("doc"))
-    runs = cut_lineage(held.select("id", "grams", "zones").transform(in_arrow, _runs, "run long, doc long, at int"))
+    gathered = lambda df: df.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("zones"))
+    by_doc = cut_lineage(gathered(zones))
+    runs = cut_lineage(in_zones(read, by_doc).transform(in_arrow, _runs, "run long, doc long, at int"))
     firsts = (
         runs.groupBy("run")
         .agg(F.min("doc").alias("source"), F.max("doc").alias("_last"))
@@ -342,11 +419,17 @@ def exact_runs(read: DataFrame, zones: DataFrame) -> DataFrame:
         .select("run", "source")
     )
     met = salted_join(runs, firsts, ["run"], "doc", salts=8).filter(F.col("doc") != F.col("source"))
-    return (
+    exact = cut_lineage(
         met.groupBy("doc", "source")
         .agg(F.collect_set("at").alias("at"))
         .transform(in_arrow, _joined, "doc long, source long, f int, l int, r int")
     )
+    done = gathered(exact.select("doc", F.col("l").alias("a"), F.col("r").alias("b"))).withColumnRenamed("zones", "done")
+    rest = by_doc.join(done, "doc", "left").select("doc", "zones", "done").transform(in_arrow, _rest, "doc long, a int, b int")
+    bands = cut_lineage(in_zones(read, cut_lineage(gathered(rest))).transform(in_arrow, _bands, "key long, doc long, l int, r int"))
+    once = cut_lineage(starred(bands))
+    twice = starred(once.drop("source", "n"))
+    return exact.unionByName(once.unionByName(twice).select("doc", "source", F.lit(NEAR).alias("f"), "l", "r"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -354,16 +437,6 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     read = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     windows = read.transform(in_arrow, _windows, "key long, doc long, f int, l int, r int")
 
-    def starred(members: DataFrame) -> DataFrame:
-        """The members but each group's first, with the first as their source."""
-        firsts = (
-            members.groupBy("key")
-            .agg(F.min("doc").alias("source"), F.max("doc").alias("_last"), F.count(F.lit(1)).alias("n"))
-            .filter(F.col("source") < F.col("_last"))
-            .select("key", "source", "n")
-        )
-        return members.join(firsts, "key").filter(F.col("doc") != F.col("source"))
-
     # two rounds of stars: what a document shares with its group's second but not its first is found too
     once = cut_lineage(starred(windows))
     twice = starred(once.drop("source", "n"))
@@ -372,7 +445,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     crowded = starred(once.filter(F.col("n") >= CROWDED).drop("source", "n"))
     zones = cut_lineage(crowded.groupBy("doc").agg(F.collect_set(packed).alias("windows")).transform(in_arrow, _zones, "doc long, a int, b int"))
     if zones.limit(1).count():
-        members = members.unionByName(exact_runs(read, zones))
+        members = members.unionByName(closer(read, zones))
     pairs = cut_lineage(
         members
         .groupBy("doc", "source")
