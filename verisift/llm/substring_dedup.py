@@ -46,8 +46,8 @@ POINTS = 9
 LINES = [[3 * x + (m * x + c) % 3 for x in range(3)] for m in range(3) for c in range(3)] + [[3 * c + y for y in range(3)] for c in range(3)]
 #: Members of a key, from which one that meets neither of two centres can have an earlier partner that isn't one.
 CROWDED = 4
-#: Hash functions with crowded windows, from which a place is looked at more closely.
-CROWDED_HASHES = 2
+#: Hash functions with crowded windows from which near copies, and exact ones (which agree in all), can be lost.
+CROWDED_NEAR, CROWDED_EXACT = 2, HASHES - ENOUGH + 1
 #: Shingles that may miss within what is first taken as one part: what two edited words spoil.
 GAP = 2 * K
 #: Document ids up to which the texts to verify are picked by a broadcast (16 MB), not by a shuffle.
@@ -127,6 +127,11 @@ def _groups(grams: list[np.ndarray]) -> Iterator[tuple[list[int], list[int], lis
         yield who, before, parts
 
 
+def packed(f: np.ndarray | int, l: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Windows (f, l, r) as one number each."""
+    return (np.asarray(f, dtype=np.int64) << 56) + (l.astype(np.int64) << 28) + r.astype(np.int64)
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for a in range(0, whole.num_rows, 128):
@@ -136,8 +141,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for who, before, parts in _groups(grams):
                 own, f, key, left, right = compact_windows(parts)
                 shift = np.array(before)[own]
-                columns = [key, ids[np.array(who)[own]], *(c.astype(np.int32) for c in (f, left + shift, right + shift))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc", "f", "l", "r"])
+                columns = [key, ids[np.array(who)[own]], packed(f, left + shift, right + shift)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc", "w"])
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,16 +182,18 @@ def band_windows(g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Intervals of (doc, windows) in which stars may have missed a hash function."""
+    """(doc, enough, a, b): where stars may have missed so many hash functions that near or exact copies can be lost."""
     for batch in batches:
         rows = [
-            (doc, a, b)
-            for doc, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            for a, b in regions(unpacked(packed), CROWDED_HASHES)
+            (doc, enough, a, b)
+            for doc, windows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for enough in (CROWDED_NEAR, CROWDED_EXACT)
+            for a, b in regions(unpacked(windows), enough)
             if b - a + 1 >= WIDTH
         ]
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.int32()], strict=True)], ["doc", "a", "b"])
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc", "enough", "a", "b"])
 
 
 def _begins(zones: list[dict]) -> np.ndarray:
@@ -207,7 +214,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc, l, r): the bands of the runs in the zones of (id, grams, zones)."""
+    """(key, doc, w): the bands of the runs in the zones of (id, grams, zones)."""
     for batch in batches:
         for i, (doc, zones) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
             g = np.array(batch.column(1)[i].values)
@@ -215,8 +222,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = at[at <= len(g) - WIDTH]
             if len(at):
                 key, left, right = band_windows(g, at)
-                columns = [key, np.full(len(key), doc, dtype=np.int64), left.astype(np.int32), right.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc", "l", "r"])
+                columns = [key, np.full(len(key), doc, dtype=np.int64), packed(NEAR, left, right)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc", "w"])
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,16 +241,16 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs at places of (doc, source, at) as intervals of windows."""
+    """The runs at places of (doc, source, at) as intervals of shingles."""
     for batch in batches:
         rows = []
         for doc, source, places in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             at = np.sort(np.array(places))
             for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                rows.append((doc, source, EXACT, int(part[0]), int(part[-1]) + WIDTH - 1))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc", "source", "f", "l", "r"])
+                rows.append((doc, source, int(part[0]), int(part[-1]) + WIDTH - 1))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc", "source", "a", "b"])
 
 
 def unpacked(windows: list[int]) -> list[tuple[int, int, int]]:
@@ -357,9 +364,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         docs, sources, windows, lows = (batch.column(i).to_pylist() for i in range(4))
-        for i, (doc, source, packed, low) in enumerate(zip(docs, sources, windows, lows, strict=True)):
+        for i, (doc, source, held, low) in enumerate(zip(docs, sources, windows, lows, strict=True)):
             mine, other = (np.array(batch.column(j)[i].values) for j in (4, 5))
-            windows = unpacked(packed)
+            windows = unpacked(held)
             got: list[tuple[int, int]] = []
             near = regions([(0, l, r) for f, l, r in windows if f == NEAR], 1)
             alike = regions([w for w in windows if w[0] < HASHES], ENOUGH)
@@ -403,14 +410,14 @@ def in_zones(read: DataFrame, zones: DataFrame) -> DataFrame:
 
 
 def closer(read: DataFrame, zones: DataFrame) -> DataFrame:
-    """(doc, source, f, l, r): what zones(doc, a, b) share exactly with the first document that has it in its
-    zones, and what the rest shares a band of with its group's first or second.
+    """(doc, source, w): what zones(doc, enough, a, b) of crowded places share exactly with the first document that
+    has it in its zones, and what the rest shares a band of with its group's first or second.
 
     All that hold a run of WIDTH shingles hold the same words, so the first of them is enough: it is the
     source of the others, and it alone meets what is nearly equal.
     """
     gathered = lambda df: df.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("zones"))
-    by_doc = cut_lineage(gathered(zones))
+    by_doc = cut_lineage(gathered(zones.filter(F.col("enough") == CROWDED_EXACT)))
     runs = cut_lineage(in_zones(read, by_doc).transform(in_arrow, _runs, "run long, doc long, at int"))
     firsts = (
         runs.groupBy("run")
@@ -420,40 +427,45 @@ def closer(read: DataFrame, zones: DataFrame) -> DataFrame:
     )
     met = salted_join(runs, firsts, ["run"], "doc", salts=8).filter(F.col("doc") != F.col("source"))
     exact = cut_lineage(
-        met.groupBy("doc", "source")
-        .agg(F.collect_set("at").alias("at"))
-        .transform(in_arrow, _joined, "doc long, source long, f int, l int, r int")
+        met.groupBy("doc", "source").agg(F.collect_set("at").alias("at")).transform(in_arrow, _joined, "doc long, source long, a int, b int")
     )
-    done = gathered(exact.select("doc", F.col("l").alias("a"), F.col("r").alias("b"))).withColumnRenamed("zones", "done")
-    rest = by_doc.join(done, "doc", "left").select("doc", "zones", "done").transform(in_arrow, _rest, "doc long, a int, b int")
-    bands = cut_lineage(in_zones(read, cut_lineage(gathered(rest))).transform(in_arrow, _bands, "key long, doc long, l int, r int"))
-    once = cut_lineage(starred(bands))
-    twice = starred(once.drop("source", "n"))
-    return exact.unionByName(once.unionByName(twice).select("doc", "source", F.lit(NEAR).alias("f"), "l", "r"))
+    done = gathered(exact).withColumnRenamed("zones", "done")
+    near = gathered(zones.filter(F.col("enough") == CROWDED_NEAR))
+    rest = near.join(done, "doc", "left").select("doc", "zones", "done").transform(in_arrow, _rest, "doc long, a int, b int")
+    bands = in_zones(read, cut_lineage(gathered(rest))).transform(in_arrow, _bands, "key long, doc long, w long")
+    once = cut_lineage(starred(cut_lineage(bands)))
+    as_window = F.lit(EXACT << 56) + F.shiftleft(F.col("a").cast("long"), 28) + F.col("b").cast("long")
+    return exact.select("doc", "source", as_window.alias("w")).unionByName(stars(once))
+
+
+def stars(once: DataFrame) -> DataFrame:
+    """(doc, source, w) of members with their group's first as source, and of those behind its second with that.
+
+    What a document shares with its group's second but not its first is found too; a group of two windows has nothing more.
+    """
+    twice = starred(once.filter(F.col("n") > 2).drop("source", "n"))
+    return once.unionByName(twice).select("doc", "source", "w")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages that an earlier document (by id) has too: words start_word to end_word (exclusive)."""
     read = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    windows = read.transform(in_arrow, _windows, "key long, doc long, f int, l int, r int")
-
-    # two rounds of stars: what a document shares with its group's second but not its first is found too
-    once = cut_lineage(starred(windows))
-    twice = starred(once.drop("source", "n"))
-    packed = F.shiftleft(F.col("f").cast("long"), 56) + F.shiftleft(F.col("l").cast("long"), 28) + F.col("r").cast("long")
-    members = once.unionByName(twice).select("doc", "source", "f", "l", "r")
+    once = cut_lineage(starred(read.transform(in_arrow, _windows, "key long, doc long, w long")))
+    members = stars(once)
     crowded = starred(once.filter(F.col("n") >= CROWDED).drop("source", "n"))
-    zones = cut_lineage(crowded.groupBy("doc").agg(F.collect_set(packed).alias("windows")).transform(in_arrow, _zones, "doc long, a int, b int"))
+    zones = cut_lineage(
+        crowded.groupBy("doc").agg(F.collect_set("w").alias("windows")).transform(in_arrow, _zones, "doc long, enough int, a int, b int")
+    )
     if zones.limit(1).count():
         members = members.unionByName(closer(read, zones))
+    f, l, r = F.shiftright("w", 56), F.shiftright("w", 28).bitwiseAND((1 << 28) - 1), F.col("w").bitwiseAND((1 << 28) - 1)
     pairs = cut_lineage(
-        members
-        .groupBy("doc", "source")
+        members.groupBy("doc", "source")
         .agg(
-            F.bit_or(F.expr("shiftleft(1, f)")).alias("_which"),
-            F.collect_set(packed).alias("windows"),
-            F.min("l").alias("low"),
-            F.max("r").alias("high"),
+            F.bit_or(F.call_function("shiftleft", F.lit(1), f.cast("int"))).alias("_which"),
+            F.collect_set("w").alias("windows"),
+            F.min(l).cast("int").alias("low"),
+            F.max(r).cast("int").alias("high"),
         )
         .filter((F.bit_count(F.col("_which").bitwiseAND((1 << HASHES) - 1)) >= ENOUGH) | (F.col("_which") >= 1 << EXACT))
         .drop("_which")
