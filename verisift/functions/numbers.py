@@ -19,6 +19,11 @@ def numbers(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(claims, F.lit(NUMBER), F.lit(0)))
 
 
+def all_numbers(text: Column) -> Column:
+    """Distinct numbers of a text that may be a source: those in references and codes too."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER), F.lit(0)))
+
+
 def canonical_number(number: Column) -> Column:
     """One string per value: no commas, leading zeros or closing zeros of a fraction."""
     bare = F.regexp_replace(F.replace(number, F.lit(","), F.lit("")), r"^0+(?=[0-9])", "")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from verisift.jobs import oracles
-from verisift.operators import criteria, events, histories, manifest, matching, registrations, scoring, versions
+from verisift.operators import criteria, events, histories, manifest, matching, memo_files, registrations, scoring, versions
 from verisift.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -276,3 +276,66 @@ def roster_chain(spark, d):
     filings = part.select(F.col("p_brand").alias("firm"), F.concat_ws(" ", "p_name", "p_type", F.lit("Partners LP")).alias("fund"))
     holdings = part.select(F.col("p_partkey").alias("investor"), F.concat_ws(" ", F.lit("The"), "p_name", F.lit("Capital"), "p_type", F.lit("LLC")).alias("fund"))
     return matching.roster(filings, holdings)
+
+
+def _memo(spark, d):
+    """A memo of each part: 13 files, some missing, empty, at odds with the scorecard, with a strange number or without an entry."""
+    key, name = F.col("p_partkey"), F.concat_ws(" ", "p_name", "p_type")
+    part = table(spark, d, "part").select(key.alias("run"), name.alias("said"), F.col("p_retailprice").cast("string").alias("price"))
+    every = lambda n, rest: F.col("run") % n == rest
+    verdicts = list(memo_files.LABELS)
+    verdict = F.get(F.array(*map(F.lit, verdicts)), (F.col("run") % 4).cast("int"))
+    label = F.element_at(F.create_map(*[F.lit(x) for kv in memo_files.LABELS.items() for x in kv]), verdict)
+    account = F.concat(F.lit("Searched every page and table of the documents for it, and the register as well, without any result: "), "said")
+    path = F.concat(F.lit("terms.of_"), F.col("run").cast("string"))
+    rate = F.round(F.col("run") % 997 / 997 * 100, 1).cast("string")
+    said = {
+        "01-recommendation.md": F.when(every(11, 3), F.lit("No verdict is given in this file")).otherwise(F.concat_ws(" ", F.lit("The verdict:"), label, F.when(every(11, 2), F.lit("or HOLD — defer pending answers")))),
+        "05-supporting-factors.md": F.when(~every(5, 1), F.lit("No green-flag criterion fired.")).otherwise(""),
+        "08-track-record.md": F.concat_ws(" ", F.lit("Priced at"), "price", F.when(every(13, 4), F.concat(F.lit("of"), (F.col("run") + 5_000_000).cast("string"))), F.lit("in page 12345")),
+        "11-open-questions.md": F.concat(F.lit("## Open Questions\n"), F.when(every(17, 5), F.lit("Nothing is open here at all.")).when(every(17, 6), F.concat(F.lit("Still open is "), path)).otherwise(F.concat_ws(" ", path, account))),
+        "12-sources.md": F.concat(F.lit("Readings agreed in "), rate, F.lit("% of rules.")),
+    }
+    body = F.concat("said", F.lit(" is what this section is about"))
+    files = part.select("run", "said", "price", F.explode(F.array(*map(F.lit, memo_files.FILES))).alias("name")).filter(~((F.col("name") == "07-team.md") & every(7, 0)))
+    for file, text in said.items():
+        body = F.when(F.col("name") == file, text).otherwise(body)
+    files = files.select("run", "name", F.concat(F.lit("# "), "name", F.lit("\n_Written for: IC_\n"), body, F.lit("\n---\n[next](./00-index.md)")).alias("body"))
+    memos = part.select("run", F.when(~every(23, 7), F.when(every(19, 6), "else").otherwise(F.upper(verdict))).alias("recommendation"), every(29, 8).alias("vetoed"))
+    scored = part.select("run", F.when(~every(31, 9), verdict).alias("recommendation"), F.lit(False).alias("vetoed"))
+    entries = part.select("run", path.alias("field_path"), account.alias("account"), F.lit("EXTERNALLY_BLOCKED").alias("kind"), F.lit(None).cast("string").alias("unblock_owner"))
+    numbers = part.select("run", (F.col("run") % 997 / 997).alias("agreement_rate"), *[F.lit(None).cast("double").alias(c) for c in ("red_flag_weight", "green_flag_weight", "cost_usd")])
+    citations = table(spark, d, "lineitem").select(F.col("l_partkey").alias("run"), F.col("l_linenumber").alias("page"), (F.col("l_quantity") > 10).alias("quote_verified"))
+    absences = part.select("run", every(2, 0).alias("disclosed"))
+    sources = part.select("run", F.concat_ws(" ", "said", "price", path).alias("text"))
+    declared = memo_files.declared_numbers(entries, citations, absences, numbers, "run")
+    return files, memo_files.violations(files, memos, scored, sources, declared, entries, "run")
+
+
+_GATES = """WITH p AS (SELECT p_partkey AS k, p_partkey % 31 <> 9 AS known, p_partkey % 4 AS v FROM part), b AS (
+    SELECT k AS run, 1 AS step, 'file_missing' AS gate, '07-team.md' AS name, '' AS detail FROM p WHERE k % 7 = 0
+    UNION ALL SELECT k, 2, 'file_empty', '05-supporting-factors.md', '' FROM p WHERE k % 5 = 1
+    UNION ALL SELECT k, 3, 'scorecard_missing', '', '' FROM p WHERE NOT known
+    UNION ALL SELECT k, 4, 'recommendation_missing', '', '' FROM p WHERE known AND k % 23 = 7
+    UNION ALL SELECT k, 5, 'recommendation_differs', '', '' FROM p WHERE known AND k % 23 <> 7 AND k % 19 = 6
+    UNION ALL SELECT k, 6, 'veto_differs', '', '' FROM p WHERE known AND k % 29 = 8
+    UNION ALL SELECT k, 7, 'label_missing', '01-recommendation.md', '' FROM p WHERE known AND k % 11 = 3
+    UNION ALL SELECT k, 8, 'label_of_another', '01-recommendation.md', '' FROM p WHERE known AND k % 11 = 2 AND v <> 1
+    UNION ALL SELECT k, 9, 'number_untraceable', '08-track-record.md', CAST(k + 5000000 AS VARCHAR) FROM p WHERE k % 13 = 4
+    UNION ALL SELECT k, 11, 'entry_missing', '11-open-questions.md', 'terms.of_' || k FROM p WHERE k % 17 = 5
+    UNION ALL SELECT k, 12, 'account_missing', '11-open-questions.md', 'terms.of_' || k FROM p WHERE k % 17 = 6)"""
+
+
+@query(f"{_GATES} SELECT * FROM b")
+def memo_gate_sequence(spark, d):
+    """All that keeps each memo from being published, gates in sequence over all its files."""
+    return _memo(spark, d)[1]
+
+
+@query(f"""{_GATES} SELECT arg_min(gate, (step, name, detail)) AS gate, arg_min(name, (step, name, detail)) AS name, run FROM b GROUP BY run
+    UNION ALL SELECT 'passed', 'files: ' || 13, k FROM p WHERE k NOT IN (SELECT run FROM b)""")
+def memo_outcomes(spark, d):
+    """What each memo stops at, or that all of its files go to the sink."""
+    files, broken = _memo(spark, d)
+    written = memo_files.passed(files, broken, "run").groupBy("run").agg(F.concat(F.lit("files: "), F.count(F.lit(1)).cast("string")).alias("name"))
+    return memo_files.first_violations(broken, "run").select("gate", "name", "run").unionByName(written.select(F.lit("passed").alias("gate"), "name", "run"))
