@@ -64,8 +64,29 @@ def contained(names: DataFrame, texts: DataFrame, name: str, text: str) -> DataF
     return rarest.join(spelt, "_piece").filter(F.contains(F.col(text), F.col(name))).select(name, text)
 
 
+#: Rows that a task makes at most of one name's firms and investors.
+ROWS = 500_000
+
+
+def dealt(held: DataFrame, links: DataFrame) -> DataFrame:
+    """(firm, investor), repeated where several names say so, of held(investor, _held) and links(firm, _held), distinct both.
+
+    A name makes as many rows as it has investors times firms, which the bytes read don't show.
+    They are counted first: a name's investors are dealt over so many parts that each makes
+    ROWS rows or so, and the parts over so many tasks.
+    """
+    firms = links.groupBy("_held").agg(F.count(F.lit(1)).alias("_m"))
+    counted = held.groupBy("_held").agg(F.count(F.lit(1)).alias("_n")).join(firms, "_held").select("_held", (F.col("_n") * F.col("_m")).alias("_rows"))
+    tasks = (counted.agg(F.sum("_rows")).first()[0] or 0) // ROWS + 1
+    parts = counted.select("_held", F.ceil(F.col("_rows") / ROWS).alias("_parts"))
+    own = held.join(parts, "_held").select("investor", "_held", F.pmod(F.xxhash64("investor"), "_parts").alias("_part"))
+    asked = links.join(parts, "_held").select("firm", "_held", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"))
+    return own.repartition(tasks, "_held", "_part").join(asked, ["_held", "_part"]).select("firm", "investor")
+
+
 def roster(filings: DataFrame, holdings: DataFrame) -> DataFrame:
     """(firm, investor) from filings(firm, fund) and holdings(investor, fund): who holds a fund whose name holds a fund of the firm."""
     funds = filings.select("firm", bare_name(F.col("fund")).alias("_fund")).distinct()
     held = holdings.select("investor", bare_name(F.col("fund")).alias("_held")).distinct()
-    return funds.join(contained(funds, held, "_fund", "_held"), "_fund").join(held, "_held").select("firm", "investor").distinct()
+    links = funds.join(contained(funds, held, "_fund", "_held"), "_fund").select("firm", "_held").distinct()
+    return dealt(held, links).distinct()
