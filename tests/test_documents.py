@@ -80,6 +80,13 @@ def test_facts_and_absences(spark):
     assert len(said) == 10 and all(v == "NOT DISCLOSED" for (i, _), v in said.items() if i == 2)
 
 
+def test_a_text_is_parsed_once_however_much_is_asked_of_it(spark):
+    df = spark.createDataFrame([(1, json.dumps({"a": leaf("x")}))], "id int, text string").repartition(1)
+    for made in (documents.index_absences, documents.index_facts):
+        times = [made(df, "id", "text", spec)._jdf.queryExecution().optimizedPlan().toString().count("parse_json") for spec in ((("A", "a"),), documents.ABSENCES)]
+        assert times[0] == times[1] <= 3
+
+
 GOOD = {"stage": "memo", "schema_version": 2, "result": {"ok": True}, "unresolved": [], "citations": []}
 BAD = {
     "not_an_object": [1],
