@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from verisift.jobs import versions
 from verisift.operators import memo_files
 
 ACCOUNT = "looked through every page of the deck, the register and both annexes and found it on none of the many pages"
@@ -76,3 +77,9 @@ def test_declared_numbers(spark):
     )
     assert {r["number"] for r in numbers.filter("run = 'a'").collect()} == {"5", "4", "1", "3", "2", "66.7", "12", "1,234.50"}
     assert numbers.filter("run = 'b'").count() == 0
+
+
+def test_memos_are_dealt_over_tasks_before_they_become_files(spark, monkeypatch):
+    monkeypatch.setattr(versions, "MEMOS", 20)
+    files, _ = versions._memo(spark, "/root/testdata/sf0.001")
+    assert files.count() > 2000 and files.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 13 * 60

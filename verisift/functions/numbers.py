@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # The form of a number.
 NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)?"
 # Numbers that are structure, not claims.
-STRUCTURE = r"(?im)^#{1,6}\s*[0-9]+\.?\s|^\s*[0-9]+\.\s|\bp\.\s*[0-9]+|\bpage\s+[0-9]+|\bpp\.\s*[0-9]+|\bCR-[0-9]+|\bsection\s+[0-9]+|\[[0-9]+\]"
+STRUCTURE = r"(?im)^#{1,6}\s*[0-9]+\.?\s|^\s*[0-9]+\.\s|(?=[pcs])\b(?:p\.\s*|page\s+|pp\.\s*|CR-|section\s+)[0-9]+|\[[0-9]+\]"
 #: Whole numbers up to this need no source.
 SMALL = 100
 

@@ -47,8 +47,10 @@ def _broken(df: DataFrame, run: str, name: Column, conditions: dict[str, Column]
 
 def _incomplete(files: DataFrame, memos: DataFrame, run: str) -> DataFrame:
     """Files of the fixed list that a run lacks, and those with nothing beyond their scaffolding."""
-    held = files.filter(F.col("name").isin(*FILES)).groupBy(run).agg(F.collect_set("name").alias("_held"))
-    lacking = F.array_except(F.array(*map(F.lit, FILES)), F.coalesce("_held", F.array().cast("array<string>")))
+    place = F.array_position(F.array(*map(F.lit, FILES)), F.col("name")).cast("int")
+    held = files.filter(F.col("name").isin(*FILES)).groupBy(run).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), place)).alias("_held"))
+    bits = F.coalesce("_held", F.lit(0))
+    lacking = F.array_compact(F.array(*[F.when(bits.bitwiseAND(1 << i) == 0, F.lit(name)) for i, name in enumerate(FILES, 1)]))
     missing = memos.select(run).join(held, run, "left").select(run, F.lit("file_missing").alias("gate"), F.explode(lacking).alias("name"), F.lit("").alias("detail"))
     empty = F.col("name").isin(*FILES) & (F.length(memo.bare_body(F.coalesce("body", F.lit("")))) < memo.MIN_BODY)
     return missing.unionByName(_broken(files, run, F.col("name"), {"file_empty": empty}))
@@ -69,7 +71,8 @@ def _disagreeing(files: DataFrame, memos: DataFrame, scored: DataFrame, run: str
 def _untraceable(files: DataFrame, sources: DataFrame, declared: DataFrame, run: str) -> DataFrame:
     """Numbers of any file that no source of the run has in any form, and that the run doesn't declare."""
     value = canonical_number(F.col("detail")).alias("_value")
-    stated = files.select(run, "name", F.explode(numbers(F.col("body"))).alias("detail")).select("*", value)
+    long_ = F.filter(numbers(F.col("body")), lambda n: F.length(n) > 2)  # two characters are a small integer
+    stated = files.select(run, "name", F.explode(long_).alias("detail")).select("*", value)
     stated = stated.filter(~F.coalesce(is_small_integer(F.col("_value")), F.lit(False)))
     found = sources.select(run, F.explode(all_numbers(F.col("text"))).alias("detail")).unionByName(declared.select(run, F.col("number").alias("detail")))
     allowed = found.filter("detail IS NOT NULL").select(run, value).distinct()
