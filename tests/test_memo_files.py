@@ -83,3 +83,9 @@ def test_memos_are_dealt_over_tasks_before_they_become_files(spark, monkeypatch)
     monkeypatch.setattr(versions, "MEMOS", 20)
     files, _ = versions._memo(spark, "/root/testdata/sf0.001")
     assert files.count() > 2000 and files.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 13 * 60
+
+
+def test_outcomes_are_first_violations_and_whole_memos(spark):
+    files = spark.createDataFrame([("a", "00-index.md"), ("a", "01-recommendation.md"), ("a", "notes.md"), ("b", "00-index.md")], "run string, name string")
+    broken = spark.createDataFrame([("b", 2, "file_empty", "x", ""), ("b", 1, "file_missing", "y", ""), ("c", 3, "scorecard_missing", "", "")], "run string, step int, gate string, name string, detail string")
+    assert {tuple(r) for r in memo_files.outcomes(files, broken, "run").collect()} == {("a", "passed", "files: 2"), ("b", "file_missing", "y"), ("c", "scorecard_missing", "")}

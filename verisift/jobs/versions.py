@@ -342,5 +342,4 @@ def memo_gate_sequence(spark, d):
 def memo_outcomes(spark, d):
     """What each memo stops at, or that all of its files go to the sink."""
     files, broken = _memo(spark, d)
-    written = memo_files.passed(files, broken, "run").groupBy("run").agg(F.concat(F.lit("files: "), F.count(F.lit(1)).cast("string")).alias("name"))
-    return memo_files.first_violations(broken, "run").select("gate", "name", "run").unionByName(written.select(F.lit("passed").alias("gate"), "name", "run"))
+    return memo_files.outcomes(files, broken, "run").select("gate", "name", "run")

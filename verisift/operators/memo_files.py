@@ -117,6 +117,14 @@ def passed(files: DataFrame, broken: DataFrame, run: str) -> DataFrame:
     return files.filter(F.col("name").isin(*FILES)).join(broken.select(run).distinct(), run, "left_anti")
 
 
+def outcomes(files: DataFrame, broken: DataFrame, run: str) -> DataFrame:
+    """(run, gate, name): what each run stops at, or `passed` and how many files `passed` lets through; the violations are worked out once."""
+    held = files.filter(F.col("name").isin(*FILES)).groupBy(run).agg(F.count(F.lit(1)).alias("_files"))
+    both = held.join(first_violations(broken, run), run, "full")
+    passes = F.concat(F.lit("files: "), F.col("_files").cast("string"))
+    return both.select(run, F.coalesce("gate", F.lit("passed")).alias("gate"), F.when(F.col("gate").isNull(), passes).otherwise(F.col("name")).alias("name"))
+
+
 def declared_numbers(entries: DataFrame, citations: DataFrame, absences: DataFrame, scored: DataFrame, run: str) -> DataFrame:
     """(run, number): what a memo counts itself, so that no size of number is exempt.
 
