@@ -299,6 +299,33 @@ def test_parts_grow_with_the_vectors_and_recall_holds(spark, monkeypatch):
         assert hit / (n // 10) >= 0.9
 
 
+def test_members_of_stars_are_made_and_shuffled_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(900).selectExpr("id % 400 AS key", "id DIV 2 AS doc", "id AS w")
+    out = substring_dedup.starred(rows.mapInArrow(counted, "key long, doc long, w long")).collect()
+    assert {(r["key"], r["doc"], r["w"], r["source"], r["n"]) for r in out} == {
+        (i % 400, i // 2, i, i % 400 // 2, 3 if i % 400 < 100 else 2) for i in range(400, 900)
+    }
+    assert made.value == 900
+
+
+def test_similarity_is_that_of_the_sets_of_shingles():
+    draw = np.random.default_rng(3)
+    for names in (2**31, 40):  # without and with repeats
+        for _ in range(60):
+            a = draw.integers(0, names, 120)
+            b = np.concatenate([draw.integers(0, names, 20), np.where(draw.random(120) < 0.05, -1, a), a[:30] if names == 40 else a[:0]])
+            for s, e, c, d, score in substring_dedup.passages(a, b):
+                mine, other = set(a[s : e + 1].tolist()), set(b[c : d + 1].tolist())
+                assert score == len(mine & other) / len(mine | other)
+
+
 def test_near_passages_behind_crowded_hashes(spark):
     """Pairs that share a passage of a similarity of 0.8 or more, most of it held by earlier documents too."""
     draw = random.Random(12)

@@ -25,13 +25,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verisift.llm.common import WORD, cut_lineage, fresh, in_arrow, salted_join, small
+from verisift.llm.common import WORD, cut_lineage, fresh, in_arrow, small
 from verisift.llm.shingles import mixed, powers, shingles, word_hashes
 
 #: Words of a shingle; words of the shortest passage; least similarity.
@@ -50,6 +51,8 @@ CROWDED = 4
 CROWDED_NEAR, CROWDED_EXACT = 2, HASHES - ENOUGH + 1
 #: Shingles that may miss within what is first taken as one part: what two edited words spoil.
 GAP = 2 * K
+#: Tasks that the rows of one run of WIDTH shingles are dealt over.
+SALTS = 8
 #: Document ids up to which the texts to verify are picked by a broadcast (16 MB), not by a shuffle.
 BROADCAST_IDS = 1_000_000
 SEEDS = mixed(np.arange(1, HASHES + 1, dtype=np.uint64))
@@ -260,10 +263,15 @@ def unpacked(windows: list[int]) -> list[tuple[int, int, int]]:
 def regions(windows: list[tuple[int, int, int]], enough: int) -> list[tuple[int, int]]:
     """Where windows (f, l, r) of at least so many hash functions overlap, as closed intervals."""
     events = sorted([(l, 0, f) for f, l, _ in windows] + [(r + 1, 1, f) for f, _, r in windows], key=lambda e: (e[0], -e[1]))
-    active, out, start = [0] * HASHES, [], None
+    active, held, out, start = [0] * HASHES, 0, [], None
     for at, ends, f in events:
-        active[f] += -1 if ends else 1
-        now = sum(a > 0 for a in active) >= enough
+        if ends:
+            active[f] -= 1
+            held -= active[f] == 0
+        else:
+            held += active[f] == 0
+            active[f] += 1
+        now = held >= enough
         if now and start is None:
             start = at
         elif not now and start is not None:
@@ -278,9 +286,25 @@ def regions(windows: list[tuple[int, int, int]], enough: int) -> list[tuple[int,
     return joined
 
 
-def passages(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+class Source:
+    """The shingles of an earlier document, and where they and its runs are first, made once for all that is compared with it."""
+
+    def __init__(self, b: np.ndarray):
+        self.b = b
+
+    @cached_property
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(self.b, return_index=True)
+
+    @cached_property
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(run_keys(self.b), return_index=True)
+
+
+def passages(a: np.ndarray, b: np.ndarray | Source) -> list[tuple[int, int, int, int, float]]:
     """(start, end, start in b, end in b, similarity) of passages of a, in shingles, that b has too."""
-    names, first = np.unique(b, return_index=True)
+    source = b if isinstance(b, Source) else Source(b)
+    b, (names, first) = source.b, source.grams
     at = np.searchsorted(names, a)
     at[at == len(names)] = 0
     hits = np.flatnonzero(names[at] == a) if len(names) else np.empty(0, dtype=int)
@@ -291,14 +315,18 @@ def passages(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, flo
     def measured(run: np.ndarray) -> tuple[int, int, int, int, float]:
         """The stretch of a from the run's first hit to its last, and its best counterpart in b."""
         s, e = int(hits[run[0]]), int(hits[run[-1]])
-        mine, best = np.unique(a[s : e + 1]), (s, e, 0, 0, 0.0)
+        best = (s, e, 0, 0, 0.0)
+        mine = None if simple else np.unique(a[s : e + 1])
         shift = np.sort(where[run] - hits[run])[len(run) // 2]
         for c, d in {(int(where[run].min()), int(where[run].max())), (int(s + shift), int(e + shift))}:
             c, d = max(c, 0), min(d, len(b) - 1)
             if c <= d <= c + 2 * (e - s) + 1:
-                other = np.unique(b[c : d + 1])
-                same = len(np.intersect1d(mine, other, assume_unique=True))
-                score = same / (len(mine) + len(other) - same)
+                if simple:  # the hits from s to e are those of the run
+                    same, both = int(np.count_nonzero((where[run] >= c) & (where[run] <= d))), e - s + d - c + 2
+                else:
+                    other = np.unique(b[c : d + 1])
+                    same, both = len(np.intersect1d(mine, other, assume_unique=True)), len(mine) + len(other)
+                score = same / (both - same)
                 if score > best[4]:
                     best = (s, e, c, d, score)
         return best
@@ -325,6 +353,7 @@ def passages(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, flo
         return np.split(run, np.flatnonzero(breaks) + 1)
 
     distinct = len(np.unique(a)) == len(a)
+    simple = distinct and len(names) == len(b)  # no shingle twice in either, so that counting hits is enough
     parts: list[np.ndarray] = []
     for run in split(np.arange(len(hits)), np.diff(hits) > GAP + 1):
         if measured(run)[4] >= SIMILARITY:
@@ -336,9 +365,9 @@ def passages(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, flo
     return grown(parts)
 
 
-def copied(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, end, start in b) of what covers all runs of WIDTH shingles of a that b has too, each as long as both go on."""
-    names, first = np.unique(run_keys(b), return_index=True)
+def copied(a: np.ndarray, source: Source) -> list[tuple[int, int, int]]:
+    """(start, end, start in the source) of what covers all runs of WIDTH shingles of a that it has too, each as long as both go on."""
+    b, (names, first) = source.b, source.runs
     keys = run_keys(a)
     if not len(names) or not len(keys):
         return []
@@ -361,16 +390,19 @@ RESULT = "doc_id long, start_word int, end_word int, source_id long, source_star
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, other = None, Source(np.empty(0, dtype=np.int32))
     for batch in batches:
         rows: list[tuple] = []
         docs, sources, windows, lows = (batch.column(i).to_pylist() for i in range(4))
         for i, (doc, source, held, low) in enumerate(zip(docs, sources, windows, lows, strict=True)):
-            mine, other = (np.array(batch.column(j)[i].values) for j in (4, 5))
+            mine = np.array(batch.column(4)[i].values)
+            if source != last:  # a source's rows follow one another behind the join
+                last, other = source, Source(np.array(batch.column(5)[i].values))
             windows = unpacked(held)
             got: list[tuple[int, int]] = []
             near = regions([(0, l, r) for f, l, r in windows if f == NEAR], 1)
             alike = regions([w for w in windows if w[0] < HASHES], ENOUGH)
-            for a, b in regions([(0, l, r) for l, r in near + alike], 1):
+            for a, b in regions([(0, l, r) for l, r in near + alike], 1) if near and alike else near or alike:
                 for s, e, c, d, score in passages(mine[a - low : b - low + 1], other):
                     rows.append((doc, a + s, a + e + K, source, c, d + K, score))
                     got.append((a + s, a + e))
@@ -394,14 +426,18 @@ def gram_arrays(read: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def starred(members: DataFrame) -> DataFrame:
-    """The members but each group's first, with the first as their source."""
+    """The members but each group's first, with the first as their source.
+
+    Counts and join share one shuffle of the members, as both ask for all of its columns (hence _w) and drop nulls before it.
+    """
+    dealt = members.filter("key IS NOT NULL AND doc IS NOT NULL AND w IS NOT NULL").repartition("key")
     firsts = (
-        members.groupBy("key")
-        .agg(F.min("doc").alias("source"), F.max("doc").alias("_last"), F.count(F.lit(1)).alias("n"))
-        .filter(F.col("source") < F.col("_last"))
+        dealt.groupBy("key")
+        .agg(F.min("doc").alias("source"), F.max("doc").alias("_last"), F.max("w").alias("_w"), F.count(F.lit(1)).alias("n"))
+        .filter((F.col("source") < F.col("_last")) & F.col("_w").isNotNull())
         .select("key", "source", "n")
     )
-    return members.join(firsts, "key").filter(F.col("doc") != F.col("source"))
+    return dealt.join(firsts, "key").filter(F.col("doc") != F.col("source"))
 
 
 def in_zones(read: DataFrame, zones: DataFrame) -> DataFrame:
@@ -418,14 +454,22 @@ def closer(read: DataFrame, zones: DataFrame) -> DataFrame:
     """
     gathered = lambda df: df.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("zones"))
     by_doc = cut_lineage(gathered(zones.filter(F.col("enough") == CROWDED_EXACT)))
-    runs = cut_lineage(in_zones(read, by_doc).transform(in_arrow, _runs, "run long, doc long, at int"))
+    runs = in_zones(read, by_doc).transform(in_arrow, _runs, "run long, doc long, at int")
+    # the rows of one run are dealt over SALTS tasks; counts and join share this shuffle, as in starred
+    dealt = (
+        runs.withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+        .filter("run IS NOT NULL AND doc IS NOT NULL AND at IS NOT NULL AND _salt IS NOT NULL")
+        .repartition("run", "_salt")
+    )
     firsts = (
-        runs.groupBy("run")
-        .agg(F.min("doc").alias("source"), F.max("doc").alias("_last"))
-        .filter(F.col("source") < F.col("_last"))
-        .select("run", "source")
+        dealt.groupBy("run", "_salt")
+        .agg(F.min("doc").alias("source"), F.max("doc").alias("_last"), F.max("at").alias("_at"))
+        .groupBy("run")
+        .agg(F.min("source").alias("source"), F.max("_last").alias("_last"), F.max("_at").alias("_at"))
+        .filter((F.col("source") < F.col("_last")) & F.col("_at").isNotNull())
+        .select("run", "source", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     )
-    met = salted_join(runs, firsts, ["run"], "doc", salts=8).filter(F.col("doc") != F.col("source"))
+    met = dealt.join(firsts, ["run", "_salt"]).filter(F.col("doc") != F.col("source"))
     exact = cut_lineage(
         met.groupBy("doc", "source").agg(F.collect_set("at").alias("at")).transform(in_arrow, _joined, "doc long, source long, a int, b int")
     )
@@ -433,7 +477,7 @@ def closer(read: DataFrame, zones: DataFrame) -> DataFrame:
     near = gathered(zones.filter(F.col("enough") == CROWDED_NEAR))
     rest = near.join(done, "doc", "left").select("doc", "zones", "done").transform(in_arrow, _rest, "doc long, a int, b int")
     bands = in_zones(read, cut_lineage(gathered(rest))).transform(in_arrow, _bands, "key long, doc long, w long")
-    once = cut_lineage(starred(cut_lineage(bands)))
+    once = cut_lineage(starred(bands))
     as_window = F.lit(EXACT << 56) + F.shiftleft(F.col("a").cast("long"), 28) + F.col("b").cast("long")
     return exact.select("doc", "source", as_window.alias("w")).unionByName(stars(once))
 
