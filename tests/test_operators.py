@@ -79,6 +79,36 @@ def test_quote_search_against_brute_force(spark):
     assert {(1, i, "layout") for i in range(1, 10)} <= expected and {r[0] for r in expected} == {1, 2, 3, 4, 5, 6, 8}
 
 
+def test_quote_search_reads_each_page_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    pages = spark.range(60).selectExpr("id AS page_id", "concat('opening phrase number ', id, ' and a closing phrase') AS text")
+    quotes = spark.createDataFrame([(1, "opening phrase number 7 and a closing"), (2, "phrase of nobody")], "quote_id int, quote string")
+    got = verify.search_quotes(quotes, pages.mapInArrow(counted, "page_id long, text string")).collect()
+    assert {tuple(r) for r in got} == {(1, 7, "exact"), *[(1, i, "layout") for i in (17, 27, 37, 47, 57)]}
+    assert read.value == 60
+
+
+def test_quote_search_by_pages_and_by_words(spark, monkeypatch):
+    """Probes across page ends and stretches, of other scripts, and of quotes that no or every page must meet."""
+    words = ["ångström", "überfluß", "naïveté", "русский", "漢字仮名交じり文", "plainword", "another"]
+    pages = [(i, " ".join(words[i % 7 :] + words[: i % 7]) * (1 + i % 3)) for i in range(40)]
+    pages += [(50, "ends with plain"), (51, "word begins"), (52, None), (53, ""), (54, "x" * 300 + "plainword"), (None, "plainword another")]
+    quotes = [(i, " ".join(words[i : i + n])) for i in range(7) for n in (1, 2)] + [(20, "plainw"), (21, "x"), (22, "nowhere"), (23, None), (None, "another"), (24, "русский漢")]
+    p, q = spark.createDataFrame(pages, "page_id int, text string"), spark.createDataFrame(quotes, "quote_id int, quote string")
+    monkeypatch.setattr(verify, "STRETCH", 50)
+    by_pages = sorted(tuple(r) for r in verify.search_quotes(q, p).collect())
+    monkeypatch.setattr(verify, "BROADCAST_PROBES", 0)
+    assert by_pages == sorted(tuple(r) for r in verify.search_quotes(q, p).collect())
+    assert {(20, 54, "exact"), (21, 54, "exact")} <= set(by_pages) and not {22, 23, None} & {r[0] for r in by_pages}
+    assert len(by_pages) > 300 and not [r for r in by_pages if r[0] == 20 and r[1] in (50, 51)]
+
+
 def test_canonical_forms(spark):
     df = spark.createDataFrame([("“Ｆull”—width ﬁ •  x",)], "t string").select(text.canonical(F.col("t"), compose=True))
     assert df.first()[0] == '"full"-width fi x'
