@@ -2,6 +2,7 @@
 
 import random
 import re
+import sys
 from collections import defaultdict
 
 import numpy as np
@@ -347,3 +348,38 @@ def test_near_passages_behind_crowded_hashes(spark):
         found[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
     missed = [(size, len(found[doc])) for doc, size in pairs if len(found[doc] & set(range(25, 25 + size))) < 0.9 * size]
     assert len(missed) <= 1, missed
+
+
+def test_regions_are_those_of_the_places():
+    draw = np.random.default_rng(14)
+    for n in (0, 1, 5, 30, 60):
+        own, f, l = draw.integers(0, 3, n), draw.integers(0, substring_dedup.HASHES, n), draw.integers(0, 300, n)
+        r = l + draw.integers(0, 50, n)
+        for enough in (1, 2, 3):
+            held = np.zeros((3, substring_dedup.HASHES, 400), dtype=bool)
+            for i, x, a, b in zip(own, f, l, r, strict=True):
+                held[i, x, a : b + 1] = True
+            on = np.zeros((3, 402), dtype=int)
+            on[:, 1:-1] = held.sum(axis=1) >= enough
+            step = np.diff(on)
+            expected = [(i, a, b - 1) for i in range(3) for a, b in zip(np.flatnonzero(step[i] == 1), np.flatnonzero(step[i] == -1), strict=True)]
+            assert list(zip(*(x.tolist() for x in substring_dedup.overlaps(own, f, l, r, enough)), strict=True)) == expected
+
+
+def test_scattered_hits_are_not_measured_one_by_one():
+    """Short stretches of hits at one shift need no sets; the functions called are counted, as seconds depend on the machine."""
+    a = np.arange(2000, dtype=np.int32)
+    b = np.where(a % 12 < 8, a, -1 - a)
+    source, calls = substring_dedup.Source(b), 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        found = substring_dedup.passages(a, source)
+    finally:
+        sys.setprofile(None)
+    assert not found
+    assert calls < 20 * len(a) // 12

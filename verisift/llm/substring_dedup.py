@@ -45,6 +45,7 @@ EXACT, NEAR = HASHES, HASHES + 1
 #: Hash functions of the closer look at crowded places, as points of a plane of three by three, and its lines.
 POINTS = 9
 LINES = [[3 * x + (m * x + c) % 3 for x in range(3)] for m in range(3) for c in range(3)] + [[3 * c + y for y in range(3)] for c in range(3)]
+_LINES = np.array(LINES).T
 #: Members of a key, from which one that meets neither of two centres can have an earlier partner that isn't one.
 CROWDED = 4
 #: Hash functions with crowded windows from which near copies, and exact ones (which agree in all), can be lost.
@@ -58,6 +59,7 @@ BROADCAST_IDS = 1_000_000
 SEEDS = mixed(np.arange(1, HASHES + 1, dtype=np.uint64))
 POINT_SEEDS = mixed(np.arange(HASHES + 1, HASHES + 1 + POINTS, dtype=np.uint64))
 _INDEX = np.uint64((1 << 20) - 1)
+_PLACE = (1 << 29) - 1
 #: Shingles that are searched at once; longer texts are read in overlapping parts.
 PART = 1 << 19
 
@@ -173,28 +175,26 @@ def band_windows(g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """(key, l, r) of the neighbouring runs of WIDTH shingles, of those that begin at the places at, with equal min-hashes in a band."""
     low, high = int(at[0]), int(at[-1])
     names = mixed(g[low : high + WIDTH].astype(np.uint32).astype(np.uint64))
-    apart = np.diff(at) > 1
-    out = []
-    least = [mixed(minima(mixed(names ^ seed), WIDTH)[at - low] + np.uint64(f)) for f, seed in enumerate(POINT_SEEDS)]
-    for x, y, z in LINES:
-        key = least[x] ^ least[y] ^ least[z]
-        new = np.flatnonzero(np.concatenate([[True], apart | (key[1:] != key[:-1])]))
-        last = np.concatenate([new[1:] - 1, [len(at) - 1]])
-        out.append((key[new].view(np.int64), at[new], at[last] + WIDTH - 1))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    least = np.stack([minima(mixed(names ^ seed), WIDTH)[at - low] for seed in POINT_SEEDS])
+    least = mixed(least + np.arange(POINTS, dtype=np.uint64)[:, None])
+    key = least[_LINES[0]] ^ least[_LINES[1]] ^ least[_LINES[2]]  # a row for each line
+    starts = np.ones(key.shape, dtype=bool)
+    starts[:, 1:] = (key[:, 1:] != key[:, :-1]) | (np.diff(at) > 1)
+    new = np.flatnonzero(starts)
+    last = np.append(new[1:], key.size) - 1
+    return key.ravel()[new].view(np.int64), at[new % len(at)], at[last % len(at)] + WIDTH - 1
 
 
 def _zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, enough, a, b): where stars may have missed so many hash functions that near or exact copies can be lost."""
     for batch in batches:
-        rows = [
-            (doc, enough, a, b)
-            for doc, windows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            for enough in (CROWDED_NEAR, CROWDED_EXACT)
-            for a, b in regions(unpacked(windows), enough)
-            if b - a + 1 >= WIDTH
-        ]
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+        docs = batch.column(0).to_numpy(zero_copy_only=False)
+        own, windows = flat(batch.column(1))
+        out = []
+        for enough in (CROWDED_NEAR, CROWDED_EXACT):
+            i, a, b = overlaps(own, *unpacked(windows), enough)
+            out.append([x[b - a + 1 >= WIDTH] for x in (docs[i], np.full(len(i), enough), a, b)])
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
         types = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc", "enough", "a", "b"])
 
@@ -256,34 +256,44 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc", "source", "a", "b"])
 
 
-def unpacked(windows: list[int]) -> list[tuple[int, int, int]]:
-    return [(w >> 56, w >> 28 & 0xFFFFFFF, w & 0xFFFFFFF) for w in windows]
+def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists of a column, and the row that each is of."""
+    return np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy())), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def unpacked(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return w >> 56, w >> 28 & 0xFFFFFFF, w & 0xFFFFFFF
+
+
+def merged(own: np.ndarray, l: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(own, a, b): the closed intervals of each owner in order, those that overlap or touch made one."""
+    left = (own << 29) + l
+    order = np.argsort(left)
+    left, reach = left[order], np.maximum.accumulate(((own << 29) + r)[order])
+    new = np.flatnonzero(np.append(True, left[1:] > reach[:-1] + 1)[: len(left)])
+    last = np.append(new[1:], len(left)) - 1 if len(new) else new
+    return left[new] >> 29, left[new] & _PLACE, reach[last] & _PLACE
+
+
+def overlaps(own: np.ndarray, f: np.ndarray, l: np.ndarray, r: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(own, a, b): where an owner's windows (f, l, r) of at least so many hash functions overlap, as closed intervals in order."""
+    part, l, r = merged(own * HASHES + f, l, r)
+    own = part // HASHES << 29
+    at = np.concatenate([own + l, own + r + 1])
+    order = np.argsort(at)
+    at, held = at[order], np.cumsum(np.repeat([1, -1], len(l))[order])
+    at, held = (x[np.append(at[1:] != at[:-1], True)[: len(at)]] for x in (at, held))  # what is held behind all that begins or ends there
+    on = held >= enough
+    edge = np.flatnonzero(on != np.append(False, on[:-1])[: len(on)])
+    a, b = at[edge[::2]], at[edge[1::2]] - 1
+    return a >> 29, a & _PLACE, b & _PLACE
 
 
 def regions(windows: list[tuple[int, int, int]], enough: int) -> list[tuple[int, int]]:
-    """Where windows (f, l, r) of at least so many hash functions overlap, as closed intervals."""
-    events = sorted([(l, 0, f) for f, l, _ in windows] + [(r + 1, 1, f) for f, _, r in windows], key=lambda e: (e[0], -e[1]))
-    active, held, out, start = [0] * HASHES, 0, [], None
-    for at, ends, f in events:
-        if ends:
-            active[f] -= 1
-            held -= active[f] == 0
-        else:
-            held += active[f] == 0
-            active[f] += 1
-        now = held >= enough
-        if now and start is None:
-            start = at
-        elif not now and start is not None:
-            out.append((start, at - 1))
-            start = None
-    joined: list[tuple[int, int]] = []
-    for a, b in out:
-        if joined and a <= joined[-1][1] + 1:
-            joined[-1] = (joined[-1][0], b)
-        else:
-            joined.append((a, b))
-    return joined
+    """Where windows (f, l, r) of one owner overlap."""
+    f, l, r = np.array(windows, dtype=np.int64).reshape(-1, 3).T
+    _, a, b = overlaps(np.zeros(len(f), dtype=np.int64), f, l, r, enough)
+    return list(zip(a.tolist(), b.tolist(), strict=True))
 
 
 class Source:
@@ -301,67 +311,98 @@ class Source:
         return np.unique(run_keys(self.b), return_index=True)
 
 
+def values(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order."""
+    x = np.sort(x)
+    new = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def passages(a: np.ndarray, b: np.ndarray | Source) -> list[tuple[int, int, int, int, float]]:
     """(start, end, start in b, end in b, similarity) of passages of a, in shingles, that b has too."""
     source = b if isinstance(b, Source) else Source(b)
     b, (names, first) = source.b, source.grams
     at = np.searchsorted(names, a)
     at[at == len(names)] = 0
-    hits = np.flatnonzero(names[at] == a) if len(names) else np.empty(0, dtype=int)
+    found = names[at] == a if len(names) else np.zeros(len(a), dtype=bool)
+    hits = np.flatnonzero(found)
     if not len(hits):
         return []
     where = first[at[hits]]
-
-    def measured(run: np.ndarray) -> tuple[int, int, int, int, float]:
-        """The stretch of a from the run's first hit to its last, and its best counterpart in b."""
-        s, e = int(hits[run[0]]), int(hits[run[-1]])
+    shifts = where - hits
+    bend = shifts[1:] != shifts[:-1]
+    bends = np.flatnonzero(bend) + 1  # hits that another place of b goes on from
+    steps = hits[1:] - hits[:-1]
+    jumps = np.flatnonzero(steps > 1) + 1  # hits behind a miss
+    if not len(bends) and not len(jumps):  # one stretch that is the same in b
+        s, e = int(hits[0]), int(hits[-1])
+        return [(s, e, int(where[0]), int(where[-1]), 1.0)] if e - s + K >= PASSAGE else []
+    new = ~found
+    if distinct := len(values(a)) == len(a):
+        simple = len(names) == len(b)  # no shingle twice in either, so that counting hits is enough
+    else:
+        simple = False
+        once = np.zeros(len(a), dtype=bool)
+        once[np.unique(a, return_index=True)[1]] = True
+        new &= once
+    lost = [0, *new.cumsum().tolist()]  # distinct misses so far, at least
+    mine, theirs, bent = hits.tolist(), where.tolist(), [0, *bend.cumsum().tolist()]
+
+    def few(i: int, j: int) -> bool:
+        """The hits from i to j (exclusive) are too few for the stretch, however many of them are in common."""
+        return j - i < SIMILARITY * (j - i + lost[mine[j - 1] + 1] - lost[mine[i]])
+
+    def measured(i: int, j: int) -> tuple[int, int, int, int, float]:
+        """The stretch of a from hit i to the last before j, and its best counterpart in b; of a score too low it may be none."""
+        s, e = mine[i], mine[j - 1]
+        if bent[i] == bent[j - 1] and (simple or e - s == j - i - 1):  # at one shift, and counted by its hits or equal
+            return s, e, theirs[i], theirs[j - 1], (j - i) / (2 * (e - s + 1) - (j - i))
         best = (s, e, 0, 0, 0.0)
-        mine = None if simple else np.unique(a[s : e + 1])
-        shift = np.sort(where[run] - hits[run])[len(run) // 2]
-        for c, d in {(int(where[run].min()), int(where[run].max())), (int(s + shift), int(e + shift))}:
+        if few(i, j):
+            return best
+        places = where[i:j]
+        shift = np.sort(shifts[i:j])[(j - i) // 2]
+        own = None if simple else values(a[s : e + 1])
+        for c, d in {(int(places.min()), int(places.max())), (int(s + shift), int(e + shift))}:
             c, d = max(c, 0), min(d, len(b) - 1)
             if c <= d <= c + 2 * (e - s) + 1:
                 if simple:  # the hits from s to e are those of the run
-                    same, both = int(np.count_nonzero((where[run] >= c) & (where[run] <= d))), e - s + d - c + 2
+                    same, both = int(np.count_nonzero((places >= c) & (places <= d))), e - s + d - c + 2
                 else:
-                    other = np.unique(b[c : d + 1])
-                    same, both = len(np.intersect1d(mine, other, assume_unique=True)), len(mine) + len(other)
+                    other = values(b[c : d + 1])
+                    both = len(own) + len(other)
+                    same = both - len(values(np.concatenate([own, other])))
                 score = same / (both - same)
                 if score > best[4]:
                     best = (s, e, c, d, score)
         return best
 
-    def grown(parts: list[np.ndarray]) -> list[tuple[int, int, int, int, float]]:
+    def split(i: int, j: int, edges: np.ndarray) -> list[tuple[int, int]]:
+        inner = edges[np.searchsorted(edges, i, "right") : np.searchsorted(edges, j)].tolist()
+        return list(zip([i, *inner], [*inner, j], strict=True))
+
+    def grown(parts: list[tuple[int, int]]) -> list[tuple[int, int, int, int, float]]:
         """Neighbouring parts joined, over any gap, as long as the whole stays similar."""
         out = []
-        best = measured(parts[0])
-        run = parts[0]
-        for part in [*parts[1:], None]:
-            if part is not None:
-                longer = np.concatenate([run, part])
-                few = distinct and len(longer) < SIMILARITY * (hits[longer[-1]] - hits[longer[0]] + 1)  # no more than the hits can be in common
-                if not few and (new := measured(longer))[4] >= SIMILARITY:
-                    run, best = longer, new
-                    continue
-            if best[4] >= SIMILARITY and best[1] - best[0] + K >= PASSAGE:
+        (i, j), best = parts[0], None
+        for p, q in [*parts[1:], (-1, -1)]:
+            if p >= 0 and not few(i, q) and (new := measured(i, q))[4] >= SIMILARITY:
+                j, best = q, new
+                continue
+            if mine[j - 1] - mine[i] + K >= PASSAGE and (best := best or measured(i, j))[4] >= SIMILARITY:
                 out.append(best)
-            if part is not None:
-                run, best = part, measured(part)
+            i, j, best = p, q, None
         return out
 
-    def split(run: np.ndarray, breaks: np.ndarray) -> list[np.ndarray]:
-        return np.split(run, np.flatnonzero(breaks) + 1)
-
-    distinct = len(np.unique(a)) == len(a)
-    simple = distinct and len(names) == len(b)  # no shingle twice in either, so that counting hits is enough
-    parts: list[np.ndarray] = []
-    for run in split(np.arange(len(hits)), np.diff(hits) > GAP + 1):
-        if measured(run)[4] >= SIMILARITY:
-            parts.append(run)
+    parts: list[tuple[int, int]] = []
+    for i, j in split(0, len(hits), jumps[steps[jumps - 1] > GAP + 1]):
+        if measured(i, j)[4] >= SIMILARITY:
+            parts.append((i, j))
             continue
-        for part in split(run, np.diff(hits[run]) > 1):  # stretches without a miss; one that comes from several places of b is split there
-            alike = measured(part)[4] >= SIMILARITY
-            parts += [part] if alike else split(part, np.abs(np.diff(where[part] - hits[part])) > 0)
+        for p, q in split(i, j, jumps):  # stretches without a miss; one that comes from several places of b is split there
+            alike = measured(p, q)[4] >= SIMILARITY
+            parts += [(p, q)] if alike else split(p, q, bends)
     return grown(parts)
 
 
@@ -393,20 +434,29 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, other = None, Source(np.empty(0, dtype=np.int32))
     for batch in batches:
         rows: list[tuple] = []
-        docs, sources, windows, lows = (batch.column(i).to_pylist() for i in range(4))
-        for i, (doc, source, held, low) in enumerate(zip(docs, sources, windows, lows, strict=True)):
-            mine = np.array(batch.column(4)[i].values)
+        docs, sources, lows = (batch.column(i).to_pylist() for i in (0, 1, 3))
+        own, windows = flat(batch.column(2))
+        f, l, r = unpacked(windows)
+        held, exact = f < HASHES, f == EXACT
+        alike = overlaps(own[held], f[held], l[held], r[held], ENOUGH)
+        near = own[f == NEAR], l[f == NEAR], r[f == NEAR]
+        where: list[list[tuple[int, int]]] = [[] for _ in docs]
+        for i, a, b in zip(*(x.tolist() for x in merged(*map(np.concatenate, zip(near, alike, strict=True)))), strict=True):
+            where[i].append((a, b))
+        whole: list[list[tuple[int, int]]] = [[] for _ in docs]
+        for i, a, b in zip(own[exact].tolist(), l[exact].tolist(), r[exact].tolist(), strict=True):
+            whole[i].append((a, b))
+        (grams, ends), (others, other_ends) = ((x.flatten().to_numpy(), np.cumsum(x.value_lengths().to_numpy()).tolist()) for x in (batch.column(4), batch.column(5)))
+        for i, (doc, source, low) in enumerate(zip(docs, sources, lows, strict=True)):
+            mine = grams[ends[i - 1] if i else 0 : ends[i]]
             if source != last:  # a source's rows follow one another behind the join
-                last, other = source, Source(np.array(batch.column(5)[i].values))
-            windows = unpacked(held)
+                last, other = source, Source(others[other_ends[i - 1] if i else 0 : other_ends[i]].copy())
             got: list[tuple[int, int]] = []
-            near = regions([(0, l, r) for f, l, r in windows if f == NEAR], 1)
-            alike = regions([w for w in windows if w[0] < HASHES], ENOUGH)
-            for a, b in regions([(0, l, r) for l, r in near + alike], 1) if near and alike else near or alike:
+            for a, b in where[i]:
                 for s, e, c, d, score in passages(mine[a - low : b - low + 1], other):
                     rows.append((doc, a + s, a + e + K, source, c, d + K, score))
                     got.append((a + s, a + e))
-            for a, b in [(l, r) for f, l, r in windows if f == EXACT]:
+            for a, b in whole[i]:
                 if not any(s <= a and b <= e for s, e in got):
                     rows += [(doc, a + s, a + e + K, source, c, c + e - s + K, 1.0) for s, e, c in copied(mine[a - low : b - low + 1], other)]
         columns = list(zip(*rows, strict=True)) if rows else [()] * 7
