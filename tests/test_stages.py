@@ -2,11 +2,14 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tests.oracle import assert_same
 from verisift.functions import parse
 from verisift.functions.text import canonical
+from verisift.jobs import stages
 from verisift.operators import criteria, findings, gates, matching, memo, reconcile, runs, telemetry, unresolved, verify
 
 EVIDENCE = "array<struct<page:int,quote:string>>"
@@ -94,6 +97,18 @@ def test_entries_are_assembled_grouped_and_carried(spark):
     assert unresolved.not_carried(every, section.filter("false"), ["run"]).count() == 3
 
 
+def test_every_entry_is_of_a_stage_and_only_scoring_merges(spark, tmp_path):
+    """Numbers below zero are odd ones too; accounts that differ behind 160 characters are one within scoring, and all kept beside it."""
+    long = "t" * 170
+    rows = [(-105, 1, "click"), (-315, 3, "click"), (-210, 1, "click"), (105, 4, "click"), (211, 2, long), (213, 2, long), (210, 2, long), (212, 2, long)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    found = stages.unresolved_assembled(spark, str(tmp_path))
+    assert sorted((r["stage"], r["seq"]) for r in found.collect()) == [("classification", n) for n in (-210, 210, 212)] + [("scoring", n) for n in (-315, -105, 105, 211)]
+    assert_same(found, con, stages.ORACLES["unresolved_assembled"])
+
+
 def test_memo_sections_and_gates(spark):
     text = "# Memo\n## 1. Summary\nshort\n## 11. Open Questions\nfirst\n### Deeper\nsecond\n## 12. End\nlast"
     assert one(spark, memo.section(F.lit(text), "open questions")) == "first\n### Deeper\nsecond"
